@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .decontaminate import decontaminate
+from .exact_dedup import exact_dedup
 from .ngram_join import ngram_jaccard_join
+from .sharding import shard_uniformly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +23,30 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_uniformly(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_ngram_jaccard_join": oracles.OP2,
+        "op3_benchmark_decontamination": oracles.OP3,
+        "op4_exact_dedup": oracles.OP4,
+    }
