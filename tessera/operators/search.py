@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
@@ -44,3 +44,19 @@ def text_or(fields: list[str], query: str) -> Column:
     from tessera.functions.text import any_field_contains
 
     return any_field_contains(fields, query)
+
+
+def related(rows: DataFrame, key: str, candidates: int, slots: int, geo_slots: int, most_km: float) -> DataFrame:
+    """(key, score, route) from (key, sim, shared, km), km null without a position.
+
+    The ``candidates`` most similar rows compete by their related score for what the nearest rows that are none of them leave of
+    the ``slots``; those take up to ``geo_slots``, within ``most_km``, with a score without similarity. All are top-n limits.
+    """
+    top = rows.orderBy(F.desc("sim"), key).limit(candidates)
+    by_vector = top.select(key, related_score(F.col("sim"), F.col("shared"), F.col("km")).alias("score"), F.lit("vector").alias("route"))
+    near = rows.where(F.col("km") <= most_km).join(F.broadcast(top.select(key)), key, "left_anti").orderBy("km", key).limit(geo_slots)
+    by_geo = near.select(key, (0.15 / (1.0 + F.col("km") / 2.0) + 0.15 * F.when(F.col("shared"), 1.0).otherwise(0.0)).alias("score"), F.lit("geo").alias("route"))
+    taken = F.broadcast(by_geo.agg(F.count("*").alias("__taken")))
+    placed = by_vector.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # at most ``candidates`` rows
+    kept = placed.crossJoin(taken).where(F.col("__r") <= slots - F.col("__taken")).select(key, "score", "route")
+    return kept.unionByName(by_geo)
