@@ -63,3 +63,9 @@ def overlap(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Colu
     """Intersection over the smaller box; 0 for boxes without area."""
     least = F.least(aw * ah, bw * bh)
     return F.when(least > 0, intersection(ax, ay, aw, ah, bx, by, bw, bh) / least).otherwise(0.0)
+
+
+def least_span(low: Column, high: Column, span: float) -> tuple[Column, Column]:
+    """An interval shorter than ``span`` becomes its middle plus and minus ``span``."""
+    short, middle = high - low < span, (low + high) / 2
+    return F.when(short, middle - span).otherwise(low), F.when(short, middle + span).otherwise(high)

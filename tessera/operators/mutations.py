@@ -103,3 +103,10 @@ def migrate(df: DataFrame, steps: list[tuple[str, str, str, object]]) -> DataFra
         else:
             raise ValueError(f"unknown step {what}")
     return df
+
+
+def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Keys of rows whose other columns are not all the same in both tables (null equals null)."""
+    rest = [c for c in old.columns if c != key]
+    both = old.select(key, F.struct(*rest).alias("__a")).join(new.select(key, F.struct(*rest).alias("__b")), key)
+    return both.where(~F.col("__a").eqNullSafe(F.col("__b"))).select(key)

@@ -60,3 +60,16 @@ def related(rows: DataFrame, key: str, candidates: int, slots: int, geo_slots: i
     placed = by_vector.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # at most ``candidates`` rows
     kept = placed.crossJoin(taken).where(F.col("__r") <= slots - F.col("__taken")).select(key, "score", "route")
     return kept.unionByName(by_geo)
+
+
+def grid_filter(rows: DataFrame, key: str, ids: DataFrame | None = None, bbox: tuple | None = None, folder: tuple[str, str] | None = None, text: tuple[list[str], str] | None = None) -> DataFrame:
+    """Rows that meet all clauses that are set: an id set, a box of (south, west, north, east), a folder prefix, a text in some field."""
+    from tessera.functions import geo
+
+    if bbox is not None:
+        rows = rows.where(geo.in_bbox(F.col("lat"), F.col("lon"), *bbox))
+    if folder is not None:
+        rows = rows.where(F.col(folder[0]).startswith(folder[1]))
+    if text is not None:
+        rows = rows.where(text_or(*text))
+    return rows if ids is None else rows.join(ids.select(key), key, "left_semi")
