@@ -33,13 +33,21 @@ SIZES = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], dtype
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    sizes = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    values = values.astype("<u4", copy=False)
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
-    codes[: len(values)] = sizes - 1
+    codes[: len(values)] = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     fours = codes.reshape(-1, 4)
     control = fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]].tobytes()
+    sizes = codes[: len(values)] + np.uint8(1)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    data = np.empty(int(ends[-1]) if len(values) else 0, dtype=np.uint8)
+    data[starts] = values.astype(np.uint8)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(sizes > k)
+        if len(more):
+            data[starts[more] + k] = (values[more] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
@@ -55,13 +63,14 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, i
 
 
 def to_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)  # ids are below the vocabulary's size: counting needs no sort
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = pack(rank[inverse])
+    distinct = order[: np.count_nonzero(counts)]
+    rank = np.empty(len(counts), dtype=np.uint32)
+    rank[order] = np.arange(len(counts), dtype=np.uint32)
+    control, data = pack(rank[ids])
     head = np.array([len(doc_ids), len(ids), len(distinct)], dtype="<u8").tobytes()
-    body = b"".join([MAGIC, head, distinct[order].astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), control, data])
+    body = b"".join([MAGIC, head, distinct.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), control, data])
     return body + zlib.crc32(body).to_bytes(4, "little")
 
 
