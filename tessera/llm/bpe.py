@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .textkit import U64, blocks, byte_values, span_hashes
 
 LEAF = 1024  # bytes of a unit, and characters of a pre-token, above which halves are encoded apart
-CACHE_MOST = 1_000_000  # units that a worker remembers (about 50 MB); beyond, it starts afresh
+CACHE_MOST = 2_000_000  # units that a worker remembers (about 100 MB); beyond, it starts afresh
+RUN = 4096  # units encoded in one call
 SPECIAL = b"<|endoftext|>"
 _SECOND = byte_values(0x5EED)
 
@@ -135,14 +136,29 @@ class Codec:
         return ids
 
     def _encode_units(self, units: list[bytes]) -> list[list[int]]:
-        short = [i for i, u in enumerate(units) if len(u) <= LEAF]
+        """Units with white space before a printable end stay apart when joined, so runs of them are encoded in one call."""
         out: list[list[int]] = [[]] * len(units)
-        encoded = self.tokenizer.encode_batch_fast([units[i].decode() for i in short], add_special_tokens=False)
-        for i, e in zip(short, encoded, strict=True):
-            out[i] = e.ids
+        joined, single = [], []
         for i, u in enumerate(units):
             if len(u) > LEAF:
                 out[i] = self.encode_long(u.decode())
+            else:
+                (joined if u[0] <= 32 and u[-1] > 32 else single).append(i)
+        encoded = self.tokenizer.encode_batch_fast([units[i].decode() for i in single], add_special_tokens=False)
+        for i, e in zip(single, encoded, strict=True):
+            out[i] = e.ids
+        for at in range(0, len(joined), RUN):
+            run = joined[at : at + RUN]
+            text = b"".join(units[i] for i in run).decode()
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ends = np.cumsum(self.piece_len[np.array(ids, dtype=np.int64)])
+            cuts = np.searchsorted(ends, np.cumsum([len(units[i]) for i in run]), side="left") + 1
+            if len(ends) and not np.array_equal(ends[cuts - 1], np.cumsum([len(units[i]) for i in run])):
+                raise RuntimeError("a token spans two units")
+            begin = 0
+            for i, end in zip(run, cuts.tolist(), strict=True):
+                out[i] = ids[begin:end]
+                begin = end
         return out
 
     def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
