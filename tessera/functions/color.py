@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bradford matrix and its inverse, XYZ to linear sRGB, D65, luminance weights.
@@ -38,9 +36,9 @@ def kelvin_x(kelvin: Column) -> Column:
     return F.when(t < 4000, warm).when(t <= 7000, day).otherwise(cool)
 
 
-def kelvin_y(kelvin: Column) -> Column:
+def kelvin_y(kelvin: Column, x: Column | None = None) -> Column:
     t = F.least(F.greatest(kelvin.cast("double"), F.lit(1667.0)), F.lit(25000.0))
-    x = kelvin_x(kelvin)
+    x = kelvin_x(kelvin) if x is None else x
     low = horner(x, -1.1063814, -1.34811020, 2.18555832, -0.20219683)
     mid = horner(x, -0.9549476, -1.37418593, 2.09137015, -0.16748867)
     return F.when(t <= 2222, low).when(t < 4000, mid).otherwise(horner(x, -3.0, 2.87, -0.275))
@@ -54,16 +52,24 @@ def _xyz(x: Column, y: Column) -> tuple[Column, Column, Column]:
     return x / y, F.lit(1.0), (1.0 - x - y) / y
 
 
-def wb_multipliers(target_k: Column, as_shot_k: Column) -> tuple[Column, Column, Column]:
-    """(r, g, b) that make the as-shot white look like the target's, green at 1; 1 each if either is not known (<= 0)."""
-    target = _times(BRADFORD, _xyz(kelvin_x(target_k), kelvin_y(target_k)))
-    shot = _times(BRADFORD, _xyz(kelvin_x(as_shot_k), kelvin_y(as_shot_k)))
+def with_wb(df: DataFrame, target_k: Column, as_shot_k: Column, names: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """Adds (r, g, b) that make the as-shot white look like the target's, green at 1; 1 each if either is not known (<= 0).
+
+    The steps are columns of their own: as one expression they would not fit into one compiled method.
+    """
+    known = (target_k > 0) & (as_shot_k > 0)
+    step = df.withColumns({"__known": known, "__tk": target_k.cast("double"), "__sk": as_shot_k.cast("double")})
+    step = step.withColumns({f"__{p}x": kelvin_x(F.col(f"__{p}k")) for p in "ts"})
+    step = step.withColumns({f"__{p}y": kelvin_y(F.col(f"__{p}k"), F.col(f"__{p}x")) for p in "ts"})
+    step = step.withColumns({f"__{p}{i}": c for p in "ts" for i, c in enumerate(_times(BRADFORD, _xyz(F.col(f"__{p}x"), F.col(f"__{p}y"))))})
     x, y = D65
     white = [r[0] * x / y + r[1] + r[2] * (1 - x - y) / y for r in BRADFORD]
-    adapted = tuple(F.lit(w) * F.when(s > 1e-4, t / s).otherwise(1.0) for w, t, s in zip(white, target, shot, strict=True))
-    r, g, b = _times(XYZ_TO_SRGB, _times(BRADFORD_INVERSE, adapted))
-    known = (target_k > 0) & (as_shot_k > 0)
-    return F.when(known, r / g).otherwise(1.0), F.lit(1.0), F.when(known, b / g).otherwise(1.0)
+    ratio = lambda i: F.when(F.col(f"__s{i}") > 1e-4, F.col(f"__t{i}") / F.col(f"__s{i}")).otherwise(1.0)
+    step = step.withColumns({f"__a{i}": F.lit(w) * ratio(i) for i, w in enumerate(white)})
+    step = step.withColumns({f"__m{i}": c for i, c in enumerate(_times(BRADFORD_INVERSE, tuple(F.col(f"__a{i}") for i in range(3))))})
+    step = step.withColumns({f"__c{i}": c for i, c in enumerate(_times(XYZ_TO_SRGB, tuple(F.col(f"__m{i}") for i in range(3))))})
+    out = step.withColumns({n: F.when(F.col("__known"), F.col(f"__c{i}") / F.col("__c1")).otherwise(1.0) for i, n in enumerate(names)})
+    return out.select(*[c for c in df.columns if c not in names], *names)
 
 
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
@@ -142,4 +148,23 @@ def tint_duv(tint: Column) -> Column:
     return -tint / 3000.0
 
 
-PI = math.pi
+def polynomial_terms(names: list[str], degree: int) -> dict[str, Column]:
+    """All products of up to ``degree`` columns, named by their letters: r, g, rr, rg, ..."""
+    from itertools import combinations_with_replacement
+
+    out = {}
+    for d in range(1, degree + 1):
+        for combo in combinations_with_replacement(names, d):
+            term = F.col(combo[0])
+            for name in combo[1:]:
+                term = term * F.col(name)
+            out["".join(combo)] = term
+    return out
+
+
+def reoriented(x: Column, y: Column, w: Column, h: Column, orientation: Column) -> tuple[Column, Column]:
+    """Origin of a normalised box after a quarter turn: orientation 6 and 8; others leave it."""
+    return (
+        F.when(orientation == 6, 1.0 - y - h).when(orientation == 8, y).otherwise(x),
+        F.when(orientation == 6, x).when(orientation == 8, 1.0 - x - w).otherwise(y),
+    )
