@@ -41,6 +41,7 @@ _VALUES = byte_values(1)[folded()]
 HEAVY_MOST = 1_000_000  # frequent columns, the most frequent first: 8 MB is the most that is broadcast
 COUNTS_HELD = 1 << 25  # of the table of small counts, 4 bits each: 16 MB, broadcast
 SMALL_MOST = 15
+UNLISTED = 1 << 40  # stands for the count of a column in more texts than the table can tell that was cut from the list
 CENSUS_ROWS = 4 << 20
 
 
@@ -135,17 +136,22 @@ class Columns:
         self.small = np.zeros((n_blocks, self.held // 2), dtype=np.uint8)
         for r in rows:
             self.small[r["block"]] = np.frombuffer(r["small"], dtype=np.uint8)
+        self.cut = np.zeros(n_blocks, dtype=bool)  # blocks whose list may lack columns
+        for r in rows:
+            self.cut[r["block"]] = len(r["often"]) >= max(1, HEAVY_MOST // n_blocks)
         often = np.concatenate([np.array(r["often"], dtype=np.int64) for r in rows] or [np.empty(0, dtype=np.int64)]).astype(U64)
         order = np.argsort(often)
         self.often = often[order]
         self.counts = np.concatenate([np.array(r["counts"], dtype=np.int64) for r in rows] or [np.empty(0, dtype=np.int64)])[order]
 
     def count(self, grams: np.ndarray) -> np.ndarray:
-        """In how many texts each column is, or more: 1 to ``SMALL_MOST``; above that the count, or the greatest number where the list lacks it."""
+        """In how many texts each column is, or more: 1 to ``SMALL_MOST``; above that the count, or ``UNLISTED`` where the list may lack it."""
         ids = column_id(grams, self.n_blocks)
         place = ids % U64(1 << 32) % U64(self.held)
-        byte = self.small[(ids >> U64(32)).astype(np.int64), (place >> U64(1)).astype(np.int64)]
+        block = (ids >> U64(32)).astype(np.int64)
+        byte = self.small[block, (place >> U64(1)).astype(np.int64)]
         n = np.maximum(np.where(place & U64(1), byte & 15, byte >> 4), 1).astype(np.int64)
+        n[(n == SMALL_MOST) & self.cut[block]] = UNLISTED
         if len(self.often):
             at = np.minimum(np.searchsorted(self.often, ids), len(self.often) - 1)
             hit = self.often[at] == ids
@@ -185,6 +191,7 @@ def prefixes(sets: DataFrame, percent: int, columns: Broadcast) -> DataFrame:
                 count = columns.value.count(grams)
                 others = np.maximum(count - batch.column(1)[i].as_py(), 0)
                 rank = np.where(count > SMALL_MOST, SMALL_MOST + np.log2(count).astype(np.int64), count)
+                rank[count == UNLISTED] = SMALL_MOST  # those cut are the rarest of the frequent
                 rank[others == 0] = 0
                 alone = int(np.count_nonzero(rank == 0))
                 if (len(grams) - alone) * 100 >= percent * len(grams):

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import oracles
+from tessera.llm import ngram_join, oracles
 from tessera.llm import token_output as tok
 from tessera.llm import toxicity as tox
 from tessera.llm import warc
@@ -142,6 +142,14 @@ def test_ngram_join_of_near_copies_at_the_threshold(spark):
     assert [got[i].component_id for i in range(len(texts))] == least
 
 
+def test_ngram_join_links_many_copies_beyond_the_list_of_frequent_columns(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY_MOST", 0)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words)] * 20 + [" ".join(words[:40] + ["other"] + words[41:])] + ["a text that nothing else is like at all"]
+    got = collected(ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)), "doc_id")
+    assert [got[i].component_id for i in range(22)] == [0] * 21 + [21]
+
+
 def test_decontamination(spark, docs, nothing):
     items = table(spark, ITEMS, "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
