@@ -2,11 +2,13 @@
 
 Templates are cut into pieces of at most ``PIECE`` words. Text windows that overlap by a grid are as long as
 a piece plus the grid's step, so that a piece lies whole in one. MinHash bands of windows and pieces retrieve
-candidates, and the share of a piece's word shingles in the window is then counted exactly. Windows that hold
-no shingle of any template cannot match and are not hashed: places of template shingles are joined first.
+candidates, whatever their share, and the share of the whole template's word shingles in the text is then counted
+exactly. Windows that hold no shingle of any template cannot match and are not hashed: places of template shingles
+are joined first.
 
 ``BANDS`` bands of one value each: a window with the share ``CONTAINED`` of a piece has at least a Jaccard
-similarity of about 0.4 with it, so it is missed with a probability of at most 0.6 ** 24, or 5e-6.
+similarity of about 0.4 with it, so it is missed with a probability of at most 0.6 ** 24, or 5e-6. A text with
+that share of a template has it of one piece at least.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
 
@@ -66,8 +68,8 @@ def min_hashes(grams: str) -> Column:
 def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
     """One row per document and license found in it: (id_col, license, n_pieces, matched_pieces, containment).
 
-    Words are as in the decontamination. A piece is found if some window holds at least ``contained`` of its
-    shingles; a license if its pieces' best shares, weighted by their shingles, come to that. Null and empty texts have
+    Words are as in the decontamination. A license is found if the text holds at least ``contained`` of its
+    pieces' shingles; ``matched_pieces`` counts the pieces of which it holds as much. Null and empty texts have
     no license, templates of fewer than five words none to find. Repeated rows of one id count as one
     document. Either table may be empty. Other columns are not read.
     """
@@ -92,10 +94,13 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     left = bands(windows, "own").select("id", "m", "k", "b", "v")
     right = bands(pieces, "grams").select("license", "piece", "m", "b", "v")
     pairs = left.join(near(right), ["m", "b", "v"]).select("id", "m", "k", "license", "piece").distinct()
-    share = F.size(F.array_intersect("own", "grams")) / F.size("grams")
-    checked = pairs.join(windows, ["id", "m", "k"]).join(near(pieces.select("license", "piece", "grams")), ["license", "piece"]).select("id", "license", "piece", share.alias("share"), F.size("grams").alias("n"))
-    found = checked.where(F.col("share") >= contained).groupBy("id", "license", "piece").agg(F.max("share").alias("share"), F.max("n").alias("n"))
+    candidates = pairs.select("id", "license").distinct()
+    # every place of a template shingle lies in some window, so a candidate's windows hold all of the template that its text holds
+    wanted = pieces.select("license", "piece", F.explode("grams").alias("g"))
+    held = windows.join(candidates.select("id").distinct(), "id", "left_semi").select("id", F.explode("own").alias("g"))
+    checked = held.join(near(wanted), "g").distinct().groupBy("id", "license", "piece").agg(F.count("*").alias("hit")).join(candidates, ["id", "license"])
+    found = checked.join(near(pieces.select("license", "piece", F.size("grams").alias("n"))), ["license", "piece"])
     every = pieces.groupBy("license").agg(F.count("*").alias("n_pieces"), F.sum(F.size("grams")).alias("total"))
-    best = found.groupBy("id", "license").agg(F.count("*").alias("matched_pieces"), F.sum(F.col("share") * F.col("n")).alias("weight")).join(near(every), "license")
+    best = found.groupBy("id", "license").agg(F.count_if(F.col("hit") / F.col("n") >= contained).alias("matched_pieces"), F.sum("hit").alias("weight")).join(near(every), "license")
     out = best.select(F.col("id").alias(id_col), "license", "n_pieces", "matched_pieces", F.round(F.col("weight") / F.col("total"), 6).alias("containment"))
     return out.where(F.col("containment") >= contained)

@@ -216,6 +216,18 @@ def test_license_scan(spark, docs, nothing):
     assert got == want and got
 
 
+def test_license_with_edits_in_single_pieces(spark):
+    words = [f"w{i}" for i in range(76)]  # six pieces of 12 shingles
+    edit = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    templates = spark.createDataFrame([("six", " ".join(words)), ("MIT-old", mit.replace(' (the "Software")', ""))], "license string, text string")
+    rows = [(0, edit()), (1, edit(8, 32)), (2, edit(8, 32, 56)), (3, mit)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.n_pieces, r.matched_pieces, r.containment) for r in license_scan(texts, templates).collect()}
+    assert got == {(0, "six"): (6, 6, 1.0), (1, "six"): (6, 4, round(62 / 72, 6)), (3, "MIT-old"): (2, 1, round(19 / 23, 6))}
+    assert {(r.license, r.containment) for r in license_scan(texts.where("doc_id = 3")).collect()} == {("MIT-text", 1.0)}
+
+
 def test_token_files(docs, library, nothing):
     got = collected(tok.token_files_digest(docs), "doc_id")
     start = 0
