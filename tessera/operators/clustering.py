@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
+from tessera.llm.workspace import new_folder, written
+
+from .ranking import global_rank
+
+SPAN = 20_000  # vectors of one range of the greedy clusters, which one task holds
 
 
 def centroids(vectors: DataFrame, group: str, vec: str) -> DataFrame:
@@ -55,19 +62,85 @@ def greedy_clusters(vectors: np.ndarray, threshold: float, whole: int = 1000, wi
     return found
 
 
-def greedy_centroid(vectors: DataFrame, key: str, vec: str, threshold: float = 0.60, page: int = 1000) -> DataFrame:
-    """(key, cluster): greedy clusters, from -1 downwards in order of creation, of the first ``page`` vectors by key.
+def _step(vectors: np.ndarray, first: int, state: tuple, threshold: float, window: int) -> tuple[np.ndarray, tuple]:
+    """The seed of each row of one range of places from ``first`` on, and the clusters still open behind it: (seeds, sizes, centres).
 
-    The page is the operator's feature, and what one task holds. Rows of a cluster of one are left out.
+    The rows one by one, each to the earliest open cluster that takes it: the same clusters as seed by seed.
+    """
+    seeds, sizes, centres = list(state[0]), list(state[1]), list(state[2])
+    block = np.zeros((2 * window + 2, vectors.shape[1]))
+    block[: len(seeds)] = np.reshape(centres, (len(seeds), vectors.shape[1]))
+    low, high = 0, len(seeds)  # the open clusters are seeds[low:high], in the same rows of the block
+    seeds, sizes = seeds + [0] * (len(block) - high), sizes + [0] * (len(block) - high)
+    out = np.empty(len(vectors), dtype=np.int64)
+    for i, v in enumerate(vectors):
+        while low < high and seeds[low] < first + i - window:
+            low += 1
+        taken = block[low:high] @ v > threshold
+        if taken.any():
+            c = low + int(np.argmax(taken))
+            sizes[c] += 1
+            centre = block[c] * (sizes[c] - 1) / sizes[c] + v / sizes[c]
+            size = np.sqrt(centre @ centre)
+            block[c] = centre / size if size > 0 else centre
+        else:
+            if high == len(block):
+                n = high - low
+                block[:n], seeds[:n], sizes[:n] = block[low:high].copy(), seeds[low:high], sizes[low:high]
+                low, high = 0, n
+            c, high = high, high + 1
+            block[c], seeds[c], sizes[c] = v, first + i, 1
+        out[i] = seeds[c]
+    return out, (seeds[low:high], sizes[low:high], [row.copy() for row in block[low:high]])
+
+
+def greedy_centroid(vectors: DataFrame, key: str, vec: str, threshold: float = 0.60, page: int | None = None, whole: int = 1000, window: int = 600) -> DataFrame:
+    """(key, cluster): greedy clusters, from -1 downwards in order of creation, of all vectors or of the first ``page`` by key.
+
+    Up to ``whole`` vectors are compared in full; of more, those at most ``window`` places apart in order of projection.
+    The order is cut into ranges of about ``SPAN`` rows, done one after the other as each starts from the clusters
+    that the one before leaves open. Rows of a cluster of one are left out.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["projection", key], kind="stable")
         own = np.stack([np.asarray(v, dtype=float) for v in rows[vec]]) if len(rows) else np.zeros((0, 1))
         keys = rows[key].to_numpy()
-        out = [(keys[i], -1 - c) for c, members in enumerate(greedy_clusters(own, threshold)) for i in members]
+        out = [(keys[i], -1 - c) for c, members in enumerate(greedy_clusters(own, threshold, whole, window)) for i in members]
         return pd.DataFrame(out, columns=[key, "cluster"])
 
-    first = vectors.orderBy(key).limit(page).select(key, vec, vector.projection(vec).alias("projection"))
+    first = vectors.orderBy(key).limit(page) if page is not None else vectors
+    first = first.select(key, vec, vector.projection(vec).alias("projection"))
     kind = vectors.schema[key].dataType.simpleString()
-    return first.groupBy(F.lit(0).alias("__page")).applyInPandas(run, f"`{key}` {kind}, cluster int")
+    n = first.count()
+    if n <= whole:
+        return first.groupBy(F.lit(0).alias("__page")).applyInPandas(run, f"`{key}` {kind}, cluster int")
+
+    spark, span = vectors.sparkSession, SPAN
+    path = new_folder(spark, "ranges")
+    # ranges are told from the written table: places by a second run of the sort need not agree
+    ordered = first.repartitionByRange(-(-n // span), "projection", key).withColumn("__range", F.spark_partition_id())
+    ordered.write.partitionBy("__range").parquet(path)
+    sizes = spark.read.parquet(path).groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect()  # one row a range
+
+    def step_of(at: int, state: tuple):
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["projection", key], kind="stable")
+            own = np.stack([np.asarray(v, dtype=float) for v in rows[vec]])
+            seeds, left = _step(own, at, state, threshold, window)
+            out = pd.DataFrame({key: rows[key].to_numpy(), "seed": seeds, "state": None})
+            return pd.concat([out, pd.DataFrame({key: [None], "seed": [-1], "state": [pickle.dumps(left)]})])
+
+        return step
+
+    state, done, at = ([], [], []), new_folder(spark, "greedy"), 0
+    for r, held in sizes:
+        rows = spark.read.parquet(f"{path}/__range={r}").select(key, vec, "projection")
+        step = rows.groupBy(F.lit(0).alias("__one")).applyInPandas(step_of(at, state), f"`{key}` {kind}, seed long, state binary")
+        step.write.parquet(f"{done}/r={r}")
+        state = pickle.loads(spark.read.parquet(f"{done}/r={r}").where("seed < 0").first()["state"])
+        at += held
+    seeded = spark.read.parquet(done).where("seed >= 0").select(key, "seed")
+    several = written(seeded.groupBy("seed").agg(F.count("*").alias("__n")).where("__n > 1").select("seed"), "several")
+    named = global_rank(several, ["seed"]).select("seed", (-F.col("rank")).cast("int").alias("cluster"))
+    return seeded.join(named, "seed").select(key, "cluster")

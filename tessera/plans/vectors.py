@@ -136,8 +136,8 @@ def related_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_cluster")
 def greedy_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of 1000 vectors, as the page is the operator's feature; each is in one cluster at most."""
-    return clustering.greedy_centroid(_vectors(spark, sf_dir), "vec_id", "embedding", threshold=0.30, page=1000)
+    """All vectors; each is in one cluster at most."""
+    return clustering.greedy_centroid(_vectors(spark, sf_dir), "vec_id", "embedding", threshold=0.30)
 
 
 @query("cluster_distinct_photos", "SELECT label, count(DISTINCT vec_id % 100) AS photos, count(*) AS members FROM embeddings GROUP BY label")

@@ -80,6 +80,18 @@ def test_greedy_clusters_by_definition():
     assert got == want and want
 
 
+@pytest.mark.parametrize("span", [20_000, 250])
+def test_greedy_clusters_of_all_rows(spark, monkeypatch, span):
+    monkeypatch.setattr(clustering, "SPAN", span, raising=False)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1300, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>").repartition(3)
+    order = [r.k for r in rows.withColumn("p", clustering.vector.projection("v")).orderBy("p", "k").collect()]
+    want = {order[i]: -1 - c for c, members in enumerate(clustering.greedy_clusters(v[order], 0.9)) for i in members}
+    assert {r.k: r.cluster for r in clustering.greedy_centroid(rows, "k", "v", 0.9).collect()} == want and len(want) > 1000
+
+
 def test_nms_keeps_the_best_of_overlapping(spark):
     rows = [("a", 1, 0.9, 0.0, 0.0, 1.0, 1.0), ("a", 2, 0.8, 0.1, 0.0, 1.0, 1.0), ("a", 3, 0.7, 2.0, 0.0, 1.0, 1.0), ("b", 4, 0.1, 0.1, 0.0, 1.0, 1.0)]
     got = ranking.greedy_nms(spark.createDataFrame(rows, "g string, id int, score double, x double, y double, w double, h double"), "g")
