@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
-from tessera.llm.workspace import new_folder, written
+from tessera.workspace import new_folder, written
 
 from .ranking import global_rank
 
-SPAN = 20_000  # vectors of one range of the greedy clusters, which one task holds
+SPAN = 4_000  # vectors of one range of the greedy clusters, which one task holds; some windows long, so that ranges hardly lean on each other
 
 
 def centroids(vectors: DataFrame, group: str, vec: str) -> DataFrame:
@@ -24,57 +22,45 @@ def centroids(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     return summed.select(group, "n", vector.l2_normalize(F.transform("__p", lambda x: x["__s"])).alias("centroid"))
 
 
-def best_centroid(vectors: DataFrame, vec: str, found: DataFrame, group: str, threshold: float, most: int = 10_000) -> DataFrame:
+def best_centroid(vectors: DataFrame, vec: str, found: DataFrame, group: str, threshold: float, block: int = 10_000) -> DataFrame:
     """Each vector with its nearest centroid (group, score) if over the threshold; equal scores fall to the least group.
 
-    The centroids are one array that is sent to every task; more than ``most`` of them raise.
+    The centroids, a given query set against all rows, go to every task in blocks of at most ``block``; the best of one block
+    is carried to the next, so a vector is one row throughout.
     """
-    if found.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids; match them in blocks of groups")
-    listed = found.agg(F.collect_list(F.struct(F.col(group).alias("g"), "centroid")).alias("__all"))
-    best = F.array_max(F.transform("__all", lambda c: F.struct(vector.dot(vec, c["centroid"]).alias("s"), (-c["g"]).alias("g"))))
-    matched = vectors.crossJoin(F.broadcast(listed)).withColumn("__b", best).where(F.col("__b.s") > threshold)
-    return matched.withColumn(group, -F.col("__b.g")).withColumn("score", F.col("__b.s")).drop("__b", "__all")
-
-
-def greedy_clusters(vectors: np.ndarray, threshold: float, whole: int = 1000, window: int = 600) -> list[list[int]]:
-    """Clusters (places in order) of rows that are in order of projection: each free row seeds one, and later rows within reach
-    join while their similarity to the running centroid is over the threshold; single rows are left out."""
-    n = len(vectors)
-    reach = n if n <= whole else window
-    free = np.ones(n, dtype=bool)
-    found = []
-    for seed in range(n):
-        if not free[seed]:
-            continue
-        free[seed] = False
-        centre, members = vectors[seed].copy(), [seed]
-        for other in range(seed + 1, min(n, seed + 1 + reach)):
-            if free[other] and centre @ vectors[other] > threshold:
-                free[other] = False
-                members.append(other)
-                k = len(members)
-                centre = centre * (k - 1) / k + vectors[other] / k
-                size = np.sqrt(centre @ centre)
-                centre = centre / size if size > 0 else centre
-        if len(members) > 1:
-            found.append(members)
-    return found
-
-
-def _step(vectors: np.ndarray, first: int, state: tuple, threshold: float, window: int) -> tuple[np.ndarray, tuple]:
-    """The seed of each row of one range of places from ``first`` on, and the clusters still open behind it: (seeds, sizes, centres).
-
-    The rows one by one, each to the earliest open cluster that takes it: the same clusters as seed by seed.
+    count = found.count()
+    blocks = max(1, -(-count // block))
+    if blocks > 1:
+        found = written(found.withColumn("__k", F.pmod(F.xxhash64(group), F.lit(blocks))), "centroids")
+    matched = vectors.withColumn("__b", F.lit(None).cast(f"struct<s:double,g:{found.schema[group].dataType.simpleString()}>"))
+    for k in range(blocks):
+        own = found.where(F.col("__k") == k) if blocks > 1 else found
+        listed = own.agg(F.collect_list(F.struct(F.col(group).alias("g"), "centroid")).alias("__all"))
+        best = F.array_max(F.transform("__all", lambda c: F.struct(vector.dot(vec, c["centroid"]).alias("s"), (-c["g"]).alias("g"))))
+        matched = matched.crossJoin(F.broadcast(listed)).withColumn("__b", F.greatest("__b", best)).drop("__all")
+    matched = matched.where(F.col("__b.s") > threshold)
+    return matched.withColumn(group, -F.col("__b.g")).withColumn("score", F.col("__b.s")).drop("__b")
+
+
+STATE = "seeds array<long>, sizes array<long>, centres array<double>"
+
+
+def cluster_range(vectors: np.ndarray, first: int, state: tuple, threshold: float, window: int) -> tuple[np.ndarray, tuple]:
+    """The seed of each row of the places from ``first`` on, and the clusters that are still open behind them.
+
+    A seed takes the free rows of the next ``window - 1`` places that are similar enough to its running centroid. Told row by
+    row: each goes to the earliest open cluster that takes it, else it seeds one; a cluster is open for ``window - 1`` places.
+    A state is (seeds, sizes, centres) in order of the seeds.
     """
-    seeds, sizes, centres = list(state[0]), list(state[1]), list(state[2])
-    block = np.zeros((2 * window + 2, vectors.shape[1]))
-    block[: len(seeds)] = np.reshape(centres, (len(seeds), vectors.shape[1]))
-    low, high = 0, len(seeds)  # the open clusters are seeds[low:high], in the same rows of the block
+    width = vectors.shape[1]
+    seeds, sizes = list(state[0]), list(state[1])
+    block = np.zeros((2 * window + 2, width))
+    block[: len(seeds)] = np.reshape(np.asarray(state[2], dtype=float), (len(seeds), width))
+    low, high = 0, len(seeds)  # the open clusters, in the same places of seeds, sizes and block
     seeds, sizes = seeds + [0] * (len(block) - high), sizes + [0] * (len(block) - high)
     out = np.empty(len(vectors), dtype=np.int64)
-    for i, v in enumerate(vectors):
-        while low < high and seeds[low] < first + i - window:
+    for place, v in enumerate(vectors, first):
+        while low < high and seeds[low] <= place - window:
             low += 1
         taken = block[low:high] @ v > threshold
         if taken.any():
@@ -89,58 +75,59 @@ def _step(vectors: np.ndarray, first: int, state: tuple, threshold: float, windo
                 block[:n], seeds[:n], sizes[:n] = block[low:high].copy(), seeds[low:high], sizes[low:high]
                 low, high = 0, n
             c, high = high, high + 1
-            block[c], seeds[c], sizes[c] = v, first + i, 1
-        out[i] = seeds[c]
-    return out, (seeds[low:high], sizes[low:high], [row.copy() for row in block[low:high]])
+            block[c], seeds[c], sizes[c] = v, place, 1
+        out[place - first] = seeds[c]
+    return out, (seeds[low:high], sizes[low:high], block[low:high].copy())
 
 
 def greedy_centroid(vectors: DataFrame, key: str, vec: str, threshold: float = 0.60, page: int | None = None, whole: int = 1000, window: int = 600) -> DataFrame:
     """(key, cluster): greedy clusters, from -1 downwards in order of creation, of all vectors or of the first ``page`` by key.
 
-    Up to ``whole`` vectors are compared in full; of more, those at most ``window`` places apart in order of projection.
-    The order is cut into ranges of about ``SPAN`` rows, done one after the other as each starts from the clusters
-    that the one before leaves open. Rows of a cluster of one are left out.
+    Rows are taken in order of projection; up to ``whole`` are compared in full, of more those less than ``window`` places
+    apart. The order is cut into ranges of about ``SPAN`` rows. All ranges are clustered at once, each from the clusters that it
+    takes the range before to leave open; those that were taken wrongly are clustered again from what it did leave, until none is.
+    What a range leaves hardly depends on what it was given, so two or three rounds do; the result is that of one pass in order.
+    Rows of a cluster of one are left out; null and empty vectors are in none. Needs ``threshold`` >= 0.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["projection", key], kind="stable")
-        own = np.stack([np.asarray(v, dtype=float) for v in rows[vec]]) if len(rows) else np.zeros((0, 1))
-        keys = rows[key].to_numpy()
-        out = [(keys[i], -1 - c) for c, members in enumerate(greedy_clusters(own, threshold, whole, window)) for i in members]
-        return pd.DataFrame(out, columns=[key, "cluster"])
-
+    spark = vectors.sparkSession
     first = vectors.orderBy(key).limit(page) if page is not None else vectors
-    first = first.select(key, vec, vector.projection(vec).alias("projection"))
-    kind = vectors.schema[key].dataType.simpleString()
-    n = first.count()
-    if n <= whole:
-        return first.groupBy(F.lit(0).alias("__page")).applyInPandas(run, f"`{key}` {kind}, cluster int")
-
-    spark, span = vectors.sparkSession, SPAN
-    path = new_folder(spark, "ranges")
-    # ranges are told from the written table: places by a second run of the sort need not agree
-    ordered = first.repartitionByRange(-(-n // span), "projection", key).withColumn("__range", F.spark_partition_id())
-    ordered.write.partitionBy("__range").parquet(path)
-    sizes = spark.read.parquet(path).groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect()  # one row a range
-
-    def step_of(at: int, state: tuple):
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["projection", key], kind="stable")
-            own = np.stack([np.asarray(v, dtype=float) for v in rows[vec]])
-            seeds, left = _step(own, at, state, threshold, window)
-            out = pd.DataFrame({key: rows[key].to_numpy(), "seed": seeds, "state": None})
-            return pd.concat([out, pd.DataFrame({key: [None], "seed": [-1], "state": [pickle.dumps(left)]})])
-
-        return step
-
-    state, done, at = ([], [], []), new_folder(spark, "greedy"), 0
-    for r, held in sizes:
-        rows = spark.read.parquet(f"{path}/__range={r}").select(key, vec, "projection")
-        step = rows.groupBy(F.lit(0).alias("__one")).applyInPandas(step_of(at, state), f"`{key}` {kind}, seed long, state binary")
-        step.write.parquet(f"{done}/r={r}")
-        state = pickle.loads(spark.read.parquet(f"{done}/r={r}").where("seed < 0").first()["state"])
-        at += held
-    seeded = spark.read.parquet(done).where("seed >= 0").select(key, "seed")
-    several = written(seeded.groupBy("seed").agg(F.count("*").alias("__n")).where("__n > 1").select("seed"), "several")
+    width = first.where(F.size(vec) > 0).select(F.size(vec).alias("n")).first()
+    zeros = F.array_repeat(F.lit(0.0), width["n"] if width else 1)
+    filled = first.select(key, F.when(F.size(vec) > 0, F.col(vec).cast("array<double>")).otherwise(zeros).alias("vec"), F.coalesce(vector.projection(vec), F.lit(0.0)).alias("projection"))
+    n = filled.count()
+    reach, span = (max(n, 1), max(n, 1)) if n <= whole else (window, SPAN)
+    path, kind = new_folder(spark, "ranges"), vectors.schema[key].dataType.simpleString()
+    # places are told from the written table: a second run of the sort need not cut it alike
+    filled.repartitionByRange(max(1, -(-n // span)), "projection", key).withColumn("range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    places = written(rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"), (F.row_number().over(Window.orderBy("range")) - 1).alias("turn")), "places")
+
+    def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(given):
+            return pd.DataFrame(columns=[key, "seed", "turn", "seeds", "sizes", "centres"])
+        own = own.sort_values(["projection", key], kind="stable")
+        start = given.iloc[0]
+        seeds, (left, sizes, centres) = cluster_range(np.stack(own["vec"].to_numpy()), int(start["at"]), (start["seeds"], start["sizes"], start["centres"]), threshold, reach)
+        out = pd.DataFrame({key: own[key].to_numpy(), "seed": seeds, "turn": int(start["turn"]), "seeds": None, "sizes": None, "centres": None})
+        state = pd.DataFrame({key: [None], "seed": [-1], "turn": [int(start["turn"])], "seeds": [left], "sizes": [sizes], "centres": [centres.ravel()]})
+        return pd.concat([out, state.astype({key: out[key].dtype}, errors="ignore")])
+
+    nothing = [F.array().cast(t.split(" ")[1]).alias(t.split(" ")[0]) for t in STATE.split(", ")]
+    todo = written(places.select("range", "at", "turn", *nothing), "given")
+    given, done = todo, None
+    while done is None or not todo.isEmpty():
+        fresh = rows.join(F.broadcast(todo.select("range")), "range", "left_semi").groupBy("range").cogroup(todo.groupBy("range")).applyInPandas(run, f"`{key}` {kind}, seed long, turn int, {STATE}")
+        fresh = written(fresh, "clustered")
+        done = fresh if done is None else written(done.join(F.broadcast(todo.select("turn")), "turn", "left_anti").unionByName(fresh), "clustered")
+        left = done.where("seed < 0").select((F.col("turn") + 1).alias("turn"), "seeds", "sizes", "centres")
+        names = ["seeds", "sizes", "centres"]
+        wanted = places.join(left, "turn", "left").select("range", "at", "turn", *[F.coalesce(c, nothing[i]).alias(c) for i, c in enumerate(names)])
+        wanted = written(wanted, "given")
+        was = given.select("turn", F.xxhash64(*names).alias("was"))
+        todo = wanted.withColumn("now", F.xxhash64(*names)).join(was, "turn").where("now <> was").drop("now", "was")
+        todo, given = written(todo, "todo"), wanted
+    seeded = done.where("seed >= 0").select(key, "seed")
+    several = written(seeded.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "several")
     named = global_rank(several, ["seed"]).select("seed", (-F.col("rank")).cast("int").alias("cluster"))
     return seeded.join(named, "seed").select(key, "cluster")

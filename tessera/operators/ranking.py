@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.workspace import written
+
 
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """Ranks from 1 over the whole table, with a range-partitioned sort and one offset for each partition.
 
-    No task sees all rows, unlike with a window that has no partitioning. ``order`` must be total.
+    No task sees all rows, unlike with a window that has no partitioning. ``order`` must be total. The sorted rows are written
+    once and both places and sizes are read from there: a second run of the sort need not cut the rows alike.
     """
     part, place = "__part", "__place"
     rows = df.orderBy(*order).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place))
+    rows = written(rows, "ranked")
     sizes = rows.groupBy(part).agg(F.count("*").alias("__n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = sizes.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

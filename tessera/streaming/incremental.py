@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (one machine), below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+from tessera.workspace import new_folder
 
 
 def file_stream(spark: SparkSession, path: str, files_a_batch: int = 8) -> DataFrame:
@@ -27,7 +21,7 @@ def file_stream(spark: SparkSession, path: str, files_a_batch: int = 8) -> DataF
 
 
 def run_to_end(stream: DataFrame, apply, spark: SparkSession, mode: str = "append") -> None:
-    query = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", shared_folder(spark, "stream")).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -37,7 +31,7 @@ def latest_per_user(spark: SparkSession, path: str) -> DataFrame:
     Each batch is pre-aggregated and merged with the snapshot before; a snapshot is a folder named by its batch, so a batch
     that is run again after a failure writes the same snapshot.
     """
-    root = shared_folder(spark, "latest")
+    root = new_folder(spark, "latest")
     schema = "user_id long, last struct<ts:timestamp_ntz,event_id:long>, n long"
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -55,9 +49,9 @@ def latest_per_user(spark: SparkSession, path: str) -> DataFrame:
 
 def first_seen(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Each combination of keys once, by the stream's own state."""
-    target = shared_folder(spark, "seen")
+    target = new_folder(spark, "seen")
     seen = file_stream(spark, path).select(*keys).dropDuplicates(keys)
-    query = seen.writeStream.format("parquet").option("path", target).option("checkpointLocation", shared_folder(spark, "stream")).trigger(availableNow=True).start()
+    query = seen.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(seen.schema).parquet(target)
 

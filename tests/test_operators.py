@@ -59,37 +59,54 @@ def test_gap_fill_goes_on_along_the_line(spark):
     assert [(r.t, r.how) for r in got] == [(2700.0, "after")] and got[0].lat == pytest.approx(35.05)
 
 
-def test_greedy_clusters_by_definition():
-    rng = np.random.default_rng(2)
-    v = rng.normal(size=(60, 8))
-    v[20:40] = v[:20] + rng.normal(size=(20, 8)) * 0.2
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    got = clustering.greedy_clusters(v, 0.6, whole=10, window=15)
-    free, want = set(range(60)), []
-    for seed in range(60):
-        if seed in free:
-            members, centre = [seed], v[seed]
-            for other in range(seed + 1, min(60, seed + 16)):
-                if other in free and centre @ v[other] > 0.6:
-                    members.append(other)
-                    centre = centre * (len(members) - 1) / len(members) + v[other] / len(members)
-                    centre = centre / np.linalg.norm(centre)
-            free -= set(members)
-            if len(members) > 1:
-                want.append(members)
-    assert got == want and want
-
-
-@pytest.mark.parametrize("span", [20_000, 250])
-def test_greedy_clusters_of_all_rows(spark, monkeypatch, span):
-    monkeypatch.setattr(clustering, "SPAN", span, raising=False)
-    rng = np.random.default_rng(5)
-    v = rng.normal(size=(1300, 6))
+def greedy(v, threshold, whole=1000, window=600):
+    """Seed by seed, as the survey states it: the window's end is the seed's place plus the window, itself included."""
+    n = len(v)
+    reach = n if n <= whole else window
+    free, found = [True] * n, []
+    for i in range(n):
+        if not free[i]:
+            continue
+        members, centre = [i], v[i]
+        for j in range(i + 1, min(i + reach, n)):
+            if free[j] and centre @ v[j] > threshold:
+                free[j] = False
+                members.append(j)
+                centre = centre * (len(members) - 1) / len(members) + v[j] / len(members)
+                centre = centre / np.linalg.norm(centre)
+        if len(members) > 1:
+            found.append(members)
+    return found
+
+
+@pytest.mark.parametrize(("n", "whole", "window", "span"), [(300, 1000, 600, 4000), (700, 100, 15, 4000), (700, 100, 15, 60), (700, 100, 90, 50), (1300, 1000, 600, 400)])
+def test_greedy_clusters_of_all_rows(spark, monkeypatch, n, whole, window, span):
+    monkeypatch.setattr(clustering, "SPAN", span)
+    rng = np.random.default_rng(n + window)
+    v = rng.normal(size=(n, 6))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>").repartition(3)
     order = [r.k for r in rows.withColumn("p", clustering.vector.projection("v")).orderBy("p", "k").collect()]
-    want = {order[i]: -1 - c for c, members in enumerate(clustering.greedy_clusters(v[order], 0.9)) for i in members}
-    assert {r.k: r.cluster for r in clustering.greedy_centroid(rows, "k", "v", 0.9).collect()} == want and len(want) > 1000
+    want = {order[i]: -1 - c for c, members in enumerate(greedy(v[order], 0.8, whole, window)) for i in members}
+    got = {r.k: r.cluster for r in clustering.greedy_centroid(rows, "k", "v", 0.8, whole=whole, window=window).collect()}
+    assert got == want and len(want) > 50
+
+
+def test_greedy_clusters_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0, 0.0]), (5, [0.0, 1.0])], "k long, v array<double>")
+    assert {r.k: r.cluster for r in clustering.greedy_centroid(rows, "k", "v", 0.6).collect()} == {1: -1, 4: -1}
+    assert clustering.greedy_centroid(rows.limit(0), "k", "v", 0.6).count() == 0
+
+
+def test_best_centroid_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x)
+    c, v = [unit(rng.normal(size=4)) for _ in range(23)], [unit(rng.normal(size=4)) for _ in range(40)]
+    found = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "g long, centroid array<double>")
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    want = {i: int(np.argmax([x @ y for y in c])) for i, x in enumerate(v) if max(x @ y for y in c) > 0.5}
+    for block in (4, 100):
+        assert {r.k: r.g for r in clustering.best_centroid(rows, "v", found, "g", 0.5, block=block).collect()} == want
 
 
 def test_nms_keeps_the_best_of_overlapping(spark):
