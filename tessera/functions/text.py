@@ -203,3 +203,16 @@ def stars(rating: Column) -> Column:
 def tags_text(tags: Column | str) -> Column:
     """A JSON array of strings joined by commas; other text as it is."""
     return F.coalesce(F.array_join(F.from_json(_col(tags), "array<string>"), ", "), _col(tags))
+
+
+def url_encoded(value: Column | str) -> Column:
+    """Percent-encoding of all bytes but ASCII letters, digits and ``-_.~``."""
+    return F.replace(F.replace(F.replace(F.url_encode(_col(value)), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def xml_unescaped(value: Column | str) -> Column:
+    """The five named entities of XML; the ampersand last, so that nothing is read twice."""
+    out = _col(value)
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return out

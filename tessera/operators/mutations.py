@@ -110,3 +110,22 @@ def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     rest = [c for c in old.columns if c != key]
     both = old.select(key, F.struct(*rest).alias("__a")).join(new.select(key, F.struct(*rest).alias("__b")), key)
     return both.where(~F.col("__a").eqNullSafe(F.col("__b"))).select(key)
+
+
+def merge_persons(rows: DataFrame, persons: DataFrame, owner: str, key: str, target, source) -> tuple[DataFrame, DataFrame]:
+    """(rows, persons): rows of ``source`` go to ``target``, and the source person is deleted."""
+    return merge_keys(rows, owner, target, source), persons.where(~F.col(key).eqNullSafe(F.lit(source)))
+
+
+def rename_unique(rows: DataFrame, key: str, name: str, which, new: str) -> DataFrame:
+    """``rows`` with one renamed, and ``renamed``: whether that was done. A name that another row has changes nothing."""
+    taken = rows.where((F.col(name) == new) & (F.col(key) != which)).limit(1).agg((F.count("*") > 0).alias("__taken"))
+    free = rows.crossJoin(F.broadcast(taken)).withColumn("renamed", (F.col(key) == which) & ~F.col("__taken"))
+    return free.withColumn(name, F.when(F.col("renamed"), F.lit(new)).otherwise(F.col(name))).drop("__taken")
+
+
+def insert_valid(old: DataFrame, new: DataFrame, keys: list[str], valid: Column) -> tuple[DataFrame, DataFrame]:
+    """(table, (offered, inserted)): the valid new rows are added, others counted only; of rows whose key is there or repeats one at most is."""
+    fit = new.where(valid).dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+    counts = new.agg(F.count("*").alias("offered")).crossJoin(fit.agg(F.count("*").alias("inserted")))
+    return old.unionByName(fit), counts

@@ -1,18 +1,20 @@
 """As-of matching and gap filling of time series.
 
-Series are matched within a partition key and, for a key that is one long series, within time buckets that
-take their neighbours' edges along, so that no task needs to hold a whole series.
+Series are matched within a key and time buckets. Each bucket gets the last known row of those before it and the first of
+those after it, told from one row a bucket, so that no task holds a whole series.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def neighbours(df: DataFrame, key: str, time: str, centre_id, n: int) -> DataFrame:
     """Up to n rows before and after one row in order of (time, key), and itself, with their offset; by two top-n limits, not a global window."""
-    centre = df.where(F.col(key) == centre_id).select(F.col(time).alias("__t"), F.col(key).alias("__k"))
+    centre = df.where(F.col(key) == centre_id).select(F.col(time).alias("__t"), F.col(key).alias("__k")).limit(1)
     both = df.crossJoin(F.broadcast(centre))
     place = F.struct(time, key)
     at = F.struct(F.col("__t").alias(time), F.col("__k").alias(key))
@@ -21,13 +23,29 @@ def neighbours(df: DataFrame, key: str, time: str, centre_id, n: int) -> DataFra
     return before.unionByName(after).drop("__t", "__k")
 
 
-def _around(rows: DataFrame, keys: list[str], time: str, known: Column, values: list[str]) -> DataFrame:
+BUCKET = 86_400.0  # seconds of a series that one task sorts
+
+
+def _carried(rows: DataFrame, keys: list[str], time: str, anchor: Column, bucket: float) -> DataFrame:
+    """``rows`` with their time bucket (__b), their anchor (__anchor, null if there is none) and the last anchor of earlier buckets (__before) and the
+    first of later ones (__after). An anchor is a struct that begins with its time."""
+    part = rows.withColumn("__b", F.floor(F.col(time) / bucket)).withColumn("__anchor", anchor)
+    per = part.groupBy(*keys, "__b").agg(F.min("__anchor").alias("__first"), F.max("__anchor").alias("__last"))
+    series = Window.partitionBy(*keys).orderBy("__b")  # one row a bucket
+    before = F.last("__last", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__first", ignorenulls=True).over(series.rowsBetween(1, Window.unboundedFollowing))
+    per = per.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), before.alias("__before"), after.alias("__after"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__b") == F.col("__kb"))
+    return part.join(per, same).drop("__kb", *[f"__k{i}" for i in range(len(keys))])
+
+
+def _around(rows: DataFrame, keys: list[str], time: str, known: Column, values: list[str], bucket: float) -> DataFrame:
     """``rows`` with p and n: the nearest known (time, *values) at or before, and at or after, in the same key."""
-    anchor = F.when(known, F.struct(F.col(time).alias("t"), *values))
-    order = Window.partitionBy(*keys).orderBy(time)
-    back = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.withColumn("p", F.last(anchor, ignorenulls=True).over(back)).withColumn("n", F.first(anchor, ignorenulls=True).over(ahead))
+    carried = _carried(rows, keys, time, F.when(known, F.struct(F.col(time).alias("t"), *values)), bucket)
+    order = Window.partitionBy(*keys, "__b").orderBy(time)
+    back = F.last("__anchor", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.first("__anchor", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    return carried.withColumns({"p": F.coalesce(back, "__before"), "n": F.coalesce(ahead, "__after")}).drop("__b", "__anchor", "__before", "__after")
 
 
 def _between(field: str, time: str) -> Column:
@@ -36,7 +54,7 @@ def _between(field: str, time: str) -> Column:
     return F.col(f"p.{field}") + share * (F.col(f"n.{field}") - F.col(f"p.{field}"))
 
 
-def asof_interpolate(targets: DataFrame, track: DataFrame, keys: list[str], key: str, time: str, lat: str, lon: str, edge: float = 3600, gap: float = 86400) -> DataFrame:
+def asof_interpolate(targets: DataFrame, track: DataFrame, keys: list[str], key: str, time: str, lat: str, lon: str, edge: float = 3600, gap: float = 86400, bucket: float = BUCKET) -> DataFrame:
     """Targets (keys, key, time) with a position from the track (keys, time, lat, lon).
 
     Linear between the two neighbouring points if these are less than ``gap`` apart; a target outside the track takes
@@ -45,7 +63,7 @@ def asof_interpolate(targets: DataFrame, track: DataFrame, keys: list[str], key:
     """
     points = track.where(F.col(time) > 0).select(*keys, F.col(time).cast("double").alias(time), lat, lon, F.lit(None).cast(targets.schema[key].dataType).alias(key), F.lit(True).alias("__known"))
     wanted = targets.where(F.col(time) != 0).select(*keys, F.col(time).cast("double").alias(time), F.lit(None).cast("double").alias(lat), F.lit(None).cast("double").alias(lon), key, F.lit(False).alias("__known"))
-    found = _around(points.unionByName(wanted), keys, time, F.col("__known"), [lat, lon]).where(~F.col("__known"))
+    found = _around(points.unionByName(wanted), keys, time, F.col("__known"), [lat, lon], bucket).where(~F.col("__known"))
     inside = F.col("p.t").isNotNull() & F.col("n.t").isNotNull() & (F.col("n.t") - F.col("p.t") < gap)
     early = F.col("p.t").isNull() & (F.col("n.t") - F.col(time) < edge)
     late = F.col("n.t").isNull() & (F.col(time) - F.col("p.t") < edge)
@@ -53,18 +71,18 @@ def asof_interpolate(targets: DataFrame, track: DataFrame, keys: list[str], key:
     return found.select(*keys, key, time, value(lat).alias("m_lat"), value(lon).alias("m_lon")).where(F.col("m_lat").isNotNull())
 
 
-def gap_fill(rows: DataFrame, keys: list[str], time: str, lat: str, lon: str, known: Column, both_sides: float = 7200, one_side: float = 1800) -> DataFrame:
+def gap_fill(rows: DataFrame, keys: list[str], time: str, lat: str, lon: str, known: Column, both_sides: float = 7200, one_side: float = 1800, bucket: float = BUCKET) -> DataFrame:
     """Rows without a position, filled from their own series; all bounds are inclusive.
 
     With known neighbours on both sides within ``both_sides``: linear (the middle if they coincide). Else from the one before within
     ``one_side``: on along the line through it and the one before that, or at it if there is none; else likewise from the one after.
     """
-    order = Window.partitionBy(*keys).orderBy(time)
-    own = rows.where(known).select(*keys, F.col(time), lat, lon)
-    own = own.withColumn("p2", F.lag(F.struct(F.col(time).alias("t"), lat, lon)).over(order)).withColumn("n2", F.lead(F.struct(F.col(time).alias("t"), lat, lon)).over(order)).withColumn("__known", F.lit(True))
+    own = _carried(rows.where(known).select(*keys, F.col(time), lat, lon), keys, time, F.struct(F.col(time).alias("t"), lat, lon), bucket)
+    order = Window.partitionBy(*keys, "__b").orderBy(time)
+    own = own.withColumns({"p2": F.coalesce(F.lag("__anchor").over(order), "__before"), "n2": F.coalesce(F.lead("__anchor").over(order), "__after"), "__known": F.lit(True)}).drop("__b", "__anchor", "__before", "__after")
     blank = rows.where(~known).withColumns({lat: F.lit(None).cast("double"), lon: F.lit(None).cast("double"), "__known": F.lit(False)})
     every = own.unionByName(blank, allowMissingColumns=True)
-    found = _around(every, keys, time, F.col("__known"), [lat, lon, "p2", "n2"]).where(~F.col("__known"))
+    found = _around(every, keys, time, F.col("__known"), [lat, lon, "p2", "n2"], bucket).where(~F.col("__known"))
     t = F.col(time)
     back, ahead = t - F.col("p.t"), F.col("n.t") - t
     both = (back <= both_sides) & (ahead <= both_sides)

@@ -50,18 +50,21 @@ def _wb_sql() -> str:
     lms = ", ".join(f"{a} AS l{i}" for i, a in enumerate(adapted))
     back = ", ".join(f"{a} AS m{i}" for i, a in enumerate(times(color.BRADFORD_INVERSE, ("l0", "l1", "l2"))))
     r, g, b = times(color.XYZ_TO_SRGB, ("m0", "m1", "m2"))
+    slope = lambda p: f"CASE WHEN {p}k BETWEEN 1667 AND 2222 THEN {_poly(f'{p}x', *color.SLOPE_LOW)} WHEN {p}k > 2222 AND {p}k <= 4000 THEN {_poly(f'{p}x', *color.SLOPE_MID)} ELSE {_poly(f'{p}x', *color.SLOPE_HIGH)} END"
+    moved = lambda p: f"{p}x + CASE WHEN {p}t = 0 THEN 0 ELSE -{p}t / 3000 * {p}d / sqrt(1 + {p}d * {p}d) END AS {p}x, {p}y - CASE WHEN {p}t = 0 THEN 0 ELSE -{p}t / 3000 / sqrt(1 + {p}d * {p}d) END AS {p}y"
     tx, ty = _xy("tk")
     sx, sy = _xy("sk")
     return f"""
-WITH e AS (SELECT event_id, (2000 + event_id % 9000)::DOUBLE AS tk, (3000 + event_id % 5000)::DOUBLE AS sk FROM events),
-x AS (SELECT *, {tx} AS tx, {sx} AS sx FROM e), y AS (SELECT *, {ty.replace(' x ', ' tx ')} AS ty, {sy.replace(' x ', ' sx ')} AS sy FROM x),
+WITH e AS (SELECT event_id, (2000 + event_id % 9000)::DOUBLE AS tk, (3000 + event_id % 5000)::DOUBLE AS sk, (event_id % 41 - 20)::DOUBLE AS tt, (event_id % 31 - 15)::DOUBLE AS st FROM events),
+x AS (SELECT *, {tx} AS tx, {sx} AS sx FROM e), d AS (SELECT *, {ty.replace(' x ', ' tx ')} AS ty, {sy.replace(' x ', ' sx ')} AS sy, {slope("t")} AS td, {slope("s")} AS sd FROM x),
+y AS (SELECT * REPLACE ({moved("t")}, {moved("s")}) FROM d),
 l AS (SELECT event_id, {lms} FROM y), m AS (SELECT event_id, {back} FROM l) SELECT event_id, round({r} / {g}, 5) AS r, round({b} / {g}, 5) AS b FROM m"""
 
 
 @query("wb_multiplier", _wb_sql())
 def wb_multiplier(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
-    found = color.with_wb(T(spark, sf, "events").select("event_id"), 2000 + k % 9000, 3000 + k % 5000)
+    found = color.with_wb(T(spark, sf, "events").select("event_id"), 2000 + k % 9000, 3000 + k % 5000, target_tint=(k % 41 - 20).cast("double"), as_shot_tint=(k % 31 - 15).cast("double"))
     return found.select("event_id", F.round("r", 5).alias("r"), F.round("b", 5).alias("b"))
 
 
@@ -84,10 +87,11 @@ def piecewise_linear(spark: SparkSession, sf: str) -> DataFrame:
     return T(spark, sf, "events").select("event_id", F.round(color.interpolate(F.col("value"), [0.0, 10.0, 50.0, 200.0], [1.0, 0.9, 0.5, 0.25]), 6).alias("v"))
 
 
-@query("tone_curve", "WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 5 AS v, l_tax * 10 AS ev, (l_quantity - 25)::DOUBLE AS c FROM lineitem), l AS (SELECT *, pow(v, 2.2) * pow(2, ev) AS lin FROM e) SELECT round(avg(pow(greatest(CASE WHEN c <> 0 THEN 0.18 * pow(greatest(lin, 0.00001) / 0.18, 1 + c / 100 * 1.5) ELSE lin END, 0), 1 / 2.2::DOUBLE)), 6) AS mean, l_suppkey FROM l GROUP BY l_suppkey")
+@query("tone_curve", "WITH e AS (SELECT l_suppkey, l_discount * 5 AS v, l_tax * 10 AS ev, (l_quantity - 25)::DOUBLE AS c FROM lineitem), l AS (SELECT *, pow(v, 2.2) * pow(2, ev) AS lin FROM e) SELECT round(avg(pow(greatest(CASE WHEN c <> 0 THEN 0.18 * pow(greatest(lin, 0.00001) / 0.18, 1 + c / 100 * 1.5) ELSE lin END, 0), 1 / 2.2::DOUBLE)), 6) AS mean, l_suppkey FROM l GROUP BY l_suppkey")
 def tone_curve(spark: SparkSession, sf: str) -> DataFrame:
-    out = color.exposure_contrast(F.col("l_discount") * 5, F.col("l_tax") * 10, F.col("l_quantity") - 25)
-    return T(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(out), 6).alias("mean"))
+    gray = T(spark, sf, "lineitem").select("l_suppkey", (F.col("l_discount") * 5).alias("v"), "l_tax", "l_quantity")
+    out = color.with_tone(gray, ("v", "v", "v"), {"exposure": F.col("l_tax") * 10, "contrast": F.col("l_quantity") - 25})
+    return out.groupBy("l_suppkey").agg(F.round(F.avg("out_g"), 6).alias("mean"))
 
 
 @query("ycbcr_roundtrip", "WITH e AS (SELECT event_id, (event_id % 7) / 7::DOUBLE AS r, (event_id % 11) / 11::DOUBLE AS g, (event_id % 13) / 13::DOUBLE AS b FROM events), y AS (SELECT event_id, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y, -0.169::DOUBLE * r - 0.331::DOUBLE * g + 0.5 * b AS cb, 0.5 * r - 0.419::DOUBLE * g - 0.081::DOUBLE * b AS cr FROM e) SELECT event_id, round(y, 6) AS y, round(y + 1.402 * cr, 6) + 0.0 AS r, round(y - 0.344 * cb - 0.714 * cr, 6) + 0.0 AS g, round(y + 1.772 * cb, 6) + 0.0 AS b FROM y")
@@ -98,13 +102,13 @@ def ycbcr_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return T(spark, sf, "events").select("event_id", F.round(y, 6).alias("y"), *[(F.round(c, 6) + 0.0).alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))])
 
 
-@query("poly_features", "WITH e AS (SELECT event_id, (event_id % 7) / 7::DOUBLE AS r, (event_id % 11) / 11::DOUBLE AS g, (event_id % 13) / 13::DOUBLE AS b FROM events), s AS (SELECT *, r + g + b + 1e-6::DOUBLE AS s FROM e) SELECT event_id, round(r * r, 6) AS rr, round(r * g, 6) AS rg, round(r * b, 6) AS rb, round(g * g * b, 6) AS ggb, round(r / s, 6) AS chroma_r, round(g / s, 6) AS chroma_g FROM s")
+@query("poly_features", "WITH e AS (SELECT event_id, (event_id % 7) / 7::DOUBLE AS r, (event_id % 11) / 11::DOUBLE AS g, (event_id % 13) / 13::DOUBLE AS b FROM events), s AS (SELECT *, r + g + b + 1e-6::DOUBLE AS s FROM e) SELECT event_id, round(r * r, 6) AS rr, round(r * g, 6) AS rg, round(r * b, 6) AS rb, round(g * g * b, 6) AS ggb, round(s / 3, 6) AS lum, round(r / s, 6) AS chroma_r, round(g / s, 6) AS chroma_g FROM s")
 def poly_features(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     rows = T(spark, sf, "events").select("event_id", ((k % 7) / F.lit(7.0)).alias("r"), ((k % 11) / F.lit(11.0)).alias("g"), ((k % 13) / F.lit(13.0)).alias("b"))
     terms = color.polynomial_terms(["r", "g", "b"], 3)
-    total = F.col("r") + F.col("g") + F.col("b") + 1e-6
-    return rows.select("event_id", *[F.round(terms[t], 6).alias(t) for t in ("rr", "rg", "rb", "ggb")], F.round(F.col("r") / total, 6).alias("chroma_r"), F.round(F.col("g") / total, 6).alias("chroma_g"))
+    lum, red, green = color.chromaticity(F.col("r"), F.col("g"), F.col("b"))
+    return rows.select("event_id", *[F.round(terms[t], 6).alias(t) for t in ("rr", "rg", "rb", "ggb")], F.round(lum, 6).alias("lum"), F.round(red, 6).alias("chroma_r"), F.round(green, 6).alias("chroma_g"))
 
 
 @query("rotated_bbox", "SELECT event_id, round(600 * abs(cos(a)) + 400 * abs(sin(a)), 4) AS w, round(600 * abs(sin(a)) + 400 * abs(cos(a)), 4) AS h FROM (SELECT event_id, (event_id % 628) / 100::DOUBLE AS a FROM events)")

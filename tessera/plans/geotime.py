@@ -69,11 +69,11 @@ def grid_cluster(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("bbox_fit", f"""
-WITH {G}, b AS (SELECT user_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM g WHERE (lat <> 0 OR lon <> 0) AND event_id % 50 = 0 GROUP BY 1),
+WITH {G}, b AS (SELECT user_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM g WHERE (lat <> 0 OR lon <> 0) GROUP BY 1),
 z AS (SELECT *, unnest(range(1, 19)) AS zoom FROM b)
 SELECT user_id, round((s + n) / 2, 6) AS mid_lat, round((w + e) / 2, 6) AS mid_lon, coalesce(max(zoom) FILTER ((e - w) / 360 * 256 * pow(2, zoom) <= 0.8 * 1024), 1)::INT AS zoom FROM z GROUP BY user_id, s, n, w, e""")
 def bbox_fit(spark: SparkSession, sf: str) -> DataFrame:
-    some = _events(spark, sf).where(geo.has_gps(F.col("lat"), F.col("lon")) & (F.col("event_id") % 50 == 0))
+    some = _events(spark, sf).where(geo.has_gps(F.col("lat"), F.col("lon")))
     box = some.groupBy("user_id").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     fits = F.filter(F.sequence(F.lit(1), F.lit(18)), lambda z: (F.col("e") - F.col("w")) / 360 * 256 * F.pow(F.lit(2.0), z) <= 0.8 * 1024)
     return box.select("user_id", F.round((F.col("s") + F.col("n")) / 2, 6).alias("mid_lat"), F.round((F.col("w") + F.col("e")) / 2, 6).alias("mid_lon"), F.coalesce(F.array_max(fits), F.lit(1)).alias("zoom"))
@@ -98,7 +98,7 @@ def box_iou(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MATCH = f"""
-WITH a AS (SELECT event_id, user_id, {box_sql('event_id', 'a', 0)} FROM events WHERE event_id % 3 = 0), b AS (SELECT event_id AS other_id, user_id, {box_sql('event_id', 'c', 57)} FROM events WHERE event_id % 3 = 1),
+WITH a AS (SELECT event_id, user_id, {box_sql('event_id', 'a', 0)} FROM events WHERE event_type IN ('click', 'purchase')), b AS (SELECT event_id AS other_id, user_id, {box_sql('event_id', 'c', 57)} FROM events WHERE event_type NOT IN ('click', 'purchase')),
 o AS (SELECT event_id, other_id, ({BOTH}) / least(aw * ah, cw * ch) AS o FROM a JOIN b USING (user_id))
 SELECT event_id, max_by(other_id, (round(o, 6), -other_id)) AS other_id, max(round(o, 6)) AS overlap FROM o WHERE o > 0.5 GROUP BY 1"""
 
@@ -106,8 +106,9 @@ SELECT event_id, max_by(other_id, (round(o, 6), -other_id)) AS other_id, max(rou
 @query("box_best_match", MATCH)
 def box_best_match(spark: SparkSession, sf: str) -> DataFrame:
     events = T(spark, sf, "events")
-    a = with_box(events.where("event_id % 3 = 0").select("event_id", "user_id"), "event_id", "a", 0)
-    b = with_box(events.where("event_id % 3 = 1").select("event_id", "user_id"), "event_id", "c", 57).withColumnRenamed("event_id", "other_id")
+    own = F.col("event_type").isin("click", "purchase")
+    a = with_box(events.where(own).select("event_id", "user_id"), "event_id", "a", 0)
+    b = with_box(events.where(~own).select("event_id", "user_id"), "event_id", "c", 57).withColumnRenamed("event_id", "other_id")
     pairs = a.join(b, "user_id").select("event_id", "other_id", geo.overlap(*[F.col(c) for c in BOXES]).alias("o")).where("o > 0.5")
     return pairs.groupBy("event_id").agg(F.max_by("other_id", F.struct(F.round("o", 6), -F.col("other_id"))).alias("other_id"), F.max(F.round("o", 6)).alias("overlap"))
 

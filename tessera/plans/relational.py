@@ -47,10 +47,12 @@ def ingest_new_only(spark: SparkSession, sf: str) -> DataFrame:
     return files.groupBy("id").agg(F.min("p_partkey").alias("first_key")).join(files.where("p_partkey % 3 = 0").select("id"), "id", "left_anti")
 
 
-@query("names_by_photo", "SELECT l_orderkey, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS names FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
+@query("names_by_photo", "SELECT l_orderkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
 def names_by_photo(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = T(spark, sf, "lineitem").join(T(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_name")
-    return pairs.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("s_name")), ",").alias("names"))
+    """Each key pair once before the names are joined: narrow rows of two numbers are all that is deduplicated."""
+    pairs = T(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).distinct()
+    named = pairs.join(T(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    return named.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("names"))
 
 
 @query("keywords_to_json", "SELECT l_orderkey, '[' || string_agg(DISTINCT '\"' || p_name || '\"', ',' ORDER BY '\"' || p_name || '\"') || ']' AS tags FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 25 GROUP BY 1")
@@ -149,13 +151,13 @@ def nearest_ancestor(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.nearest_ancestor(_folders(spark, sf), "path")
 
 
-TREE = "t AS (SELECT r_regionkey + 1000 AS id, r_name AS name, NULL::INT AS parent FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey + 1000 FROM nation UNION ALL SELECT c_custkey + 100000, c_name, c_nationkey FROM customer WHERE c_custkey % 10 = 0)"
+TREE = "t AS (SELECT r_regionkey + 1000 AS id, r_name AS name, NULL::INT AS parent FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey + 1000 FROM nation UNION ALL SELECT c_custkey + 100000, c_name, c_nationkey FROM customer)"
 
 
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
     top = T(spark, sf, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("long").alias("parent"))
     mid = T(spark, sf, "nation").select(F.col("n_nationkey").cast("long"), "n_name", (F.col("n_regionkey") + 1000).cast("long"))
-    low = T(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey") + 100000, "c_name", F.col("c_nationkey").cast("long"))
+    low = T(spark, sf, "customer").select(F.col("c_custkey") + 100000, "c_name", F.col("c_nationkey").cast("long"))
     return top.union(mid).union(low)
 
 
@@ -245,17 +247,46 @@ def limit_with_total(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.limit_with_total(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 1000)
 
 
-@query("collection_members", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer")
-@query("position_assign", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer")
-def collection_members(spark: SparkSession, sf: str) -> DataFrame:
+MEMBERS = "m AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer)"
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")) - 1
     return T(spark, sf, "customer").select("c_nationkey", "c_custkey", place.cast("long").alias("position"))
 
 
-@query("page_window", "SELECT * FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank > 40 AND rank <= 80")
-@query("rank_range", "SELECT * FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank > 40 AND rank <= 80")
+@query("collection_members", f"WITH {MEMBERS} SELECT n_name, c_custkey, position FROM m JOIN nation ON n_nationkey = c_nationkey")
+def collection_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The members of each collection, by name, in their order."""
+    named = T(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return _members(spark, sf).join(named, "c_nationkey").select("n_name", "c_custkey", "position")
+
+
+@query("position_assign", f"WITH {MEMBERS}, l AS (SELECT c_nationkey, count(*) AS n FROM m GROUP BY 1), a AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p FROM supplier) SELECT s_nationkey, s_suppkey, p + coalesce(n, 0) AS position FROM a LEFT JOIN l ON c_nationkey = s_nationkey")
+def position_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """New members go behind those that are there, in order of insertion."""
+    last = T(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.count("*").alias("n"))
+    own = T(spark, sf, "supplier").select("s_nationkey", "s_suppkey", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).alias("p"))
+    return own.join(last, "s_nationkey", "left").select("s_nationkey", "s_suppkey", (F.col("p") + F.coalesce("n", F.lit(0))).cast("long").alias("position"))
+
+
+PRICED = "r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)"
+
+
+def _priced(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.global_rank(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "rank")
+
+
+@query("page_window", f"WITH {PRICED} SELECT * FROM r WHERE rank > 40 - 2 * 5 AND rank <= 80 + 2 * 5")
 def page_window(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.global_rank(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"]).where("rank > 40 and rank <= 80").select("o_orderkey", "rank")
+    """Rows 41 to 80 in view, in a grid of five columns, and two grid rows more on either side."""
+    return ranking.page(_priced(spark, sf), first=40, end=80, columns=5, margin=2)
+
+
+@query("rank_range", f"WITH {PRICED}, e AS (SELECT min(rank) AS a, max(rank) AS b FROM r WHERE o_orderkey IN (7, 300)) SELECT o_orderkey, rank FROM r, e WHERE rank BETWEEN a AND b")
+def rank_range(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows from one chosen row to another, both included, whichever comes first."""
+    return ranking.between_rows(_priced(spark, sf), "o_orderkey", 7, 300)
 
 
 @query("minmax_normalize", "SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 6) AS share FROM orders")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import color, geo, text
+from tessera.functions import color, geo, optics, text
 from tessera.operators import clustering, fitting, mutations, ranking, timeline
 from tessera.sources import readers
 from tessera.streaming import incremental
@@ -40,6 +40,8 @@ def test_color_values(spark):
         assert one(spark, color.kelvin_x(F.lit(k)), color.kelvin_y(F.lit(k))) == pytest.approx([x, y], abs=1e-6)
     got = color.with_wb(spark.createDataFrame([(3200, 5500), (7500, 5500), (5500, 0)], "t int, s int"), F.col("t"), F.col("s")).orderBy("t").select("r", "g", "b").collect()
     assert list(got[0]) == pytest.approx([1.77353, 1, 0.46528], abs=1e-3) and list(got[1]) == [1, 1, 1]
+    tinted = color.with_wb(spark.createDataFrame([(7500, 5500)], "t int, s int"), F.col("t"), F.col("s"), target_tint=F.lit(10.0)).select("r", "g", "b").first()
+    assert list(tinted) == pytest.approx([0.76061, 1, 1.32799], abs=1e-3)
     ratios = [(0.3, 2000), (0.5, 2458.861), (1.0, 5491.379), (1.2, 8019.048), (2.0, 12000)]
     assert one(spark, *[color.kelvin_from_ratio(F.lit(r), F.lit(1.0)) for r, _ in ratios]) == pytest.approx([k for _, k in ratios], abs=1e-2)
     w, h = color.rotated_size(F.lit(600.0), F.lit(400.0), F.lit(0.1))
@@ -59,6 +61,20 @@ def test_gap_fill_goes_on_along_the_line(spark):
     assert [(r.t, r.how) for r in got] == [(2700.0, "after")] and got[0].lat == pytest.approx(35.05)
 
 
+def test_series_in_buckets_equal_whole_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), i, float(t), float(la), float(la * 2)) for i, (k, t, la) in enumerate(zip(rng.integers(0, 3, 300), rng.permutation(9000)[:300] + 1, rng.choice([0.0, 0.0, 1.5, 2.5, 3.5], 300), strict=True))]
+    df = spark.createDataFrame(rows, "k int, id int, t double, lat double, lon double")
+    known = geo.has_gps(F.col("lat"), F.col("lon"))
+    fill = lambda bucket: sorted((r.id, r.lat, r.how) for r in timeline.gap_fill(df.withColumn("x", F.lit(1)), ["k"], "t", "lat", "lon", known, 300, 400, bucket=bucket).collect())
+    match = lambda bucket: sorted((r.id, r.m_lat) for r in timeline.asof_interpolate(df.where(~known).select("k", "id", "t"), df.where(known), ["k"], "id", "t", "lat", "lon", 100, 200, bucket=bucket).collect())
+    for run in (fill, match):
+        want = run(1e9)
+        assert len(want) > 50
+        for bucket in (10.0, 77.0, 1000.0):
+            assert run(bucket) == want
+
+
 def greedy(v, threshold, whole=1000, window=600):
     """Seed by seed, as the survey states it: the window's end is the seed's place plus the window, itself included."""
     n = len(v)
@@ -168,3 +184,99 @@ def test_sources(spark, tmp_path):
     blob = spark.createDataFrame([(bytearray(np.array([1.5, -2], dtype="<f4").tobytes()), bytearray(np.array([2.5], dtype=">f8").tobytes()))], "v binary, w binary")
     row = readers.unpack_big_endian(readers.unpack_vectors(blob, "v", "x"), "w", "y").first()
     assert (row.x, row.y) == ([1.5, -2.0], [2.5])
+
+
+def test_auto_scale_is_the_least_that_fits(spark):
+    knots = [i / 10 for i in range(11)]
+    rows = [(1, 600, 400, 600, 400, 299.5, 199.5, knots, [1 + k / 10 for k in knots], None, None), (2, 600, 400, 600, 400, 299.5, 199.5, knots, [1 - k / 10 for k in knots], None, None), (3, 600, 400, 600, 400, 299.5, 199.5, knots, [1.0] * 11, [1 + k / 20 for k in knots], [1.0] * 11)]
+    df = spark.createDataFrame(rows, "id int, src_w int, src_h int, out_w int, out_h int, crop_cx double, crop_cy double, knots array<double>, distortion array<double>, red array<double>, blue array<double>")
+    got = {r.id: r.scale for r in optics.auto_scale(df).collect()}
+    # at the corner the radius is 1 / s, and the point moves out by 1 + r / 10: it stays inside from s = 1 + 1 / (10 s) on
+    assert got[2] == 1.0 and got[1] == pytest.approx((1 + 1.4**0.5) / 2, abs=1e-5) and got[3] == pytest.approx((1 + 1.2**0.5) / 2, abs=1e-5)
+
+
+def test_crop_quads_with_perspective_lead_back(spark):
+    names = {"width": "width", "height": "height", "angle": "angle", "shear": "shear", "tilt_v": "tv", "tilt_h": "th", "focal": "focal"}
+    rows = [(600, 400, 0.2, 0.05, 6.0, -4.0, 35, 0.2, 0.3, 0.4, 0.5), (600, 400, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "width int, height int, angle double, shear double, tv double, th double, focal int, x double, y double, w double, h double")
+    got = optics.with_warped_size(df, **names).withColumn("quad", optics.crop_quad(("x", "y", "w", "h"), **names)).orderBy("angle").collect()
+    assert [(p.u, p.v) for p in got[0].quad] == [pytest.approx(c, abs=1e-9) for c in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    r = got[1]
+    for p, (bx, by) in zip(r.quad, ((r.x, r.y), (r.x + r.w, r.y), (r.x + r.w, r.y + r.h), (r.x, r.y + r.h)), strict=True):
+        u, v = one(spark, *optics.forward_warp(*(F.lit(a) for a in (p.u, p.v, r.shear, r.tv, r.th, r.focal))))
+        x, y = (u - 0.5) * r.width, (v - 0.5) * r.height
+        turned = (x * np.cos(r.angle) - y * np.sin(r.angle), x * np.sin(r.angle) + y * np.cos(r.angle))
+        assert (turned[0] / r.box_w + 0.5, turned[1] / r.box_h + 0.5) == (pytest.approx(bx), pytest.approx(by))
+
+
+def test_similarity_of_the_template_is_the_identity(spark):
+    xs, ys = (F.array(*(F.lit(p[i]) for p in optics.FACE_TEMPLATE)) for i in (0, 1))
+    m = spark.range(1).select(optics.similarity(xs, ys).alias("m")).first().m
+    assert list(m) == pytest.approx([1, 0, 0, 0], abs=1e-9)
+
+
+def test_ratio_lut_against_plain_least_squares(spark):
+    rng = np.random.default_rng(4)
+    src, tgt = rng.uniform(0.05, 1, (24, 3)), rng.uniform(0.05, 1, (24, 3))
+    lum = np.array(fitting.LUMA)
+    expand = lambda m: np.column_stack([np.prod(m[:, ["rgb".index(c) for c in t]], axis=1) for t in fitting.rgb_terms(2)])
+    ratio = np.clip((tgt / (tgt @ lum)[:, None]) / (src / (src @ lum)[:, None]), 0.5, 2)
+    w = np.linalg.lstsq(expand(np.vstack([src, fitting.ANCHORS])), np.vstack([ratio, np.ones((7, 3))]), rcond=None)[0]
+    axis = np.arange(5) / 4
+    grid = np.array([(r, g, b) for r in axis for g in axis for b in axis])
+    level = (grid @ lum)[:, None]
+    shown = grid / np.maximum(level, 1e-6) * np.clip(expand(grid) @ w, 0.5, 2)
+    want = np.clip(np.where(level < 1e-6, 0, shown * level / np.maximum((shown @ lum)[:, None], 1e-9)), 0, 1)
+    got = fitting.ratio_lut(spark.createDataFrame(np.hstack([src, tgt]).tolist(), "r double, g double, b double, tr double, tg double, tb double"), size=5).orderBy("ri", "gi", "bi").select("vr", "vg", "vb").collect()
+    assert np.allclose(np.array(got), want, atol=1e-6)
+
+
+def test_sidecars_are_read_and_merged(spark, tmp_path):
+    old = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:exif="http://ns.adobe.com/exif/1.0/" xmp:Rating="9" crs:Exposure2012="+0.5" exif:GPSAltitude="59000/10000" exif:GPSAltitudeRef="1"><xmp:Label>Red</xmp:Label><dc:description><rdf:Alt><rdf:li xml:lang="x-default">a &lt;b&gt; &amp;amp; c</rdf:li></rdf:Alt></dc:description><dc:subject><rdf:Bag><rdf:li>sea</rdf:li><rdf:li>sun "x"</rdf:li></rdf:Bag></dc:subject></rdf:Description></rdf:RDF></x:xmpmeta>'
+    (tmp_path / "a.xmp").write_text(old)
+    got = readers.read_xmp(spark, f"{tmp_path}/a.xmp").first()
+    assert (got.rating, got.label, got.memo, json.loads(got.tags), got.altitude) == (5, "Red", "a <b> &amp; c", ["sea", 'sun "x"'], -5.9)
+    rows = [(f"{tmp_path}/a.jpg", 3, "", "new & <memo>", '["hill"]', True), (f"{tmp_path}/b.jpg", 2, "Blue", "", "not json", True), (f"{tmp_path}/c.jpg", 1, "", "", "", False), ("", 1, "", "", "", True)]
+    photos = spark.createDataFrame(rows, "path string, rating int, label string, memo string, tags string, managed boolean")
+    readers.write_texts(readers.with_sidecars(photos, spark.createDataFrame([(f"{tmp_path}/a.xmp", old)], "path string, xml string")))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.xmp", "b.xmp"]
+    new = {r.path[-5:]: r for r in readers.read_xmp(spark, str(tmp_path)).collect()}
+    assert tuple(new["a.xmp"])[1:5] == (3, "", "new & <memo>", '["hill"]') and tuple(new["b.xmp"])[1:5] == (2, "Blue", "", "")
+    assert 'crs:Exposure2012="+0.5"' in (tmp_path / "a.xmp").read_text() and new["a.xmp"].altitude == -5.9
+
+
+def test_cubes_are_written_and_read(spark, tmp_path):
+    nodes = fitting.lut_grid(spark, 3).select("ri", "gi", "bi", F.col("r").alias("vr"), (F.col("g") / 2).alias("vg"), (1 - F.col("b")).alias("vb"))
+    readers.write_cube(nodes, f"{tmp_path}/cam/one", 3, "One")
+    (part,) = (tmp_path / "cam/one").glob("part-*")
+    lines = part.read_text().splitlines()
+    assert lines[:5] == ['TITLE "One"', "LUT_3D_SIZE 3", "DOMAIN_MIN 0.0 0.0 0.0", "DOMAIN_MAX 1.0 1.0 1.0", ""] and lines[5:8] == ["0.000000 0.000000 1.000000", "0.500000 0.000000 1.000000", "1.000000 0.000000 1.000000"] and len(lines) == 32
+    (tmp_path / "cam/std.cube").write_text(part.read_text())
+    got = readers.read_cube(spark, f"{tmp_path}/cam")
+    assert sorted(map(tuple, got.select("ri", "gi", "bi", "r", "g", "b").collect())) == sorted(map(tuple, nodes.collect()))
+    assert [tuple(r)[:2] for r in readers.read_profiles(spark, str(tmp_path)).collect()] == [("cam", "std")]
+
+
+def test_correction_steps_and_maker_notes(spark):
+    be = lambda *v: b"".join(int(x).to_bytes(4, "big") for x in v)
+    step = lambda kind, body: be(kind, 0x01030000, 0, len(body)) + body
+    warp = be(1) + np.arange(8, dtype=">f8").tobytes()
+    gain = be(0, 0, 10, 10, 0, 1, 2, 3, 2, 2) + np.zeros(4, dtype=">f8").tobytes() + be(1) + np.array([1, 1.5, 2, 2.5], dtype=">f4").tobytes()
+    good = (be(3) + step(4, b"abc") + step(1, warp) + step(1, be(9)), be(1) + step(9, gain))
+    rows = [(1, *map(bytearray, good)), (2, bytearray(b"xy"), bytearray(be(5) + step(9, gain[:40]))), (3, None, None)]
+    got = {r.id: r for r in readers.unpack_opcodes(spark.createDataFrame(rows, "id int, w binary, g binary"), "w", "g").collect()}
+    assert got[1].warp.coefficients == [[0, 1, 2, 3, 4, 5]] and (got[1].warp.cx, got[1].warp.cy) == (6, 7)
+    assert (got[1].gain.rows, got[1].gain.cols, got[1].gain.row_pitch, list(got[1].gain.data)) == (2, 2, 2, [1, 1.5, 2, 2.5])
+    assert [got[i][c] for i in (2, 3) for c in ("warp", "gain")] == [None] * 4
+    le = lambda n, *v: b"".join(int(x).to_bytes(n, "little") for x in v)
+    note = b"SIGMA\0" + b"\1\0\0\0" + le(2, 2) + le(2, 0x10, 2) + le(4, 6, 1000) + le(2, 0x3D, 2) + le(4, 9, 1006) + b"other\0" + b"Standard\0"
+    short = b"SIGMA\0" + b"\1\0\0\0" + le(2, 1) + le(2, 0x3D, 2) + le(4, 3) + b"FC\0\0"
+    notes = spark.createDataFrame([(i, None if n is None else bytearray(n)) for i, n in enumerate((note, short, b"NIKON" + note[5:], note[:30], None))], "id int, n binary")
+    assert [r.mode for r in readers.with_maker_tag(notes, "n", "mode").orderBy("id").collect()] == ["Standard", "FC", "", "", ""]
+
+
+def test_foreign_catalogue_as_csv(spark, tmp_path):
+    (tmp_path / "images.csv").write_text("id,name\n1,a\n2,b\n")
+    (tmp_path / "tags.csv").write_text("id,tag\n1,x\n")
+    found = readers.read_exported(spark, str(tmp_path))
+    assert sorted(found) == ["images", "tags"] and found["images"].join(found["tags"], "id").select("name", "tag").collect() == [("a", "x")]
