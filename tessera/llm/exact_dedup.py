@@ -1,8 +1,8 @@
 """Exact dedup by content-defined chunk recipes.
 
 Each text, white space deleted, is cut where a rolling hash of the last bytes has a given form, so equal
-runs of bytes are cut alike wherever they stand. Chunks are deduplicated to identifiers (the first place
-where the chunk occurs), each verified by length, 64-bit hash and SHA-256 of its bytes. A document is then
+runs of bytes are cut alike wherever they stand. Chunks are deduplicated to identifiers (their number in a
+written dictionary), each verified by length, 64-bit hash and SHA-256 of its bytes. A document is then
 the ordered list of its identifiers, and only these short lists are shuffled and compared.
 """
 
@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.workspace import written
+
+from .rows import TAGS, row_tags, rows_of
 from .textkit import blocks, byte_values, span_hashes
-from .workspace import written
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 WINDOW, LEAST, MOST, MEAN_BITS = 32, 512, 16384, 11
 _GEAR = (byte_values(7) >> np.uint64(32)).astype(np.uint32)
 
-CUT_SCHEMA = "id long, chars long, sha string, pos array<int>, fast array<long>, len array<int>, strong array<binary>"
+CUT_SCHEMA = f"id long, {TAGS[0]} long, {TAGS[1]} long, chars long, sha string, pos array<int>, fast array<long>, len array<int>, strong array<binary>"
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
@@ -79,28 +81,44 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lens = np.array(stops, dtype=np.int32) - np.array(begins, dtype=np.int32)
             lists = lambda values: pa.ListArray.from_arrays(pa.array(edges), values)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(np.diff(heads[offsets]), pa.int64()), pa.array(shas), lists(pa.array(pos)), lists(pa.array(fast)), lists(pa.array(lens)), lists(strong)],
-                names=["id", "chars", "sha", "pos", "fast", "len", "strong"],
+                [*(part.column(c) for c in ("id", *TAGS)), pa.array(np.diff(heads[offsets]), pa.int64()), pa.array(shas), lists(pa.array(pos)), lists(pa.array(fast)), lists(pa.array(lens)), lists(strong)],
+                names=["id", *TAGS, "chars", "sha", "pos", "fast", "len", "strong"],
             )
 
 
+def _decided(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, row, TAGS, keep_id, group_size, kept, sha) of every row."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), *row_tags(id_col, text), F.col(text).alias("text"))
+    # the row numbers are made once, in what is written; each later step finds back to a row by its number, whatever its id
+    rows = written(texts.mapInArrow(_cut, CUT_SCHEMA).withColumn("row", F.monotonically_increasing_id()), "chunks")
+    chunks = rows.select("row", F.explode(F.arrays_zip("pos", "fast", "len", "strong")).alias("c")).select("row", "c.pos", "c.fast", "c.len", "c.strong")
+    # The tables that copies are joined with are written apart: so Spark can split the rows of a frequent chunk or text over tasks.
+    known = written(chunks.select("fast", "len", "strong").distinct().withColumn("chunk", F.monotonically_increasing_id()), "dictionary")
+    named = chunks.join(known, ["fast", "len", "strong"]).select("row", "pos", "chunk")
+    recipes = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("r"))
+    recipes = recipes.select("row", F.transform("r", lambda x: x["chunk"]).alias("recipe"))
+    about = rows.select("row", "id", *TAGS, "chars", "sha")
+    listed = about.join(recipes, "row", "left")
+    listed = written(listed.withColumn("recipe", F.coalesce("recipe", F.array().cast(dict(recipes.dtypes)["recipe"]))), "recipes")
+    order = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("no_id"), "id", *TAGS, "row")
+    groups = written(listed.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(order).alias("best")), "groups")
+    out = listed.join(groups, "recipe")
+    return out.select("id", "row", *TAGS, F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (id_col, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when identical after deleting ASCII white space (0x09-0x0D, 0x20); null counts as
     empty, and empty texts are equal to each other. Of equal texts the one with the most code points in
-    the original stays, then the smallest id. Rows that repeat an id count in group_size and each get a
-    row; an empty table gives an empty table. Other columns are not read.
+    the original stays, then the smallest id, a null id last. Exactly one row of a group is kept, also where rows repeat an id; rows
+    that repeat id and text are interchangeable. keep_id is null where the row that stays has no id. An empty table gives
+    an empty table. Other columns are not read.
     """
-    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_cut, CUT_SCHEMA), "chunks")
-    chunks = rows.select("id", "chars", "sha", F.explode(F.arrays_zip("pos", "fast", "len", "strong")).alias("c")).select("id", "chars", "sha", "c.pos", "c.fast", "c.len", "c.strong")
-    first = chunks.groupBy("fast", "len", "strong").agg(F.min(F.struct("id", "pos", "sha")).alias("first"))
-    named = chunks.join(first, ["fast", "len", "strong"])
-    recipes = named.groupBy("id", "chars", "sha").agg(F.array_sort(F.collect_set(F.struct("pos", "first"))).alias("r"))
-    recipes = recipes.select("id", "chars", "sha", F.transform("r", lambda x: x["first"]).alias("recipe"))
-    listed = rows.select("id", "chars", "sha").join(recipes, ["id", "chars", "sha"], "left")
-    listed = written(listed.withColumn("recipe", F.coalesce("recipe", F.array().cast(dict(recipes.dtypes)["recipe"]))), "recipes")
-    groups = listed.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), "id")).alias("best"))
-    out = listed.join(groups, "recipe")
-    keep = F.col("best.id")
-    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), "group_size", (F.col("id") == keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    out = _decided(docs, id_col, text)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, with all columns whatever their names: one of each group, null ids among them."""
+    return rows_of(docs, _decided(docs, id_col, text).where("kept"), id_col, text)
