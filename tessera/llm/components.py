@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import written
+from tessera.workspace import written
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
     """(u, v) with m, the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    least = written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return pairs.join(least, "u")  # least is a table of its own, so that Spark can split the pairs of a hub
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

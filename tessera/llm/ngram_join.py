@@ -31,9 +31,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.workspace import partitions, written
+
 from .components import components
+from .rows import TAGS, row_tags, rows_of
 from .textkit import U64, blocks, folded, sequence_hash, span_hashes, spans, window_hashes, byte_values
-from .workspace import partitions, written
 
 WORD = np.ones(256, dtype=bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -41,6 +43,7 @@ _VALUES = byte_values(1)[folded()]
 HEAVY_MOST = 1_000_000  # frequent columns, the most frequent first: 8 MB is the most that is broadcast
 COUNTS_HELD = 1 << 25  # of the table of small counts, 4 bits each: 16 MB, broadcast
 SMALL_MOST = 15
+NO_ID = 1 << 62  # numbers from here on stand for classes of rows without an id
 UNLISTED = 1 << 40  # stands for the count of a column in more texts than the table can tell that was cut from the list
 CENSUS_ROWS = 4 << 20
 
@@ -165,7 +168,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, text: str, width: int, percent: int, columns: Broadcast) -> DataFrame:
-    """(id, n, set_key, grams): size and digest of the n-gram set, and the set itself where enough of it is in other texts."""
+    """(id, TAGS, n, set_key, grams): size and digest of the n-gram set, and the set itself where enough of it is in other texts."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +178,9 @@ def signatures(docs: DataFrame, text: str, width: int, percent: int, columns: Br
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 in_others = np.count_nonzero(columns.value.count(grams) > 1)
                 wholes.append(grams if in_others and in_others * 100 >= percent * len(grams) else grams[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(wholes)], names=["id", "n", "set_key", "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *TAGS)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(wholes)], names=["id", *TAGS, "n", "set_key", "grams"])
 
-    return docs.select("id", text).mapInArrow(sign, "id long, n long, set_key binary, grams array<long>")
+    return docs.select("id", *TAGS, text).mapInArrow(sign, f"id long, {TAGS[0]} long, {TAGS[1]} long, n long, set_key binary, grams array<long>")
 
 
 def prefixes(sets: DataFrame, percent: int, columns: Broadcast) -> DataFrame:
@@ -225,24 +228,22 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 1) -> DataFrame:
-    """One row per document: (id_col, n_shingles, component_id).
-
-    Words are the runs of bytes other than ASCII white space, A-Z lower-cased; a document's set holds its
-    distinct ``width``-word n-grams. Two documents link when 100 |A & B| >= percent |A | B|; component_id
-    is the least id reachable by links. Null, empty and wordless texts have an empty set and are linked
-    with nothing. Repeated rows of one id give equal rows; an empty table gives an empty table. Other
-    columns are not read.
-    """
+def _joined(docs: DataFrame, id_col: str, text: str, width: int, percent: int, star_rounds: int = 1) -> DataFrame:
+    """(id, TAGS, n, component) of every row; a component of rows without an id has a number from ``NO_ID`` on, an empty set none."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    n_blocks = max(partitions(spark), int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 26), 1)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), *row_tags(id_col, text), F.col(text).alias("text"))
+    about = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("id").alias("top")).first()
+    if about["top"] is not None and about["top"] >= NO_ID:
+        raise ValueError(f"ids must be below {NO_ID}")
+    n_blocks = max(partitions(spark), int((about["bytes"] or 0) >> 26), 1)
     counted = census(docs, "text", width, n_blocks).collect()  # COUNTS_HELD and HEAVY_MOST bound it
     columns = spark.sparkContext.broadcast(Columns(counted, n_blocks))
     signed = written(signatures(docs, "text", width, percent, columns), "signed")
 
-    classes = written(signed.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    active = signed.where(F.size("grams") > 0).groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("grams").alias("grams"))  # equal in all copies
+    without = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_key"), 2)  # stands for the ids of a class that has none
+    least = F.coalesce(F.min("id"), F.first(without))
+    classes = written(signed.where("n > 0").groupBy("set_key").agg(least.alias("rep")), "classes")
+    active = signed.where(F.size("grams") > 0).groupBy("set_key").agg(least.alias("id"), F.count("*").alias("copies"), F.first("grams").alias("grams"))  # equal in all copies
     sets = written(prefixes(active, percent, columns), "sets")
     whole = Window.partitionBy("h")
     met = sets.select(F.posexplode("prefix").alias("place", "h"), "id", "n", "alone", "odd").withColumn("place", (F.col("place") + F.col("alone")).cast("int")).withColumn("reach", _reach(percent))
@@ -279,12 +280,30 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         if last:
             break
 
-    known = signed.select("id", "n", "set_key").join(classes, "set_key", "left")
-    named = known.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # the few classes are written with their component, so that Spark can split the rows of a text with many copies
+    of_class = written(classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "of_class")
+    full = signed.where("n > 0").select("id", *TAGS, "n", "set_key").join(of_class, "set_key").select("id", *TAGS, "n", "component")
+    return full.unionByName(signed.where("n = 0").select("id", *TAGS, "n", F.lit(None).cast("long").alias("component")))
 
 
-def keep_one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is that of their component."""
-    return docs.join(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi")
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: (id_col, n_shingles, component_id).
+
+    Words are the runs of bytes other than ASCII white space, A-Z lower-cased; a document's set holds its
+    distinct ``width``-word n-grams. Two documents link when 100 |A & B| >= percent |A | B|; component_id
+    is the least id reachable by links, null ids aside (null if there is no other). Null, empty and wordless texts have an empty
+    set and are linked with nothing. Each row counts with its own text, whether its id is null or repeated; an empty table gives
+    an empty table. Other columns are not read.
+    """
+    found = _joined(docs, id_col, text, width, percent)
+    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("component") < NO_ID, F.col("component"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with all columns whatever their names: that with the smallest id, a null id last. Rows with an empty set
+    all stay, but those that repeat id and text once."""
+    found = _joined(docs, id_col, text, width, percent)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", *TAGS)
+    first = found.where("n > 0").groupBy("component").agg(F.min(order).alias("first")).select(*[F.col(f"first.{t}").alias(t) for t in TAGS])
+    return rows_of(docs, first.unionByName(found.where("n = 0").select(*TAGS)), id_col, text)
