@@ -45,7 +45,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts with white space outside ASCII or the special token's string: these are encoded whole."""
+    """Texts with white space outside ASCII or the special token's string, which units must not be cut by: see ``Codec.encode_odd``."""
     lead = np.zeros(256, dtype=bool)
     lead[[0xC2, 0xE1, 0xE2, 0xE3]] = True
     at = np.flatnonzero(lead[data])
@@ -86,6 +86,7 @@ class Codec:
         alphabet = byte_alphabet()
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [""] * (max(names.values()) + 1)
+        self.special = names[SPECIAL.decode()]
         for name, i in names.items():
             self.names[i] = name
         pieces = [bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode() for name in self.names]
@@ -129,10 +130,16 @@ class Codec:
         return level[0] if level else []
 
     def encode_long(self, text: str, leaf: int = LEAF) -> list[int]:
-        """A text without the special token's string, pre-token by pre-token."""
+        """A text without the special token's string, pre-token by pre-token: long ones by tree concatenation, the rest in one batch."""
+        pieces = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        short = iter(self._bare([p for p in pieces if len(p) <= leaf]))
+        return [i for p in pieces for i in (self.tree(p, leaf) if len(p) > leaf else next(short))]
+
+    def encode_odd(self, text: str, leaf: int = LEAF) -> list[int]:
+        """A text cut at the special token's string, each part as by ``encode_long``."""
         ids: list[int] = []
-        for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-            ids += self.tree(piece, leaf) if len(piece) > leaf else self._bare([piece])[0]
+        for k, part in enumerate(text.split(SPECIAL.decode())):
+            ids += [self.special] * (k > 0) + self.encode_long(part, leaf)
         return ids
 
     def _encode_units(self, units: list[bytes]) -> list[list[int]]:
@@ -194,7 +201,7 @@ class Codec:
         """Ids of all texts of a block, and their offsets by text."""
         n = len(offsets) - 1
         odd = odd_texts(data, offsets)
-        whole = self.tokenizer.encode_batch_fast([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in odd], add_special_tokens=False)
+        whole = [self.encode_odd(data[offsets[i] : offsets[i + 1]].tobytes().decode()) for i in odd]
         starts = unit_starts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         try:
@@ -209,7 +216,7 @@ class Codec:
         if len(odd):
             parts = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
             for i, e in zip(odd.tolist(), whole, strict=True):
-                parts[i] = np.array(e.ids, dtype=np.uint32)
+                parts[i] = np.array(e, dtype=np.uint32)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
             ids = np.concatenate(parts)
         return ids, bounds
