@@ -21,52 +21,78 @@ RULES = (
 )
 BITS = 14
 GRAMS = (3, 4, 5)
-#: The labelled table: hosts and paths are made of these by ``labelled_urls``.
-BAD_WORDS = ("spam-farm", "spam", "casino", "free-money", "cheap-pills", "xxx", "porn", "viagra", "payday-loan", "lottery", "click-bait", "malware", "phishing", "win-prize", "adult-cams", "betting", "link-farm", "seo-boost", "replica-watch", "crack-keygen")
-GOOD_WORDS = ("blog", "news", "m", "www", "docs", "wiki", "shop", "school", "library", "weather", "recipes", "travel", "science", "museum", "forum", "support", "garden", "music", "history", "health", "therin", "tionble", "ththan", "threre")
-TAILS = ("example.com", "example.net", "example.org", "site.com", "page.net")
-PATHS = ("/en/12", "/de/305", "/fr/41.html", "/es/990/", "/", "/index.html", "/articles/2021/05", "/about")
+BAD_SHARE = 0.2
+#: The labelled table is made of these by ``labelled_urls``: subjects of sites to block and to allow, words that stand beside them, ends of hosts.
+BAD_SUBJECTS = (
+    "casino", "slots", "poker", "roulette", "betting", "lottery", "jackpot", "viagra", "cialis", "pharmacy-no-rx", "cheap-pills", "weight-loss-pills", "payday-loan", "fast-loans", "debt-relief",
+    "porn", "xxx", "adult-cams", "escorts", "hookup", "malware", "phishing", "keygen", "crack", "warez", "torrent", "serial-key", "free-money", "make-money-fast", "get-rich", "spam", "link-farm",
+    "seo-backlinks", "click-bait", "replica-watches", "fake-rolex", "prize-winner", "gift-card-generator", "crypto-doubler", "miracle-cure",
+)
+GOOD_SUBJECTS = (
+    "news", "weather", "library", "museum", "university", "school", "college", "science", "physics", "biology", "history", "geography", "music", "theatre", "cinema", "recipes", "garden", "travel",
+    "hotel", "railway", "airport", "football", "cycling", "health", "hospital", "dentist", "parliament", "city-council", "tax-office", "court", "books", "poetry", "journal", "archive", "wiki", "docs",
+    "manual", "developer", "software", "statistics", "economy", "bank", "insurance", "bakery", "furniture", "photography", "painting", "architecture", "astronomy", "volunteers",
+)
+BAD_BESIDE = ("best", "top", "free", "cheap", "win", "bonus", "hot", "now", "deals", "online", "4u", "777")
+GOOD_BESIDE = ("the", "my", "national", "open", "old", "local", "online", "group", "guide", "house", "world", "free")
+TAILS = ("com", "net", "org", "info", "co.uk", "de", "fr", "io")
+PAGES = ("", "/", "/index.html", "/about-us", "/2021/05/some-title", "/p/123456", "/search", "/blog/how-it-began.html", "/category/new/page/2")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): the small labelled table."""
+    """(host, path, 1 to block): a table of about 2,000 urls, each subject with each word beside it, before or after, in the host or in the path."""
     rows = []
-    for label, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
-        for i, word in enumerate(words):
-            for j, tail in enumerate(TAILS):
-                path = PATHS[(i + 3 * j) % len(PATHS)]
-                rows.append((f"{word}.{tail}", path, label))
-                rows.append((f"{GOOD_WORDS[(i + 5 * j) % len(GOOD_WORDS)]}.{tail}", f"/{word}{path}" if label else path, label))
+    for label, subjects, beside in ((1, BAD_SUBJECTS, BAD_BESIDE), (0, GOOD_SUBJECTS, GOOD_BESIDE)):
+        for i, subject in enumerate(subjects):
+            for j, word in enumerate(beside):
+                name = (f"{subject}-{word}", f"{word}{subject}", f"{subject}{word}", f"www.{subject}", subject)[(i + j) % 5]
+                tail, page = TAILS[(3 * i + j) % len(TAILS)], PAGES[(i + 2 * j) % len(PAGES)]
+                rows.append((f"{name}.{tail}", page, label))
+                neutral = GOOD_SUBJECTS[(7 * i + j) % len(GOOD_SUBJECTS)]
+                rows.append((f"{neutral}.{tail}", f"/{word}/{subject}{page}" if label else f"/{subject}{page}", label))
     return rows
 
 
-def gram_ids(host: str, path: str) -> np.ndarray:
-    """Buckets of the character n-grams of host and path, each counted once; the two parts are told apart."""
-    ids = []
-    for part, text in ((1, host), (2, path)):
-        codes = np.frombuffer(f"^{text}$".encode("utf-32-le"), dtype="<u4").astype(U64)
-        for n in GRAMS:
-            if len(codes) >= n:
-                h = np.full(len(codes) - n + 1, part * 16 + n, dtype=U64)
-                for j in range(n):
-                    h = h * U64(0x100000001B3) + codes[j : len(codes) - n + 1 + j]
-                ids.append(mix(h) >> U64(64 - BITS))
-    return np.unique(np.concatenate(ids)).astype(np.int64) if ids else np.empty(0, dtype=np.int64)
+def gram_ids(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the character n-grams of hosts and paths, each bucket once a row; the two parts are told apart. All rows at once."""
+    keys = []
+    for part, texts in ((1, hosts), (2, paths)):
+        codes = np.frombuffer("".join(f"^{t}$" for t in texts).encode("utf-32-le"), dtype="<u4").astype(U64)
+        sizes = np.array([len(t) + 2 for t in texts], dtype=np.int64)
+        row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+        for n in (n for n in GRAMS if n <= len(codes)):
+            h = np.full(len(codes) - n + 1, part * 16 + n, dtype=U64)
+            for j in range(n):
+                h = h * U64(0x100000001B3) + codes[j : len(codes) - n + 1 + j]
+            inside = left[: len(h)] >= n
+            keys.append((row[: len(h)][inside] << BITS) | (mix(h[inside]) >> U64(64 - BITS)).astype(np.int64))
+    every = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *keys]))
+    return every >> BITS, every & ((1 << BITS) - 1)
 
 
-def train(rows: list[tuple[str, str, int]], rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of 2**BITS buckets and an intercept, by full-batch gradient steps on the small table; each row's vector has length 1."""
-    x = [gram_ids(h, p) for h, p, _ in rows]
+def block_scores(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """The probability to block of each url; a row's vector has length 1."""
+    row, bucket = gram_ids(hosts, paths)
+    size = np.maximum(np.bincount(row, minlength=len(hosts)), 1)
+    return 1 / (1 + np.exp(-(np.bincount(row, weights[bucket], minlength=len(hosts)) / np.sqrt(size) + weights[-1])))
+
+
+def train(rows: list[tuple[str, str, int]], rounds: int = 300, ridge: float = 3e-5) -> np.ndarray:
+    """Weights of 2**BITS buckets and an intercept, by full-batch gradient steps on the small table; each row's vector has length 1.
+
+    Rows to block weigh ``BAD_SHARE`` together, as sites to block are rare: what the table does not know is allowed.
+    """
+    row, bucket = gram_ids([h for h, *_ in rows], [p for _, p, _ in rows])
     y = np.array([label for *_, label in rows], dtype=float)
-    at = np.concatenate(x)
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    value = np.repeat([1 / np.sqrt(max(1, len(v))) for v in x], [len(v) for v in x])
+    value = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(rows)), 1))[row]
+    weigh = np.where(y > 0, BAD_SHARE / max(1.0, y.sum()), (1 - BAD_SHARE) / max(1.0, (1 - y).sum()))
     w = np.zeros((1 << BITS) + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(np.bincount(row, value * w[at], minlength=len(x)) + w[-1])))
-        miss = y - p
-        w[:-1] += 8.0 * (np.bincount(at, value * miss[row], minlength=1 << BITS) / len(x) * 4 - ridge * w[:-1])
-        w[-1] += miss.mean()
+        p = 1 / (1 + np.exp(-(np.bincount(row, value * w[bucket], minlength=len(rows)) + w[-1])))
+        miss = (y - p) * weigh
+        w[:-1] += 60.0 * (np.bincount(bucket, value * miss[row], minlength=1 << BITS) - ridge * w[:-1])
+        w[-1] += miss.sum()
     return w
 
 
@@ -93,7 +119,7 @@ def url_filter(pages: DataFrame, labelled: list[tuple[str, str, int]] | None = N
     """One row per page: (page_id, host, path, rule, verdict, score).
 
     The host runs from the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path from there
-    to ``?``, ``#`` or the end. Without ``://``, and for null, both are empty. The longest fitting rule
+    to ``?``, ``#`` or the end. Without ``://``, and for null, both are empty. A null page_id stays null. The longest fitting rule
     decides; where none fits the regression does (score: its probability to block). Repeated rows each give a
     row; an empty table gives an empty table. Other columns are not read.
     """
@@ -102,10 +128,7 @@ def url_filter(pages: DataFrame, labelled: list[tuple[str, str, int]] | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
-            scores = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                ids = gram_ids(host, path)
-                scores.append(float(1 / (1 + np.exp(-(w[ids].sum() / np.sqrt(max(1, len(ids))) + w[-1])))))
+            scores = block_scores(w, batch.column("host").to_pylist(), batch.column("path").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
