@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo, text
-from tessera.operators import mutations
+from tessera.operators import mutations, predicates
 from tessera.session import table as T
 
 from .catalogue import query
@@ -129,8 +129,7 @@ def clamp_values(spark: SparkSession, sf: str) -> DataFrame:
 def apply_results(spark: SparkSession, sf: str) -> DataFrame:
     states = T(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).cast("int").alias("state"))
     done = T(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.min("l_returnflag") == "A").alias("ok"))
-    new = F.when((F.col("state") == 1) & F.col("ok").isNotNull(), F.when(F.col("ok"), 2).otherwise(0)).otherwise(F.col("state"))
-    return states.join(done, "id", "left").select("id", new.alias("state"))
+    return states.join(done, "id", "left").select("id", predicates.state_after_upload(F.col("state"), F.col("ok")).alias("state"))
 
 
 @query("retry_classify", "SELECT event_id, attempts, CASE WHEN event_type <> 'error' THEN 'done' WHEN attempts < 3 THEN 'retry' ELSE 'failed' END AS status, CASE WHEN event_type = 'error' AND attempts < 3 THEN 5 * attempts ELSE 0 END AS wait FROM (SELECT event_id, event_type, (event_id % 4)::INT AS attempts FROM events)")
@@ -145,7 +144,7 @@ def retry_classify(spark: SparkSession, sf: str) -> DataFrame:
 @query("scan_normalize_state", f"SELECT o_orderkey, CASE WHEN state = 1 THEN 0 ELSE state END AS state FROM (SELECT o_orderkey, {STATE} FROM orders)")
 def scan_normalize_state(spark: SparkSession, sf: str) -> DataFrame:
     state = (F.col("o_orderkey") % 5).cast("int")
-    return T(spark, sf, "orders").select("o_orderkey", F.when(state == mutations.SYNCING, mutations.LOCAL_ONLY).otherwise(state).alias("state"))
+    return T(spark, sf, "orders").select("o_orderkey", predicates.loaded_state(state).alias("state"))
 
 
 @query("point_lookup", "SELECT * FROM orders WHERE o_orderkey = 42")
@@ -159,30 +158,48 @@ def rest_list_projection(spark: SparkSession, sf: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
-@query("pending_filter", "SELECT o_orderkey, o_orderpriority AS path FROM orders WHERE o_orderkey % 5 = 0 AND o_orderpriority <> '5-LOW'")
+PHOTOS = """p AS (SELECT p_partkey AS id, p_partkey % 5 AS sync_state, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS local_path, p_size % 9 <> 0 AS present, p_brand IN ('Brand#1', 'Brand#2') AS is_raw, p_type = 'PROMO' AS is_video,
+  CASE WHEN p_size % 3 = 0 THEN '{}' ELSE '' END AS lens, CASE WHEN p_size % 4 = 0 THEN '1/60 s' ELSE '' END AS exposure, CASE WHEN p_size % 5 = 0 THEN 6 ELSE 1 END AS orientation, CASE WHEN p_size % 6 = 0 THEN 35 ELSE 0 END AS focal,
+  p_partkey % 11 * 100 AS width, p_partkey % 13 * 100 AS height, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'sp' END AS preview_path, p_partkey % 4 <> 0 AS preview_present, p_partkey % 2 = 0 AS face_scanned, p_partkey % 10 * 700 - 1400 AS as_shot FROM part)"""
+
+
+def _photos(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos with all kinds of missing parts, from the keys and sizes of parts."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    some = lambda test, value, other: F.when(test, value).otherwise(other)
+    columns = {
+        "id": k, "sync_state": k % 5, "local_path": some(n % 7 == 0, "", F.col("p_name")), "present": n % 9 != 0, "is_raw": F.col("p_brand").isin("Brand#1", "Brand#2"), "is_video": F.col("p_type") == "PROMO",
+        "lens_correction_params": some(n % 3 == 0, "{}", ""), "exposure_time": some(n % 4 == 0, "1/60 s", ""), "orientation": some(n % 5 == 0, 6, 1), "focal_length_35mm": some(n % 6 == 0, 35, 0),
+        "width": k % 11 * 100, "height": k % 13 * 100, "preview_path": some(k % 3 == 0, "", "sp"), "preview_present": k % 4 != 0, "face_scanned": k % 2 == 0, "as_shot_temp": k % 10 * 700 - 1400,
+    }
+    return T(spark, sf, "part").select(*[c.alias(name) for name, c in columns.items()])
+
+
+@query("pending_filter", f"WITH {PHOTOS} SELECT id, local_path FROM p WHERE sync_state = 0 AND local_path <> ''")
 def pending_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return T(spark, sf, "orders").where("o_orderkey % 5 = 0 and o_orderpriority <> '5-LOW'").select("o_orderkey", F.col("o_orderpriority").alias("path"))
+    return _photos(spark, sf).where(predicates.pending_upload()).select("id", "local_path")
 
 
-@query("needs_backfill_filter", "SELECT p_partkey FROM part WHERE p_size = 1 AND p_type = 'SMALL' OR p_size = 0 OR p_retailprice = 0 OR p_brand = 'Brand#1' AND p_name LIKE 'red%'")
+@query("needs_backfill_filter", f"WITH {PHOTOS} SELECT id FROM p WHERE local_path <> '' AND present AND (lens = '' AND exposure = '' AND orientation = 1 AND focal = 0 OR width = 0 OR height = 0 OR is_raw AND lens = '')")
 def needs_backfill_filter(spark: SparkSession, sf: str) -> DataFrame:
-    unread = (F.col("p_size") == 1) & (F.col("p_type") == "SMALL")
-    sizeless = (F.col("p_size") == 0) | (F.col("p_retailprice") == 0)
-    no_lens = (F.col("p_brand") == "Brand#1") & F.col("p_name").startswith("red")
-    return T(spark, sf, "part").where(unread | sizeless | no_lens).select("p_partkey")
+    return _photos(spark, sf).where(predicates.needs_exif()).select("id")
 
 
-@query("needs_work_flags", "SELECT p_partkey, p_size < 20 AND p_type <> 'PROMO' AS preview, p_partkey % 2 = 0 AS face, p_retailprice > 1000 AND p_size > 3 AS wb FROM part WHERE p_brand IN ('Brand#2', 'Brand#4')")
+@query("needs_work_flags", f"WITH {PHOTOS}, s AS (SELECT *, preview_path <> '' AND preview_present AS sp, local_path <> '' AND present AS f FROM p) SELECT id, NOT is_video AND NOT sp AND f AS preview, NOT is_video AND NOT face_scanned AND sp AS face, is_raw AND as_shot <= 0 AND f AS wb FROM s")
 def needs_work_flags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T(spark, sf, "part").where(F.col("p_brand").isin("Brand#2", "Brand#4"))
-    return rows.select("p_partkey", ((F.col("p_size") < 20) & (F.col("p_type") != "PROMO")).alias("preview"), (F.col("p_partkey") % 2 == 0).alias("face"), ((F.col("p_retailprice") > 1000) & (F.col("p_size") > 3)).alias("wb"))
+    return _photos(spark, sf).select("id", predicates.needs_preview().alias("preview"), predicates.needs_faces().alias("face"), predicates.needs_white_balance().alias("wb"))
+
+
+EDITS = "event_id % 4 / 8::DOUBLE AS x, 1 - event_id % 3 / 8::DOUBLE AS w, event_id % 5 AS turns, event_id % 7 / 2::DOUBLE AS v, event_id % 11 / 4::DOUBLE AS ev"
 
 
-@query("sentinel_predicates", f"WITH g AS ({gps_sql('events', 'event_id')}) SELECT event_id, lat <> 0 OR lon <> 0 AS has_gps, event_id % 4 <> 0 OR value <> 1 AS has_crop, nullif(event_id % 6, 0) IS NOT NULL AS has_temperature FROM g")
+@query("sentinel_predicates", f"WITH g AS ({gps_sql('events', 'event_id')}), e AS (SELECT event_id, lat, lon, {EDITS} FROM g), f AS (SELECT event_id, lat <> 0 OR lon <> 0 AS has_gps, x <> 0 OR w <> 1 AS has_crop, turns <> 0 AS has_rotation, v <> 0 AS has_perspective, ev <> 0 AS dev FROM e) SELECT event_id, has_gps, has_crop, has_rotation, has_perspective, has_crop OR has_rotation OR has_perspective OR dev AS has_edits FROM f")
 def sentinel_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_gps(T(spark, sf, "events"), "event_id")
     k = F.col("event_id")
-    return rows.select("event_id", geo.has_gps(F.col("lat"), F.col("lon")).alias("has_gps"), ((k % 4 != 0) | (F.col("value") != 1)).alias("has_crop"), F.nullif(k % 6, F.lit(0)).isNotNull().alias("has_temperature"))
+    neutral = predicates.CROP | predicates.ROTATION | predicates.PERSPECTIVE | predicates.DEVELOP
+    set_ = {"user_crop_x": k % 4 / F.lit(8.0), "user_crop_w": 1 - k % 3 / F.lit(8.0), "user_rotation90": k % 5, "user_persp_v": k % 7 / F.lit(2.0), "dev_exposure": k % 11 / F.lit(4.0)}
+    rows = with_gps(T(spark, sf, "events"), "event_id").withColumns({c: set_.get(c, F.lit(v)) for c, v in neutral.items()})
+    return rows.select("event_id", geo.has_gps(F.col("lat"), F.col("lon")).alias("has_gps"), predicates.has_crop().alias("has_crop"), predicates.has_rotation().alias("has_rotation"), predicates.has_perspective().alias("has_perspective"), predicates.has_edits().alias("has_edits"))
 
 
 @query("snapshot_diff", "SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 4 = 0 AND c_acctbal <> 0")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import color, geo, optics, text
-from tessera.operators import clustering, fitting, mutations, ranking, timeline
+from tessera.operators import clustering, fitting, mutations, predicates, ranking, timeline
 from tessera.sources import readers
 from tessera.streaming import incremental
 
@@ -280,3 +280,17 @@ def test_foreign_catalogue_as_csv(spark, tmp_path):
     (tmp_path / "tags.csv").write_text("id,tag\n1,x\n")
     found = readers.read_exported(spark, str(tmp_path))
     assert sorted(found) == ["images", "tags"] and found["images"].join(found["tags"], "id").select("name", "tag").collect() == [("a", "x")]
+
+
+def test_predicates_of_photos(spark):
+    plain = {"sync_state": 0, "local_path": "/a.arw", "present": True, "is_raw": False, "is_video": False, "lens_correction_params": "{}", "exposure_time": "1/60 s", "orientation": 1, "focal_length_35mm": 35, "width": 6, "height": 4, "preview_path": "sp", "preview_present": True, "face_scanned": False, "as_shot_temp": 0}
+    cases = [
+        ({}, "uf"), ({"local_path": ""}, "f"), ({"sync_state": 1, "present": False}, "f"), ({"width": 0}, "uxf"), ({"lens_correction_params": "", "exposure_time": "", "focal_length_35mm": 0}, "uxf"),
+        ({"lens_correction_params": ""}, "uf"), ({"lens_correction_params": "", "is_raw": True}, "uxfw"), ({"is_raw": True, "as_shot_temp": 5500}, "uf"), ({"preview_present": False}, "up"), ({"preview_path": "", "is_video": True}, "u"), ({"face_scanned": True}, "u"),
+    ]
+    df = spark.createDataFrame([{"i": i, **plain, **change} for i, (change, _) in enumerate(cases)])
+    flags = {"u": predicates.pending_upload(), "x": predicates.needs_exif(), "p": predicates.needs_preview(), "f": predicates.needs_faces(), "w": predicates.needs_white_balance()}
+    got = df.orderBy("i").select(*[c.alias(name) for name, c in flags.items()]).collect()
+    assert ["".join(n for n in flags if r[n]) for r in got] == [want for _, want in cases]
+    states = one(spark, *[predicates.state_after_upload(F.lit(s), F.lit(ok).cast("boolean")) for s, ok in ((1, True), (1, False), (1, None), (3, True))], predicates.loaded_state(F.lit(1)))
+    assert states == [2, 0, 1, 3, 0]
