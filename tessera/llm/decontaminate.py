@@ -2,23 +2,27 @@
 
 Items are cut into windows of consecutive words; the tokens of a window are its short word shingles. A
 window occurs only where all of its tokens do, so the necessary prefix is its one rarest token, by a count
-over all documents. Documents are joined on these tokens; the token's place in the window bounds where
-the window may start and end, and the words of the window are then compared one by one.
+over all documents. One pass over the documents finds the places of all tokens, by hash and then word by word; from these
+come the counts, the prefixes and, as the token's place in the window bounds where the window may start and end, the
+candidates. A candidate is verified by all tokens of its window at their places. Texts are not moved.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import written
+from tessera.workspace import written
+
+from .rows import TAGS, row_tags, rows_not_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-TOKEN = 3
-BROADCAST_MOST = 200_000  # rows of windows (up to some 100 bytes a row); more are joined by a shuffle
+TOKEN = 5
+BLOCK_RUNS = 1 << 18  # runs of words that are broadcast at once, some 40 MB in a task's table
 
 
 def ascii_lower(text: Column) -> Column:
@@ -30,10 +34,46 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def _tokens(words: str, width: int) -> Column:
-    """Hashes of all shingles of ``width`` words; none if there are fewer words."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(width)], F.lit(width)))
-    return F.when(F.size(words) >= width, grams).otherwise(F.array().cast("array<long>"))
+def token_of(words: Callable[[int], Column], width: int) -> Column:
+    return F.xxhash64(*[words(j) for j in range(width)], F.lit(width))
+
+
+def tokens_of(words: str, widths: list[int]) -> Column:
+    """Hashes of all runs of as many words, of each width in turn; none of a width where there are fewer words."""
+
+    def of(width: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: token_of(lambda j: F.get(F.col(words), i + j), width))
+        return F.when(F.size(words) >= width, grams).otherwise(F.array().cast("array<long>"))
+
+    return F.concat(*map(of, widths))
+
+
+def numbered_runs(runs: DataFrame, widths: list[int]) -> DataFrame:
+    """(run, token, number) of the distinct runs of words (run), a written table: the number is made once and stands for the words."""
+    hashed = F.lit(None).cast("long")
+    for k in widths:
+        hashed = F.when(F.size("run") == k, token_of(lambda j: F.get(F.col("run"), F.lit(j)), k)).otherwise(hashed)
+    return written(runs.select("run").distinct().select("run", hashed.alias("token"), F.monotonically_increasing_id().alias("number")), "wanted")
+
+
+def met_runs(docs: DataFrame, keys: list[str], wanted: DataFrame, widths: list[int]) -> DataFrame:
+    """(keys, n, pos, token, number) of every place of ``docs`` (keys, words) where one of the ``wanted`` runs (see ``numbered_runs``) stands.
+
+    Found by hash; the words themselves are compared where a hash agrees, beside the text, so that only places move on. The runs go to all
+    tasks in blocks of at most ``BLOCK_RUNS``: more of them mean more passes over the documents, not a shuffle of all of their words.
+    """
+    if not widths:
+        return docs.select(*keys, F.size("words").alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("token"), F.lit(0).cast("long").alias("number")).limit(0)
+    # explode of one element keeps the optimizer from splitting the text anew for each token
+    told = docs.select(*keys, F.explode(F.array("words")).alias("words")).select(*keys, "words", F.size("words").alias("n"), tokens_of("words", widths).alias("tokens"))
+    told = told.select(*keys, "n", "words", F.posexplode("tokens").alias("at", "token"))
+    blocks = max(1, -(-wanted.count() // BLOCK_RUNS))
+    parts = [told.join(F.broadcast(wanted.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == k) if blocks > 1 else wanted), "token") for k in range(blocks)]
+    pos = F.col("at")
+    for before, own in zip(widths, widths[1:], strict=False):  # places of one width follow those of the one before
+        pos = F.when(F.size("run") >= own, pos - F.greatest(F.col("n") - before + 1, F.lit(0))).otherwise(pos)
+    met = reduce(DataFrame.union, parts).withColumn("pos", pos)
+    return met.where(F.slice("words", F.greatest(F.col("pos") + 1, F.lit(1)), F.size("run")) == F.col("run")).select(*keys, "n", "pos", "token", "number")
 
 
 def item_windows(items: DataFrame, item_col: str, text: str, width: int) -> DataFrame:
@@ -42,48 +82,60 @@ def item_windows(items: DataFrame, item_col: str, text: str, width: int) -> Data
     return split.select("item", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))).alias("at"), "w").select("item", F.slice("w", F.col("at"), width).alias("words"))
 
 
+def contaminated_rows(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text") -> DataFrame:
+    """(TAGS, n_hit, n_items, items) of the rows with a hit, by their identity."""
+    keys = list(TAGS)
+    split = docs.select(*row_tags(id_col, text), words_of(F.col(text)).alias("words"))
+    cut = item_windows(items, item_col, text, width)
+    # windows are named by a number that is made once, in what is written
+    named = written(cut.groupBy("words").agg(F.collect_set(F.col("item").cast("string")).alias("items")).withColumn("window", F.monotonically_increasing_id()), "windows")
+    windows = named.select("window", "words", F.size("words").alias("size"), F.least(F.size("words"), F.lit(TOKEN)).alias("k"))
+    widths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # 1 to TOKEN
+    starts = F.sequence(F.lit(0), F.col("size") - F.col("k"))
+    cut = windows.select("window", "size", "k", F.explode(starts).alias("off"), "words").select("window", "size", "k", "off", F.slice("words", F.col("off") + 1, F.col("k")).alias("run"))
+    wanted = numbered_runs(cut, widths)
+    placed = written(cut.join(wanted, "run").select("window", "size", "k", "off", "number"), "placed")
+    met = written(met_runs(split, keys, wanted, widths), "met")
+
+    seen = met.groupBy("number").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("window").orderBy("df", "number", "off")
+    # A window with a run that no document holds occurs nowhere: its rarest one has no count.
+    counted = placed.join(seen, "number", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    prefix = written(counted.withColumn("r", F.row_number().over(rarest)).where("r = 1 and df > 0").select("window", "size", "off", "number"), "prefix")
+    start = F.col("pos") - F.col("off")
+    near = met.join(prefix, "number").where((start >= 0) & (start + F.col("size") <= F.col("n"))).select(*keys, start.alias("start"), "window").distinct()
+    # a candidate holds if each run of its window stands at its place
+    due = near.join(placed, "window").select(*keys, "start", "window", "size", "k", (F.col("start") + F.col("off")).alias("pos"), "number")
+    held = due.join(met.select(*keys, "pos", "number").distinct(), [*keys, "pos", "number"])
+    found = held.groupBy(*keys, "start", "window", "size", "k").agg(F.count("*").alias("runs")).where("runs = size - k + 1")
+    hits = written(found.select(*keys, "start", "window", "size"), "hits")
+
+    places = hits.select(*keys, "start", "size").distinct().select(*keys, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p"))
+    covered = places.distinct().groupBy(*keys).agg(F.count("*").alias("n_hit"))
+    told = hits.select(*keys, "window").distinct().join(named.select("window", F.explode("items").alias("item")), "window").select(*keys, "item").distinct()
+    listed = told.groupBy(*keys).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
+    return written(covered.join(listed, keys), "contaminated")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document: (id_col, n_words, n_hit, n_items, items_sha256, contaminated).
 
     Words are the runs of bytes other than ASCII non-alphanumerics, A-Z lower-cased. A word is hit if it
     lies in any occurrence of a window of an item; n_items counts the items with occurring windows, whose
     ids, sorted as strings and joined by commas, items_sha256 digests (of '' if none). Null and empty
-    texts have no words; wordless items have no windows. Rows that repeat an id each get a row, with
-    the hits of all of them. Either table may be empty. Other columns are not read.
+    texts have no words; wordless items have no windows, items without an id none that count. Every row has the hits of
+    its own text, whether its id is null or repeated. Either table may be empty. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).alias("id"), words_of(F.col(text)).alias("words"))
-    windows = written(item_windows(items, item_col, text, width), "windows")
-    distinct = windows.select("words").distinct().withColumn("k", F.least(F.size("words"), F.lit(TOKEN)))
-    widths = [r["k"] for r in distinct.select("k").distinct().collect()]
-    few = distinct.count() <= BROADCAST_MOST
-    near = F.broadcast if few else lambda df: df
-    hits = []
-    for k in sorted(widths):
-        own = distinct.where(F.col("k") == k)
-        placed = written(own.select("words", F.posexplode(_tokens("words", k)).alias("off", "token")), "tokens")
-        told = docs.select("id", "words", F.posexplode(_tokens("words", k)).alias("pos", "token"))
-        tokens = placed.select("token").distinct()
-        seen = told.select("token").join(near(tokens) if few else tokens, "token").groupBy("token").agg(F.count("*").alias("df"))
-        rarest = Window.partitionBy("words").orderBy("df", "token", "off")
-        # A token that no document holds makes the inner join drop its windows, rightly, but only with all tokens counted.
-        counted = placed.join(seen, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        prefix = written(counted.withColumn("r", F.row_number().over(rarest)).where("r = 1 and df > 0").select(F.col("words").alias("window"), "off", "token"), "prefix")
-        start = F.col("pos") - F.col("off")
-        fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
-        met = told.join(near(prefix), "token").where(fits)
-        hits.append(met.where(F.slice("words", start + 1, F.size("window")) == F.col("window")).select("id", start.alias("start"), "window"))
-    if hits:
-        found = written(reduce(DataFrame.union, hits), "hits")
-    else:
-        found = docs.select("id", F.lit(0).alias("start"), F.col("words").alias("window")).limit(0)
-    places = found.select("id", "start", F.size("window").alias("n")).distinct().select("id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p"))
-    covered = places.distinct().groupBy("id").agg(F.count("*").alias("n_hit"))
-    named = found.select("id", "window").distinct().join(near(windows.withColumnRenamed("words", "window").distinct()), "window").select("id", F.col("item").cast("string").alias("item")).distinct()
-    listed = named.groupBy("id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
-    sizes = docs.select("id", F.size("words").cast("long").alias("n_words"))
-    out = sizes.join(covered.join(listed, "id", "full"), "id", "left")
+    found = contaminated_rows(docs, items, width, id_col, item_col, text)
+    sizes = docs.select(F.col(id_col).alias("id"), *row_tags(id_col, text), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    out = sizes.join(found, list(TAGS), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows without a hit, with all columns whatever their names; rows with a null id are judged by their text like any other."""
+    return rows_not_of(docs, contaminated_rows(docs, items, width, id_col, item_col, text), id_col, text)
