@@ -5,7 +5,7 @@ both; those that stand clear of zero make the model. A linear scan over a text f
 segments: the passages whose sum of log-odds, less a drift for each word, no extension or cut improves.
 The best segment of a text of n words by chance exceeds x with probability 1 - exp(-K n exp(-lambda x)), the
 extreme-value law with lambda and K from clean texts; a logistic curve on the passages' corrected scores gives
-the score of the text. Law and curve are fitted on texts that the odds in use did not see (two folds).
+the score of the text. Law and curve are fitted on texts that the odds in use did not see (four folds).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ FLAT = 0.5  # and its part that is the same for every token
 CLEAR = 3.5  # standard errors from zero that a kept token's log-odds stand
 DRIFT = 0.5  # of the sum for each word, so that passages end
 STEMS = (0, 6, 8)  # a word's tokens: itself, and its first bytes (for languages that compound)
-FOLDS = 2  # of the labelled sample: passages of each are found with the odds of the others
+FOLDS = 4  # of the labelled sample: passages of each are found with the odds of the others
 FOLD_RUN = 5  # words of the runs by which near copies come into one fold
 RIDGE = 1e-3  # of the curve's penalty for each row
 THRESHOLD = 0.3
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_most: int = TRAIN_MOST) -> Mod
     """A model from at most ``train_most`` labelled documents: (doc_id, text) and (doc_id, toxic). Rows without a label are left out.
 
     The extreme-value law and the curve are fitted on the passages that each fold's texts have under the odds of the other
-    fold, which did not see them; the model's own odds are those of both.
+    folds, which did not see them; the model's own odds are those of all.
     """
     rows = written(labelled_texts(docs, labels, train_most), "labelled")
     *apart, model = _models(written(_token_counts(rows), "token_counts"))
