@@ -41,23 +41,23 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS ke
 
 
 def op6(templates: dict[str, str]) -> str:
-    """License scan by exact containment in all windows of the grid, without any hashing."""
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in sorted(templates.items()))
+    """License scan by exact containment of each template's distinct shingles in those of the whole text, without windows or hashing."""
+    rows = ", ".join("('{}', '{}')".format(name.replace("'", "''"), text.replace("'", "''")) for name, text in sorted(templates.items()))
     words = WORDS.replace("coalesce(text, '')", "text")
     grams = "list_distinct(list_transform(range(1, greatest(1, len({0}) - 4) + 1), lambda i: array_to_string({0}[i:i+4], ' ')))"
     return rf"""
 WITH t(license, text) AS (VALUES {rows}),
 tw AS (SELECT license, {words} AS w FROM t),
-tp AS (SELECT license, k AS piece, w[k*12+1:k*12+16] AS w FROM (SELECT license, w, unnest(range(0, (len(w) - 5) // 12 + 1)) AS k FROM tw WHERE len(w) >= 5)),
-p AS (SELECT license, piece, len(w) AS m, {grams.format('w')} AS g, greatest(1, (len(w) - 4) // 2) AS s FROM tp),
-c AS (SELECT DISTINCT m, s FROM p),
+tk AS (SELECT license, w, greatest(0, len(w) - 16) AS last FROM tw WHERE len(w) >= 5),
+tp AS (SELECT license, k, w[k+1:k+16] AS w FROM (SELECT license, w, unnest(list_append(list_filter(range(0, last + 1, 12), lambda k: k < last), last)) AS k FROM tk)),
+p AS (SELECT license, k, {grams.format('w')} AS g FROM tp),
+pg AS (SELECT license, k, len(g) AS n, unnest(g) AS g FROM p),
+e AS (SELECT license, count(DISTINCT k) AS n_pieces, count(DISTINCT g) AS total FROM pg GROUP BY 1),
 d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-x AS (SELECT DISTINCT doc_id, m, w[k*s+1:k*s+m+s-1] AS w FROM (SELECT doc_id, w, m, s, unnest(range(0, (len(w) - 1) // s + 1)) AS k FROM d, c WHERE len(w) >= 5)),
-y AS (SELECT doc_id, m, {grams.format('w')} AS g FROM x),
-v AS (SELECT doc_id, license, piece, max(len(list_intersect(y.g, p.g)) / len(p.g)::DOUBLE) AS share, max(len(p.g)) AS n
-      FROM y JOIN p USING (m) WHERE len(list_intersect(y.g, p.g)) / len(p.g)::DOUBLE >= 0.8 GROUP BY ALL),
-e AS (SELECT license, count(*) AS n_pieces, sum(len(g)) AS total FROM p GROUP BY 1),
-r AS (SELECT doc_id, license, any_value(n_pieces)::BIGINT AS n_pieces, count(*)::BIGINT AS matched_pieces, round(sum(share * n) / any_value(total), 6) AS containment
-      FROM v JOIN e USING (license) GROUP BY doc_id, license)
-SELECT * FROM r WHERE containment >= 0.8
+dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest({grams.format('w')}) AS g FROM d WHERE len(w) >= 5) SEMI JOIN pg USING (g)),
+h AS (SELECT doc_id, license, k, n, g FROM dg JOIN pg USING (g)),
+m AS (SELECT doc_id, license, count(*) FILTER (c / n::DOUBLE >= 0.8)::BIGINT AS matched_pieces FROM (SELECT doc_id, license, k, n, count(*) AS c FROM h GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT doc_id, license, count(DISTINCT g) AS hit FROM h GROUP BY ALL)
+SELECT doc_id, license, n_pieces::BIGINT AS n_pieces, matched_pieces, round(hit / total::DOUBLE, 6) AS containment
+FROM r JOIN m USING (doc_id, license) JOIN e USING (license) WHERE hit / total::DOUBLE >= 0.8
 """

@@ -12,7 +12,7 @@ from . import oracles
 from .bpe import roundtrip_digests
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
-from .license_scan import TEMPLATES, license_scan
+from .license_scan import license_scan, templates
 from .ngram_join import ngram_jaccard_join
 from .sharding import shard_uniformly
 from .token_output import token_files_digest
@@ -88,5 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard_join": oracles.OP2,
         "op3_benchmark_decontamination": oracles.OP3,
         "op4_exact_dedup": oracles.OP4,
-        "op6_license_scan": oracles.op6(TEMPLATES),
+        "op6_license_scan": oracles.op6(templates()),
     }
