@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.workspace import partitions, written
@@ -228,7 +228,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
 
 
-def _joined(docs: DataFrame, id_col: str, text: str, width: int, percent: int, star_rounds: int = 1) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text: str, width: int, percent: int, star_rounds: int = 3) -> DataFrame:
     """(id, TAGS, n, component) of every row; a component of rows without an id has a number from ``NO_ID`` on, an empty set none."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), *row_tags(id_col, text), F.col(text).alias("text"))
@@ -245,11 +245,13 @@ def _joined(docs: DataFrame, id_col: str, text: str, width: int, percent: int, s
     classes = written(signed.where("n > 0").groupBy("set_key").agg(least.alias("rep")), "classes")
     active = signed.where(F.size("grams") > 0).groupBy("set_key").agg(least.alias("id"), F.count("*").alias("copies"), F.first("grams").alias("grams"))  # equal in all copies
     sets = written(prefixes(active, percent, columns), "sets")
-    whole = Window.partitionBy("h")
+    # What a column tells of its rows is counted, written and joined, not taken from a window: so Spark can split the rows of a frequent column.
     met = sets.select(F.posexplode("prefix").alias("place", "h"), "id", "n", "alone", "odd").withColumn("place", (F.col("place") + F.col("alone")).cast("int")).withColumn("reach", _reach(percent))
-    met = met.withColumn("least", F.min("n").over(whole)).withColumn("most", F.max("reach").over(whole)).where("reach >= least and n <= most").drop("least", "most")
-    met = met.withColumn("pivot", F.min(F.struct("odd", "id", "n", "reach")).over(whole)).withColumn("rows", F.count("*").over(whole)).where("rows > 1")
-    met = written(met.select("h", "id", "n", "place", "reach", "odd", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.reach").alias("pr")), "met")
+    met = written(met.select("h", "id", "n", "place", "reach", "odd"), "met")
+    ends = written(met.groupBy("h").agg(F.min("n").alias("least"), F.max("reach").alias("most"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "ends")
+    met = written(met.join(ends, "h").where("reach >= least and n <= most").drop("least", "most"), "met")
+    pivots = written(met.groupBy("h").agg(F.min(F.struct("odd", "id", "n", "reach")).alias("pivot"), F.count("*").alias("rows")).where("rows > 1").select("h", "pivot"), "pivots")
+    met = written(met.join(pivots, "h").select("h", "id", "n", "place", "reach", "odd", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.reach").alias("pr")), "met")
     sets = sets.select("id", "grams")
 
     pairs = met.where((F.col("id") != F.col("p")) & _sizes_fit("n", "reach", "pn", "pr")).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
@@ -258,8 +260,9 @@ def _joined(docs: DataFrame, id_col: str, text: str, width: int, percent: int, s
 
     for turn in range(1, star_rounds + 2):
         placed = met.select("h", "id", "n", "place", "reach", "odd").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = placed.withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole)).where("low < high").drop("low", "high")
         placed = written(placed, "placed")
+        several = written(placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"), "several")
+        placed = written(placed.join(several, "h", "left_semi"), "placed")
         per = placed.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
         if not left["pairs"]:
@@ -272,8 +275,8 @@ def _joined(docs: DataFrame, id_col: str, text: str, width: int, percent: int, s
             to_come = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
             pairs = counted.where((F.col("met") + to_come) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
         else:
-            pick = F.min_by(F.struct("id", "n", "reach", "component"), F.struct(F.xxhash64(F.lit(turn), "component"), "odd", "id")).over(whole)
-            star = placed.withColumn("p", pick).where((F.col("component") != F.col("p.component")) & _sizes_fit("n", "reach", "p.n", "p.reach"))
+            pick = F.min_by(F.struct("id", "n", "reach", "component"), F.struct(F.xxhash64(F.lit(turn), "component"), "odd", "id"))
+            star = placed.join(written(placed.groupBy("h").agg(pick.alias("p")), "stars"), "h").where((F.col("component") != F.col("p.component")) & _sizes_fit("n", "reach", "p.n", "p.reach"))
             pairs = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         links = links.union(written(_links(pairs, sets, percent), "links"))
         parts = components(links)
