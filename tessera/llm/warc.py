@@ -95,49 +95,78 @@ def parse_record(raw: bytes, at: int) -> tuple[dict, int] | str:
     return record, stop + 4
 
 
-def _member_at(raw: bytes, at: int) -> tuple[list[dict], int] | str:
-    """All records of the gzip member that begins here, and where it ends; a member is valid if all of it is."""
+def _plain_records(plain: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """(begin, end, record or reason) of plain bytes, in order: after a record that is not valid, on from the next version line."""
+    at, gap, reason = 0, None, ""
+    while at < len(plain):
+        got = parse_record(plain, at)
+        if isinstance(got, str):
+            gap, reason = (at, got) if gap is None else (gap, reason)
+            nxt = _VERSION_LINE.search(plain, at + 1)
+            at = nxt.start() if nxt else len(plain)
+            continue
+        if gap is not None:
+            yield gap, at, reason
+            gap = None
+        yield at, got[1], got[0]
+        at = got[1]
+    if gap is not None:
+        yield gap, len(plain), reason
+
+
+def _unpacked(raw: bytes, at: int, step: int) -> tuple[bytes, int | None, str]:
+    """The bytes of the gzip member that begins here as far as they unpack, and where it ends: None, with a reason, if it is damaged or cut off."""
     unpack, parts, end = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof and end < len(raw):
-            parts.append(unpack.decompress(raw[end : end + (1 << 16)]))
-            end = min(end + (1 << 16), len(raw))
+            parts.append(unpack.decompress(raw[end : end + step]))
+            end = min(end + step, len(raw))
     except zlib.error as e:
-        return f"bad member: {e}"[:80]
-    if not unpack.eof:
-        return "cut-off member"
-    plain, end = b"".join(parts), end - len(unpack.unused_data)
-    found, i = [], 0
-    while i < len(plain):
-        got = parse_record(plain, i)
-        if isinstance(got, str):
-            return got
-        found.append(got[0])
-        i = got[1]
-    return found, end
+        return b"".join(parts), None, f"bad member: {e}"[:80]
+    return b"".join(parts), end - len(unpack.unused_data) if unpack.eof else None, "" if unpack.eof else "cut-off member"
+
+
+def _member_at(raw: bytes, at: int) -> tuple[list[tuple[int, int, dict | str]], int | None, str]:
+    """What the gzip member that begins here holds (see ``_plain_records``), its end and what is wrong with it.
+
+    Of a member whose own check did not pass, a record counts only if another begins behind it.
+    """
+    plain, end, reason = _unpacked(raw, at, 1 << 16)
+    if not reason:
+        return list(_plain_records(plain)), end, ""
+    plain, _, reason = _unpacked(raw, at, 64)  # a step that fails gives nothing: small ones lose little before the damage
+    return [x for x in _plain_records(plain) if not isinstance(x[2], str) and _VERSION_LINE.match(plain, x[1])], None, reason
 
 
 def salvage(raw: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", at, size, fields) and ("gap", at, size, reason) of an archive's bytes, in order; they cover all bytes."""
+    """("record", at, size, fields) and ("gap", at, size, reason) of an archive's bytes, in order.
+
+    Their ranges cover all bytes. Records of one gzip member share its range. A gap inside a member has its range too, and its
+    reason tells the place in the unpacked bytes; a damaged member's gap tells how many records were recovered from what did unpack.
+    """
     at, gap, reason = 0, None, ""
     while at < len(raw):
         if raw[at : at + 2] == b"\x1f\x8b":
-            got = _member_at(raw, at)
+            held, end, why = _member_at(raw, at)
         else:
             got = parse_record(raw, at)
-            got = got if isinstance(got, str) else ([got[0]], got[1])
-        if isinstance(got, str):
+            held, end, why = ([], None, got) if isinstance(got, str) else ([(at, got[1], got[0])], got[1], "")
+        if end is None and not held:
             if gap is None:
-                gap, reason = at, got
+                gap, reason = at, why
             nxt = _START.search(raw, at + 1)
             at = nxt.start() if nxt else len(raw)
             continue
         if gap is not None:
             yield "gap", gap, at - gap, reason
             gap = None
-        for fields in got[0]:
-            yield "record", at, got[1] - at, fields
-        at = got[1]
+        if end is None:
+            nxt = _START.search(raw, at + 1)
+            end = nxt.start() if nxt else len(raw)
+            yield "gap", at, end - at, f"{why}; {len(held)} records recovered"
+        for begin, stop, what in held:
+            yield ("gap", at, end - at, f"{what}, unpacked bytes {begin} to {stop}") if isinstance(what, str) else ("record", at, end - at, what)
+        at = end
     if gap is not None:
         yield "gap", gap, len(raw) - gap, reason
 
@@ -153,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).alias("url"), raw.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256))).withColumn("n", F.octet_length("payload"))
     keys = rows.where(F.col("n") >= least_bytes).select("id", "key")
-    first = keys.groupBy("key").agg(F.min("id").alias("first"))
+    first = written(keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")  # a table of its own: a frequent payload's rows can be split
     again = keys.join(first, "key").where("id <> first").select("id", "key", "first").distinct()
     told = rows.join(again, ["id", "key"], "left").select("id", "url", "payload", "first")
 
@@ -206,7 +235,7 @@ def warc_roundtrip(pages: DataFrame) -> DataFrame:
     """Write the archives of ``pages`` to the shared folder and read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     Null html is an empty payload; null and empty urls give a record without target. Repeated rows of one id
-    are records of their own. An empty table gives an empty table. Other columns are not read.
+    are records of their own, as are rows without an id, which nothing revisits. An empty table gives an empty table. Other columns are not read.
     """
     folder = new_folder(pages.sparkSession, "warc")
     manifest = write_archives(pages, folder)
