@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. All but the last return the columns of ``documents``; the last returns token counts and digests.
-Each handles nulls in any column, empty and repeated texts, empty tables and further columns as its operator does.
+Each judges a row by its own text, whether its id is null or repeated; rows that repeat id and text are one document, of which
+the dedup stages keep one. Null texts are empty ones; all columns pass, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,36 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import roundtrip_digests
-from tessera.llm.decontaminate import decontaminate
-from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.ngram_join import keep_one_of_each, ngram_jaccard_join
+from tessera.llm.decontaminate import without_contaminated
+from tessera.llm.exact_dedup import without_copies
+from tessera.llm.ngram_join import without_near_copies
 from tessera.llm.toxicity import THRESHOLD, fit, held_out, with_scores
-from tessera.llm.workspace import written
+from tessera.workspace import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold. Texts are scored in place: nothing is shuffled."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.where(~held_out()))
-    own = "toxicity score"
+    own, names = "toxicity", {c.lower() for c in docs.columns}
+    while own in names:
+        own += "_"
     return with_scores(docs, model, score=own).where(F.col(own) < THRESHOLD).drop(own)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the one that exact dedup keeps."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of texts equal but for white space, the row that exact dedup keeps."""
+    return without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by n-gram Jaccard similarity, that with the smallest id."""
-    return keep_one_of_each(docs, ngram_jaccard_join(docs))
+    """One row of each group linked by n-gram Jaccard similarity, that with the smallest id."""
+    return without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
