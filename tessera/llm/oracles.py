@@ -61,3 +61,37 @@ r AS (SELECT doc_id, license, count(DISTINCT g) AS hit FROM h GROUP BY ALL)
 SELECT doc_id, license, n_pieces::BIGINT AS n_pieces, matched_pieces, round(hit / total::DOUBLE, 6) AS containment
 FROM r JOIN m USING (doc_id, license) JOIN e USING (license) WHERE hit / total::DOUBLE >= 0.8
 """
+
+
+def op12(stop_words: list[str]) -> str:
+    """Quality rules with the thresholds of the production table written out."""
+    listed = ", ".join("'" + w + "'" for w in sorted(set(stop_words)))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, k, w[k:k+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+r AS (SELECT doc_id, unnest(range(k, k + 3)) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+n AS (SELECT doc_id, count(DISTINCT p) AS c FROM r GROUP BY doc_id),
+c AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n.c, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_list_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS n_letter_words,
+         len(list_filter(w, lambda x: lower(x) IN ({listed}))) AS n_stop_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '^\PL*[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*$'))) AS n_capital_words
+  FROM w LEFT JOIN n USING (doc_id)),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([
+    CASE WHEN n_words NOT BETWEEN 50 AND 100000 THEN 'length' END,
+    CASE WHEN n_words > 0 AND 1000 * word_chars NOT BETWEEN 3000 * n_words AND 10000 * n_words THEN 'word_length' END,
+    CASE WHEN 1000 * n_symbols > 100 * n_words AND n_words > 0 THEN 'symbols' END,
+    CASE WHEN 1000 * n_list_lines > 900 * n_lines THEN 'list_lines' END,
+    CASE WHEN 1000 * n_cut_lines > 300 * n_lines THEN 'cut_lines' END,
+    CASE WHEN 1000 * n_letter_words < 800 * n_words THEN 'letters' END,
+    CASE WHEN 1000 * n_stop_words < 60 * n_words THEN 'stop_words' END,
+    CASE WHEN 1000 * n_capital_words > 300 * n_words THEN 'capitals' END,
+    CASE WHEN 1000 * n_dup_lines > 300 * n_lines THEN 'repeated_lines' END], lambda x: x IS NOT NULL) AS broken FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(broken) = 0 AS kept, coalesce(array_to_string(broken, ','), '') AS broken_rules FROM f
+"""

@@ -14,6 +14,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan, templates
 from .ngram_join import ngram_jaccard_join
+from .quality_rules import STOP_WORDS, quality_rules
 from .sharding import shard_uniformly
 from .token_output import token_files_digest
 from .toxicity import toxicity
@@ -67,6 +68,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_uniformly(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
+        "op12_quality_rules": op12_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -89,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": oracles.OP3,
         "op4_exact_dedup": oracles.OP4,
         "op6_license_scan": oracles.op6(templates()),
+        "op12_quality_rules": oracles.op12(STOP_WORDS),
     }
