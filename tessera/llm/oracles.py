@@ -95,3 +95,18 @@ f AS (
     CASE WHEN 1000 * n_dup_lines > 300 * n_lines THEN 'repeated_lines' END], lambda x: x IS NOT NULL) AS broken FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(broken) = 0 AS kept, coalesce(array_to_string(broken, ','), '') AS broken_rules FROM f
 """
+
+
+OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({FOLD}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS x, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM c JOIN t USING (lang) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(x[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(x[k+1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.lang = b.lang AND o.f >= b.a AND o.m > len(string_split(b.phrase, ' ')) AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank <= 2000
+"""

@@ -14,6 +14,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan, templates
 from .ngram_join import ngram_jaccard_join
+from .phrases import mine_phrases
 from .quality_rules import STOP_WORDS, quality_rules
 from .sharding import shard_uniformly
 from .token_output import token_files_digest
@@ -72,6 +73,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
         "op12_quality_rules": op12_quality_rules,
+        "op13_phrases": op13_phrases,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -96,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": oracles.OP4,
         "op6_license_scan": oracles.op6(templates()),
         "op12_quality_rules": oracles.op12(STOP_WORDS),
+        "op13_phrases": oracles.OP13,
     }
