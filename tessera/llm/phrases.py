@@ -1,13 +1,14 @@
 """Phrase collocation mining with word-id suffix arrays.
 
 1. Texts are cut into shards of one language: an array of word numbers with a break between pieces, and the words that the
-   numbers stand for. Counts of words are merged over all shards, and each shard is told which of its own words are frequent.
+   numbers stand for. Counts of words are merged over all shards.
 2. A shard's suffixes are sorted by prefix doubling; neighbours that share their first words (the intervals of the array of common
-   prefixes) are the occurrences of one n-gram. Only frequent words can be part of a frequent phrase, so others are breaks.
-3. Counts of word pairs are merged by key; each shard is told which of its own pairs are frequent, breaks all others, and gives
-   the counts of its longer n-grams, which are merged in the same way.
+   prefixes) are the occurrences of one n-gram. Counts of word pairs are merged by key.
+3. Only frequent pairs can be part of a frequent longer phrase: shards break at all others and give the counts of their longer
+   n-grams, which are merged in the same way.
 
-What a shard is told never exceeds what it holds, so nothing is broadcast and no count is estimated. Keys are the words themselves.
+Keys are the words themselves. Shards know the frequent pairs by a broadcast array of 64-bit hashes of at most ``KNOWN_MOST`` (two pairs of one
+hash only mean a break less). Where there are more, each shard is told by a join which of its own pairs are frequent.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.workspace import written
 
-from .textkit import blocks, folded, spans
+from .textkit import U64, blocks, folded, mix, span_hashes, spans
 
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -33,6 +34,7 @@ WORD[[32, 9]] = False
 SHARD_WORDS = 1 << 20
 HELD_WORDS = 4 << 20  # of all languages that a task gathers at once
 ROWS = 1 << 16
+KNOWN_MOST = 8 << 20  # hashes that are broadcast: 64 MB
 SALTS = 16
 NO_LANG = "und"
 SHARDS = "shard long, lang string, n long, ids binary, words array<string>, counts array<long>"
@@ -142,38 +144,84 @@ def ngram_counts(ids: np.ndarray, least: int, most: int) -> Iterator[tuple[int,
         yield length, order[first[whole]], counts[whole]
 
 
-def _grams(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[pa.RecordBatch]:
-    """N-grams of each shard (shard, lang, ids, words, known): of known words for pairs, of known pairs for longer ones."""
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    return span_hashes(np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8), ends[:-1], ends[1:])
+
+
+def _pair_hashes(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(lang * U64(0x9FB21C651E98DF25) + first * U64(0x589965CC75374CC3) + second * U64(0x2545F4914F6CDD1D))
+
+
+def _phrase_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of pairs (lang, phrase)."""
     for batch in batches:
+        words = _word_hashes(pc.split_pattern(batch.column("phrase"), " ").values)
+        own = _pair_hashes(_word_hashes(batch.column("lang")), words[::2], words[1::2])
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], names=["h"])
+
+
+def _broken(ids: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """``ids`` with a break between neighbours whose pair is not good."""
+    return np.insert(ids, np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & ~good) + 1, 0)
+
+
+def _known_by_hash(lang: str, ids: np.ndarray, words: pa.Array, known: np.ndarray) -> np.ndarray:
+    hashes = np.append(U64(0), _word_hashes(words))[ids]
+    own = _pair_hashes(_word_hashes(pa.array([lang])), hashes[:-1], hashes[1:]).astype(np.int64)
+    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), dtype=bool)
+
+
+def _known_by_code(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.isin(ids[:-1] << 32 | ids[1:], known)
+
+
+def _rows(shard: int, lang: str, ids: np.ndarray, words: pa.Array, least: int, most: int) -> Iterator[pa.RecordBatch]:
+    for length, places, counts in ngram_counts(ids, least, most):
+        for k in range(0, len(places), ROWS):
+            at = places[k : k + ROWS]
+            phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at + j] - 1)) for j in range(length)], " ")
+            each = lambda value, kind: pa.repeat(pa.scalar(value, kind), len(at))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([each(shard, pa.int64()), pa.array(ids[at] << 32 | ids[at + min(1, length - 1)]), each(lang, pa.string()), phrase, each(length, pa.int32()), pa.array(counts[k : k + ROWS])], names=GRAM_NAMES)
+
+
+GRAMS = "shard long, code long, lang string, phrase string, length int, count long"
+GRAM_NAMES = [field.split()[0] for field in GRAMS.split(", ")]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, pa.Array, pa.Array | None]]:
+    for batch in batches:
+        known = batch.column("known") if "known" in batch.schema.names else None
         for i in range(batch.num_rows):
-            shard, lang = batch.column("shard")[i].as_py(), batch.column("lang")[i].as_py()
-            ids = _unpacked(batch.column("ids")[i].as_py())
-            words = batch.column("words")[i].values
-            known = np.sort(batch.column("known")[i].values.to_numpy(zero_copy_only=False))
-            if least == 2:
-                good = np.zeros(len(words) + 1, dtype=bool)
-                good[known + 1] = True
-                ids = np.where(good[ids], ids, 0)
-            else:
-                codes = ids[:-1] << 32 | ids[1:]
-                place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                cut = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & (known[place] != codes))
-                ids = np.insert(ids, cut + 1, 0)
-            for length, places, counts in ngram_counts(ids, least, most):
-                for k in range(0, len(places), ROWS):
-                    at = places[k : k + ROWS]
-                    text = pc.binary_join_element_wise(*[words.take(pa.array(ids[at + j] - 1)) for j in range(length)], " ")
-                    code = ids[at] << 32 | ids[at + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), dtype=np.int8))), pa.array(code), text, pa.array(np.full(len(at), length), pa.int32()), pa.array(counts[k : k + ROWS])], names=["shard", "lang", "code", "phrase", "length", "count"])
-
-
-GRAMS = "shard long, lang string, code long, phrase string, length int, count long"
-
-
-def _told(shards: DataFrame, local: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
-    """The shards that hold any of the frequent phrases, with the local numbers (``key``) of those they hold."""
-    known = local.join(frequent, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list(key).alias("known"))
-    return shards.select("shard", "lang", "ids", "words").join(known, "shard")
+            shard, lang, ids = (batch.column(c)[i].as_py() for c in ("shard", "lang", "ids"))
+            yield shard, lang, _unpacked(ids), batch.column("words")[i].values, None if known is None else known[i].values
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, lang, ids, words, _ in _each(batches):
+        yield from _rows(shard, lang, ids, words, 2, 2)
+
+
+def _longer(shards: DataFrame, two: DataFrame, longest: int) -> DataFrame:
+    """Counts of the n-grams of three and more words whose pairs are all frequent, by shard."""
+    shards = shards.select("shard", "lang", "ids", "words")
+    if two.count() <= KNOWN_MOST:
+        hashes = two.select("lang", "phrase").mapInArrow(_phrase_hashes, "h long").toArrow().column("h")  # 8 bytes for each of KNOWN_MOST at most
+        known = shards.sparkSession.sparkContext.broadcast(np.sort(hashes.to_numpy()))
+
+        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, lang, ids, words, _ in _each(batches):
+                yield from _rows(shard, lang, _broken(ids, _known_by_hash(lang, ids, words, known.value)), words, 3, longest)
+
+        return shards.mapInArrow(grams, GRAMS)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, lang, ids, words, codes in _each(batches):
+            yield from _rows(shard, lang, _broken(ids, _known_by_code(ids, codes.to_numpy(zero_copy_only=False))), words, 3, longest)
+
+    own = shards.mapInArrow(_pairs, GRAMS).join(two, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("code").alias("known"))
+    return shards.join(own, "shard").mapInArrow(told, GRAMS)
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -182,14 +230,12 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     shards = written(texts.mapInArrow(_cut, SHARDS), "shards")
     merged = lambda local: local.groupBy("lang", "phrase", "length").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
 
-    own = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select("shard", "lang", "number", F.col("w.words").alias("phrase"), F.lit(1).alias("length"), F.col("w.counts").alias("count"))
+    own = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.lit(1).alias("length"), F.col("w.counts").alias("count"))
     found = [written(merged(own), "frequent")]
     if longest > 1:
-        pairs = written(_told(shards, own, found[0], "number").mapInArrow(lambda b: _grams(b, 2, 2), GRAMS), "pairs")
-        found.append(written(merged(pairs), "frequent"))
-        if longest > 2:
-            more = _told(shards, pairs, found[1], "code").mapInArrow(lambda b: _grams(b, 3, longest), GRAMS)
-            found.append(written(merged(more), "frequent"))
+        found.append(written(merged(shards.select("shard", "lang", "ids", "words").mapInArrow(_pairs, GRAMS)), "frequent"))
+    if longest > 2:
+        found.append(written(merged(_longer(shards, found[1], longest)), "frequent"))
     every = found[0]
     for other in found[1:]:
         every = every.unionByName(other)

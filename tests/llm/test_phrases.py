@@ -53,7 +53,9 @@ def test_suffix_arrays_hold_all_windows():
 
 
 @pytest.mark.parametrize("least,longest,covered,top", [(1, 5, 100, 2000), (2, 3, 50, 4), (3, 5, 100, 7), (4, 2, 100, 3)])
-def test_equals_a_restatement(spark, monkeypatch, least, longest, covered, top):
+@pytest.mark.parametrize("known_most", [0, phrases.KNOWN_MOST])
+def test_equals_a_restatement(spark, monkeypatch, known_most, least, longest, covered, top):
+    monkeypatch.setattr(phrases, "KNOWN_MOST", known_most)
     rows = [*TEXTS, TEXTS[0], TEXTS[0]]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3).withColumns({c: F.lit(1) for c in ("shard", "ids", "words", "phrase", "n", "score", "known")})
     got = mine_phrases(df, least, longest, covered, top).collect()
