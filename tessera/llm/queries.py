@@ -20,6 +20,7 @@ from .sharding import shard_uniformly
 from .token_output import token_files_digest
 from .toxicity import toxicity
 from .url_filter import url_filter
+from .vector_codes import vector_codes
 from .warc import warc_roundtrip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_uniformly(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
+        "op11_vector_codes": op11_vector_codes,
         "op12_quality_rules": op12_quality_rules,
         "op13_phrases": op13_phrases,
         "pipeline": corpus_pipeline.run,
