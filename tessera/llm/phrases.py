@@ -31,9 +31,9 @@ BREAK = np.zeros(256, dtype=bool)
 BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 WORD = ~BREAK
 WORD[[32, 9]] = False
-SHARD_WORDS = 1 << 20
-HELD_WORDS = 4 << 20  # of all languages that a task gathers at once
-ROWS = 1 << 16
+SHARD_WORDS = 1 << 19
+HELD_WORDS = 2 << 20  # of all languages that a task gathers at once
+ROWS = 1 << 14
 KNOWN_MOST = 8 << 20  # hashes that are broadcast: 64 MB
 SALTS = 16
 NO_LANG = "und"
@@ -177,17 +177,21 @@ def _known_by_code(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.isin(ids[:-1] << 32 | ids[1:], known)
 
 
-def _rows(shard: int, lang: str, ids: np.ndarray, words: pa.Array, least: int, most: int) -> Iterator[pa.RecordBatch]:
+GRAMS = "lang string, phrase string, length int, count long"
+PLACED = f"{GRAMS}, shard long, code long"
+
+
+def _rows(shard: int, lang: str, ids: np.ndarray, words: pa.Array, least: int, most: int, placed: bool = False) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of a shard; ``placed`` adds the shard and the numbers of the first two words."""
     for length, places, counts in ngram_counts(ids, least, most):
         for k in range(0, len(places), ROWS):
             at = places[k : k + ROWS]
             phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at + j] - 1)) for j in range(length)], " ")
             each = lambda value, kind: pa.repeat(pa.scalar(value, kind), len(at))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([each(shard, pa.int64()), pa.array(ids[at] << 32 | ids[at + min(1, length - 1)]), each(lang, pa.string()), phrase, each(length, pa.int32()), pa.array(counts[k : k + ROWS])], names=GRAM_NAMES)
-
-
-GRAMS = "shard long, code long, lang string, phrase string, length int, count long"
-GRAM_NAMES = [field.split()[0] for field in GRAMS.split(", ")]
+            columns = {"lang": each(lang, pa.string()), "phrase": phrase, "length": each(length, pa.int32()), "count": pa.array(counts[k : k + ROWS])}
+            if placed:
+                columns |= {"shard": each(shard, pa.int64()), "code": pa.array(ids[at] << 32 | ids[at + 1])}
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, pa.Array, pa.Array | None]]:
@@ -198,9 +202,9 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndar
             yield shard, lang, _unpacked(ids), batch.column("words")[i].values, None if known is None else known[i].values
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], placed: bool = False) -> Iterator[pa.RecordBatch]:
     for shard, lang, ids, words, _ in _each(batches):
-        yield from _rows(shard, lang, ids, words, 2, 2)
+        yield from _rows(shard, lang, ids, words, 2, 2, placed)
 
 
 def _longer(shards: DataFrame, two: DataFrame, longest: int) -> DataFrame:
@@ -220,7 +224,7 @@ def _longer(shards: DataFrame, two: DataFrame, longest: int) -> DataFrame:
         for shard, lang, ids, words, codes in _each(batches):
             yield from _rows(shard, lang, _broken(ids, _known_by_code(ids, codes.to_numpy(zero_copy_only=False))), words, 3, longest)
 
-    own = shards.mapInArrow(_pairs, GRAMS).join(two, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("code").alias("known"))
+    own = shards.mapInArrow(lambda b: _pairs(b, True), PLACED).join(two, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("code").alias("known"))
     return shards.join(own, "shard").mapInArrow(told, GRAMS)
 
 
