@@ -31,8 +31,8 @@ BREAK = np.zeros(256, dtype=bool)
 BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 WORD = ~BREAK
 WORD[[32, 9]] = False
-SHARD_WORDS = 1 << 19
-HELD_WORDS = 2 << 20  # of all languages that a task gathers at once
+SHARD_WORDS = 2 << 20
+HELD_WORDS = 4 << 20  # of all languages that a task gathers at once
 ROWS = 1 << 14
 KNOWN_MOST = 8 << 20  # hashes that are broadcast: 64 MB
 SALTS = 16
@@ -114,7 +114,7 @@ def suffix_array(ids: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np
     """
     left = room(ids)
     at = np.flatnonzero(left >= least)
-    rank, h = ids.astype(np.int64), 1
+    rank, h = ids, 1
     while h < most:
         step = min(h, most - h)  # the last step may overlap the words before it
         after = np.zeros_like(rank)
@@ -232,8 +232,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     """(lang, phrase, length, f) of all phrases up to ``longest`` words with f >= ``least``, and (lang, n), the words of each language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
     shards = written(texts.mapInArrow(_cut, SHARDS), "shards")
-    merged = lambda local: local.groupBy("lang", "phrase", "length").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-
+    # counts of a shard are merged as they are: one map of all n-grams of a task's shards would be its largest need of memory
+    merged = lambda local: local.repartition("lang", "phrase").groupBy("lang", "phrase", "length").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
     own = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.lit(1).alias("length"), F.col("w.counts").alias("count"))
     found = [written(merged(own), "frequent")]
     if longest > 1:
