@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,46 @@ def suffixed(df: DataFrame, folder: str, name: str, key: str, first: int = 1, jo
     return df.withColumn("target", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit(joiner), (n + first - 1).cast("string"), ext)))
 
 
+def free_names(df: DataFrame, taken: DataFrame, folder: str, name: str, key: str, first: int = 1, joiner: str = "-") -> DataFrame:
+    """``target``: a name that is free in the folder, by two passes over the rows in the order of ``key``.
+
+    A row whose name is not in ``taken`` (folder, name) and that is the first to ask for it keeps it. The others of a folder, stem and extension get
+    stem, ``joiner``, number: the smallest numbers from ``first`` on that are neither taken nor asked for as they are by another row. So names asked for
+    come before numbered ones, and no two rows, nor a row and a taken name, are equal. The n-th free number comes from the gaps between those in use,
+    which are joined by rank ranges; no folder is gathered in one list. Null folders are one folder; a null name stays null. Keys should be unique.
+    """
+    parts = lambda c: (F.regexp_extract(c, r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(c, r"(?s)^(.+?)(\.[^.]*)?$", 2))
+    place = F.coalesce(F.col(folder).cast("string"), F.lit("")).alias("__folder"), F.col(folder).isNull().alias("__nowhere")
+    where = ["__folder", "__nowhere"]
+    held = taken.where(F.col(name).isNotNull()).select(*place, F.col(name).alias("__name")).distinct()
+    asked = df.select("*", *place, F.col(name).alias("__name"))
+    turn = F.row_number().over(Window.partitionBy(*where, "__name").orderBy(key))
+    asked = asked.withColumn("__turn", turn).join(held.withColumn("__held", F.lit(True)), [*where, "__name"], "left")
+    keeps = (F.col("__turn") == 1) & F.col("__held").isNull() | F.col("__name").isNull()
+    asked = asked.withColumn("__keeps", keeps)
+    stem, ext = parts("__name")
+    asked = asked.withColumns({"__stem": stem, "__ext": ext})
+    group = [*where, "__stem", "__ext"]
+
+    # numbers in use: of names that end in the joiner and a number, whether taken or asked for
+    used = held.unionByName(asked.where("__keeps and __name is not null").select(*where, "__name")).distinct()
+    body, tail = parts("__name")
+    number = F.regexp_extract(body, rf"(?s)^.+{re.escape(joiner)}([1-9][0-9]{{0,8}}|0)$", 1)
+    used = used.select(*where, body.alias("__body"), tail.alias("__ext"), number.alias("__digits")).where("__digits <> ''")
+    used = used.select(*where, F.expr(f"substring(__body, 1, length(__body) - length(__digits) - {len(joiner)})").alias("__stem"), "__ext", F.col("__digits").cast("long").alias("__used")).where(F.col("__used") >= first)
+    used = used.join(asked.where("not __keeps").select(*group).distinct(), group, "left_semi")
+    before = F.row_number().over(Window.partitionBy(*group).orderBy("__used")) - 1
+    gaps = used.withColumn("__from", F.col("__used") - first - before)  # free numbers below this used one
+    # the n-th free number (from 0) is n + first, plus the used ones of which at most n free numbers are below
+    wants = asked.where("not __keeps").withColumn("__n", (F.row_number().over(Window.partitionBy(*group).orderBy(key, "__name")) - 1).cast("long"))
+    steps = gaps.select(*group, F.col("__from").alias("__n"), F.lit(0).alias("__what")).unionByName(wants.select(*group, "__n", F.lit(1).alias("__what")))
+    passed = F.sum(1 - F.col("__what")).over(Window.partitionBy(*group).orderBy("__n", "__what").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = steps.withColumn("__skip", passed).where("__what = 1").select(*group, "__n", "__skip")
+    numbered = wants.join(found, [*group, "__n"]).withColumn("target", F.concat("__stem", F.lit(joiner), (F.col("__n") + first + F.col("__skip")).cast("string"), "__ext"))
+    kept = asked.where("__keeps").withColumn("target", F.col("__name"))
+    return kept.select(*df.columns, "target").unionByName(numbered.select(*df.columns, "target"))
+
+
 def migrate(df: DataFrame, steps: list[tuple[str, str, str, object]]) -> DataFrame:
     """Schema steps in order: (add, column, type, default), (rename, old, new, None), (drop, column, '', None); an added column that exists stays."""
     for what, column, detail, value in steps:

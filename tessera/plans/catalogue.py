@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import colors, geotime, optics, relational, state, texts, vectors  # noqa: F401  they register their queries
+    from . import colors, geotime, media, optics, relational, state, texts, vectors  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -241,10 +241,10 @@ def auto_scale(spark: SparkSession, sf: str) -> DataFrame:
 def _pixels(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     rgb = T(spark, sf, "events").select(*[((k % n) / F.lit(float(n))).alias(c) for c, n in zip("rgb", (97, 89, 83), strict=True)])
-    return rgb.withColumns({"tr": 0.8713 * F.col("r") + 0.1071 * F.col("g") * F.col("b"), "tg": 0.9717 * F.col("g") - 0.2173 * F.col("g") * F.col("g") * F.col("r"), "tb": 0.5137 * F.col("b") + 0.4071 * F.col("b") * F.col("b")})
+    return rgb.withColumns({"tr": 0.87178 * F.col("r") + 0.10811 * F.col("g") * F.col("b"), "tg": 0.9731 * F.col("g") - 0.21925 * F.col("g") * F.col("g") * F.col("r"), "tb": 0.51606 * F.col("b") + 0.40999 * F.col("b") * F.col("b")})
 
 
-@query("polynomial_lut", "WITH a AS (SELECT unnest(range(0, 9)) AS i), g AS (SELECT x.i AS ri, y.i AS gi, z.i AS bi, x.i / 8::DOUBLE AS r, y.i / 8::DOUBLE AS g, z.i / 8::DOUBLE AS b FROM a x, a y, a z) SELECT ri::INT AS ri, gi::INT AS gi, bi::INT AS bi, round(0.8713 * r + 0.1071 * g * b, 3) + 0.0 AS vr, round(0.9717 * g - 0.2173 * g * g * r, 3) + 0.0 AS vg, round(0.5137 * b + 0.4071 * b * b, 3) + 0.0 AS vb FROM g")
+@query("polynomial_lut", "WITH a AS (SELECT unnest(range(0, 9)) AS i), g AS (SELECT x.i AS ri, y.i AS gi, z.i AS bi, x.i / 8::DOUBLE AS r, y.i / 8::DOUBLE AS g, z.i / 8::DOUBLE AS b FROM a x, a y, a z) SELECT ri::INT AS ri, gi::INT AS gi, bi::INT AS bi, round(0.87178 * r + 0.10811 * g * b, 3) + 0.0 AS vr, round(0.9731 * g - 0.21925 * g * g * r, 3) + 0.0 AS vg, round(0.51606 * b + 0.40999 * b * b, 3) + 0.0 AS vb FROM g")
 def polynomial_lut(spark: SparkSession, sf: str) -> DataFrame:
     """Targets are polynomials of the sources, so that the fit must find them; the SQL has the polynomials themselves."""
     return fitting.polynomial_lut(_pixels(spark, sf), size=9).select("ri", "gi", "bi", *[(F.round(v, 3) + 0.0).alias(v) for v in ("vr", "vg", "vb")])

@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from tessera.functions import text
 
+from . import tags
+
 
 def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(id, path, filename, file_size, class) of the media files below a folder; contents are not read. id is name_size."""
@@ -234,28 +236,8 @@ def unpack_opcodes(df: DataFrame, warp_blob: str, gain_blob: str, warp: str = "w
 
 
 def maker_note_text(blob: bytes | None, tag: int) -> str:
-    """The text of one tag of a maker note whose directory is little-endian and starts at byte 10; '' if there is none.
-
-    Offsets of values count from the start of the outer file. The values follow the directory, so the least offset tells where the note begins.
-    """
-    sizes = {2: 1, 3: 2, 4: 4, 5: 8, 8: 2, 9: 4, 10: 8}
-    if blob is None or len(blob) < 14 or blob[:5] != b"SIGMA":
-        return ""
-    count = int.from_bytes(blob[10:12], "little")
-    end = 12 + 12 * count
-    if not 1 <= count <= 500 or end > len(blob):
-        return ""
-    entries = np.frombuffer(blob, np.dtype([("tag", "<u2"), ("kind", "<u2"), ("count", "<u4"), ("at", "<u4")]), count, 12)
-    outside = [int(e["at"]) for e in entries if int(e["count"]) * sizes.get(int(e["kind"]), 1) > 4]
-    base = max(0, min(outside) - end) if outside else 0
-    for i, e in enumerate(entries):
-        if e["tag"] == tag:
-            n = int(e["count"])
-            at = 12 + 12 * i + 8 if n <= 4 else max(0, int(e["at"]) - base)
-            if e["kind"] != 2 or n == 0 or at + n > len(blob):
-                return ""
-            return bytes(blob[at : at + n]).split(b"\0")[0].decode("utf-8", "replace")
-    return ""
+    """The text of one tag of a maker note that is kept alone; '' if there is none."""
+    return "" if blob is None else tags.note_text(bytes(blob), tag)
 
 
 def with_maker_tag(df: DataFrame, blob: str, out: str, tag: int = 0x003D) -> DataFrame:
