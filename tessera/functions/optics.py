@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 from collections.abc import Iterator
 
@@ -210,3 +212,39 @@ def golden_place(share: Column, rank: Column, inner: float = 270.0, ring: float
     away = inner + (1.0 - share * share) * ring
     angle = FIRST + rank * GOLDEN
     return F.cos(angle) * away, F.sin(angle) * away
+
+
+def inverse_of(forward: Callable[[Column], Column], target: Column, high: float, steps: int = 50) -> Column:
+    """Where in 0 to ``high`` a growing function has the value ``target``, by halving; the nearer end where it lies outside, null for a null target."""
+    halve = lambda span, _: F.transform(  # noqa: E731  an array of one holds the middle, so that it is made once
+        F.array((span["lo"] + span["hi"]) / 2), lambda mid: F.when(forward(mid) < target, F.struct(mid.alias("lo"), span["hi"].alias("hi"))).otherwise(F.struct(span["lo"].alias("lo"), mid.alias("hi")))
+    )[0]
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(float(high)).alias("hi"))
+    return F.when(target.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda span: (span["lo"] + span["hi"]) / 2))
+
+
+def gain_at(gain: Column, x: Column, y: Column, width: Column, height: Column, channel: int) -> Column:
+    """The gain of a map (rows, cols, planes, data) that spans the whole image, at a pixel, between its four nearest points; a map of fewer than three planes has one for all channels.
+
+    Maps of one row or column are even along it; null where there is no map.
+    """
+    rows, cols, planes = gain["rows"], gain["cols"], gain["planes"]
+    plane = F.when(planes >= 3, channel).otherwise(0)
+
+    def spot(at: Column, size: Column, points: Column) -> tuple[Column, Column, Column]:
+        place = at / F.greatest(size - 1, F.lit(1)) * (points - 1)
+        first = F.greatest(F.lit(0), F.least(F.floor(place), points - 2)).cast("int")
+        return first, F.least(first + 1, points - 1), place - first
+
+    (x0, x1, fx), (y0, y1, fy) = spot(x, width, cols), spot(y, height, rows)
+    value = lambda row, col: F.get(gain["data"], (row * cols + col) * planes + plane).cast("double")
+    return value(y0, x0) * (1 - fx) * (1 - fy) + value(y0, x1) * fx * (1 - fy) + value(y1, x0) * (1 - fx) * fy + value(y1, x1) * fx * fy
+
+
+def to_linear(v: Column) -> Column:
+    """sRGB, 0 to 1, to linear light."""
+    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+
+
+def from_linear(v: Column) -> Column:
+    return F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)

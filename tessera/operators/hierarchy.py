@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.workspace import written
+
 
 def ancestors(path: Column | str) -> Column:
     """All proper and improper folder prefixes of a path, shortest first: /a/b gives /a, /a/b."""
@@ -31,14 +33,17 @@ def nearest_ancestor(folders: DataFrame, path: str) -> DataFrame:
 
 
 def with_levels(nodes: DataFrame, key: str, parent: str, most: int = 10) -> DataFrame:
-    """(key, level, trail) of the nodes that reach a root (parent null) in at most ``most`` steps; deeper ones and orphans are dropped.
+    """(key, level, trail) of the nodes that reach a root (parent null) in at most ``most`` steps.
 
-    A bounded loop of equi joins; each level is one join on the parent key.
+    Deeper nodes, orphans and nodes of a cycle are dropped: ``most`` bounds the passes, as the library that this follows has it. Each level that there is
+    reads the nodes once, joins them with the level above, which is written, and ends the loop where nothing is below. A key that repeats counts
+    as often, as does all below it.
     """
-    level = nodes.where(F.col(parent).isNull()).select(F.col(key), F.lit(1).alias("level"), F.array(F.col(key).cast("string")).alias("trail"))
-    levels = [level]
-    for depth in range(2, most + 1):
-        up = level.select(F.col(key).alias("__up"), "trail")
-        level = nodes.join(up, F.col(parent) == F.col("__up")).select(F.col(key), F.lit(depth).alias("level"), F.concat("trail", F.array(F.col(key).cast("string"))).alias("trail"))
-        levels.append(level)
+    known = nodes.select(key, parent)
+    level = known.where(F.col(parent).isNull()).select(F.col(key), F.lit(1).alias("level"), F.array(F.col(key).cast("string")).alias("trail"))
+    levels = [written(level, "level")]
+    while len(levels) < most and not levels[-1].isEmpty():
+        up = levels[-1].select(F.col(key).alias("__up"), "trail")
+        below = known.join(up, F.col(parent) == F.col("__up")).select(F.col(key), F.lit(len(levels) + 1).alias("level"), F.concat("trail", F.array(F.col(key).cast("string"))).alias("trail"))
+        levels.append(written(below, "level"))
     return reduce(DataFrame.union, levels)

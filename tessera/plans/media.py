@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tessera.functions import cubes
-from tessera.operators import gazetteer, mutations
+from tessera.functions import color, cubes, optics
+from tessera.operators import boxes, gazetteer, mutations
 from tessera.session import table as T
 from tessera.sources import tags
 
@@ -155,3 +155,45 @@ def named_box(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(F.col("s_suppkey") % 9 == 0, "nowhere").when(F.col("s_suppkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
     found = gazetteer.named_box(named.select("s_suppkey", F.concat(F.lit("  "), name).alias("name")), places.union(worse))
     return found.select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("south", "north", "west", "east")])
+
+
+@query("box_mean_var_2d", """
+WITH p AS (SELECT event_id // 5000 AS i, (event_id % 5000) % 71 AS x, (event_id % 5000) // 71 AS y, value::DOUBLE AS v FROM events),
+d AS (SELECT unnest(range(-3, 4)) AS d), b AS (SELECT i, x + a.d AS x, y + b.d AS y, v FROM p, d a, d b),
+s AS (SELECT i, x, y, count(*) AS n, avg(v) AS mean, greatest(avg(v * v) - avg(v) * avg(v), 0) AS var FROM b GROUP BY 1, 2, 3)
+SELECT i AS image, x, y, n, round(mean, 6) AS mean, round(var, 3) + 0.0 AS variance, round(mean + greatest(0, (var - 900) / greatest(var, 1e-10)) * (v - mean), 4) AS smooth FROM p JOIN s USING (i, x, y)""")
+def box_mean_var_2d(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of 7 by 7 over images of 71 columns."""
+    k = F.col("event_id")
+    pixels = T(spark, sf, "events").select(F.floor(k / 5000).alias("image"), (k % 5000 % 71).alias("x"), F.floor(k % 5000 / 71).alias("y"), "value")
+    found = boxes.box_stats(pixels, radius=3, tile=32)
+    smooth = boxes.smoothed(F.col("value"), F.col("mean"), F.col("variance"), 900.0)
+    return found.select("image", "x", "y", "n", F.round("mean", 6).alias("mean"), (F.round("variance", 3) + 0.0).alias("variance"), F.round(smooth, 4).alias("smooth"))
+
+
+@query("gain_map", """
+WITH p AS (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_suppkey % 7 AS s, (l_partkey % 600)::DOUBLE AS x, (l_orderkey % 400)::DOUBLE AS y, l_discount * 9 AS v FROM lineitem),
+q AS (SELECT *, x / 599 * 4 AS gx, y / 399 * (2 + s % 2) AS gy, least(floor(x / 599 * 4), 3) AS c, least(floor(y / 399 * (2 + s % 2)), 1 + s % 2) AS r FROM p),
+o AS (SELECT unnest([0, 1]) AS o),
+g AS (SELECT q.*, (CASE WHEN a.o = 1 THEN gx - c ELSE 1 - gx + c END) * (CASE WHEN b.o = 1 THEN gy - r ELSE 1 - gy + r END) * (1 + (((r + b.o) * 5 + c + a.o) * 3 + 1) * 0.0625 * (s + 1) / 7) AS w FROM q, o a, o b),
+m AS (SELECT id, l_orderkey, l_linenumber, s, v, sum(w) AS gain FROM g GROUP BY ALL),
+z AS (SELECT *, (CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END) * gain AS lin FROM m)
+SELECT l_orderkey, l_linenumber, CASE WHEN s < 6 THEN round(gain, 6) END AS gain, CASE WHEN s < 6 THEN round(least(1, greatest(0, CASE WHEN lin <= 0.0031308 THEN lin * 12.92 ELSE 1.055 * pow(lin, 1 / 2.4::DOUBLE) - 0.055 END)), 6) + 0.0 END AS lit FROM z""")
+def gain_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as pixels under the gain map of their supplier, one of six; the seventh has none."""
+    s = F.col("l_suppkey") % 7
+    rows = (F.lit(3) + s % 2).cast("int")
+    data = F.transform(F.sequence(F.lit(0), rows * 15 - 1), lambda i: 1 + i * 0.0625 * (s + 1) / 7)
+    gain = F.when(s < 6, F.struct(rows.alias("rows"), F.lit(5).alias("cols"), F.lit(3).alias("planes"), data.alias("data")))
+    told = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 9).alias("v"), (F.col("l_partkey") % 600).alias("x"), (F.col("l_orderkey") % 400).alias("y"), gain.alias("gain"))
+    found = told.select("l_orderkey", "l_linenumber", "v", optics.gain_at(F.col("gain"), F.col("x"), F.col("y"), F.lit(600), F.lit(400), 1).alias("gain"))
+    lit = F.least(F.lit(1.0), F.greatest(F.lit(0.0), optics.from_linear(optics.to_linear(F.col("v")) * F.col("gain"))))
+    return found.select("l_orderkey", "l_linenumber", F.round("gain", 6).alias("gain"), F.when(F.col("gain").isNotNull(), F.round(lit, 6) + 0.0).alias("lit"))
+
+
+@query("radial_inverse", "SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE round((event_id % 1201) / 1000::DOUBLE, 6) END AS r FROM events")
+def radial_inverse(spark: SparkSession, sf: str) -> DataFrame:
+    """Radii sent through a lens polynomial and back."""
+    grown = lambda r: r * color.radial_warp(r, 0.98, 0.07, -0.011, 0.002)
+    r = F.when(F.col("event_id") % 50 != 0, F.col("event_id") % 1201 / 1000)
+    return T(spark, sf, "events").select("event_id", grown(r).alias("t")).select("event_id", F.round(optics.inverse_of(grown, F.col("t"), 1.5), 6).alias("r"))

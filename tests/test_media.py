@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import cubes
-from tessera.operators import gazetteer, mutations
+from tessera.functions import cubes, optics
+from tessera.operators import boxes, gazetteer, hierarchy, mutations
 from tessera.plans.media import tiff_file
 from tessera.sources import tags
 
@@ -153,3 +153,37 @@ def test_nearest_place_at_poles_and_date_line(spark):
     assert gazetteer.nearest_place(df.limit(0), known, "place_id").collect() == []
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("radius,tile", [(1, 2), (2, 5), (3, 64)])
+def test_boxes_equal_all_sums(spark, radius, tile):
+    rng = np.random.default_rng(radius)
+    rows = [(["a", None][i % 2], int(x), int(y), float(v)) for i, (x, y, v) in enumerate(zip(rng.integers(-9, 12, 400), rng.integers(-5, 9, 400), rng.normal(1000, 5, 400), strict=True))]
+    rows += [("a", 0, 0, None), ("a", 100, 100, None), ("b", 1, None, 1.0), ("c", 7, 7, 2.5)]
+    df = spark.createDataFrame(rows, "image string, x int, y int, value double").withColumns({c: F.lit(1) for c in ("tx", "n", "mean")})
+    got = boxes.box_stats(df, radius=radius, tile=tile).collect()
+    assert len(got) == len(rows) - 1
+    for r in got:
+        own = [v for i, x, y, v in rows if i == r["image"] and y is not None and v is not None and abs(x - r["x"]) <= radius and abs(y - r["y"]) <= radius]
+        assert r["n"] == len(own)
+        assert (r["mean"], r["variance"]) == ((None, None) if not own else (pytest.approx(np.mean(own)), pytest.approx(np.var(own), abs=1e-6)))
+    assert boxes.box_stats(df.limit(0)).collect() == []
+
+
+def test_levels_of_cycles_and_deep_chains(spark):
+    chain = [(i, i - 1 if i else None) for i in range(14)]
+    df = spark.createDataFrame([*chain, (50, 51), (51, 50), (60, 60), (70, 99)], "id long, parent long")
+    got = {r["id"]: (r["level"], r["trail"]) for r in hierarchy.with_levels(df, "id", "parent").collect()}
+    assert got == {i: (i + 1, [str(j) for j in range(i + 1)]) for i in range(10)}
+    assert hierarchy.with_levels(df, "id", "parent", most=20).count() == 14
+    assert hierarchy.with_levels(df.limit(0), "id", "parent").collect() == []
+
+
+def test_inverses_and_gains(spark):
+    rows = spark.createDataFrame([(0.0,), (0.37,), (1.2,), (None,)], "r double")
+    for forward in (lambda r: r * (1 + 0.1 * r * r), lambda r: F.exp(r) - 1, lambda r: F.when(r < 0.5, r).otherwise(2 * r - 0.5)):
+        back = [r[0] for r in rows.select(optics.inverse_of(forward, forward(F.col("r")), 2.0)).collect()]
+        assert back[3] is None and back[:3] == pytest.approx([0.0, 0.37, 1.2], abs=1e-6)
+    maps = spark.createDataFrame([((2, 2, 1, [1.0, 2.0, 3.0, 5.0]),), ((1, 2, 3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]),), (None,)], "g struct<rows:int,cols:int,planes:int,data:array<double>>")
+    at = lambda x, y, c: [r[0] for r in maps.select(optics.gain_at(F.col("g"), F.lit(x), F.lit(y), F.lit(11), F.lit(5), c)).collect()]
+    assert at(0, 0, 2) == [1.0, 3.0, None] and at(10, 4, 1) == [5.0, 5.0, None] and at(5, 2, 0) == [2.75, 2.5, None]
