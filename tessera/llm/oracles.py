@@ -110,3 +110,28 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.lang = b.lang AND o.f >= b.a AND o.m > len(string_split(b.phrase, ' ')) AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank <= 2000
 """
+
+
+def op11(rounds: int = 4) -> str:
+    """Lloyd's rounds over all distances, one common table expression for each assignment and codebook; inner products of doubles are whole numbers here."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT id, p.m, min((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x), c.j)) AS b FROM p JOIN c{r} c ON c.m = p.m GROUP BY id, p.m)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  WITH u AS (SELECT a.m, a.b[2] AS j, k, floor(sum(p.x[k]::HUGEINT) / count(*))::DOUBLE AS v FROM a{r} a JOIN p USING (id, m), (SELECT unnest(range(1, (SELECT width FROM z) + 1)) AS k) GROUP BY 1, 2, 3),
+       n AS (SELECT m, j, list(v ORDER BY k) AS x FROM u GROUP BY 1, 2)
+  SELECT c.m, c.j, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN n ON n.m = c.m AND n.j = c.j)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z AS (SELECT max(len(x)) // 4 AS width FROM v),
+p AS MATERIALIZED (SELECT id, m, x[m * width + 1:(m + 1) * width] AS x FROM v, z, (SELECT unnest(range(0, 4)) AS m)),
+c0 AS MATERIALIZED (SELECT m, id AS j, x FROM p WHERE id < 256),
+{", ".join(steps)},
+f AS (SELECT id, string_agg(printf('%02x', b[2]), '' ORDER BY m) AS code, sum(b[1])::BIGINT AS error FROM a{rounds} GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY m, j)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN f USING (id), h
+"""

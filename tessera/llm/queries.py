@@ -107,6 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": oracles.OP3,
         "op4_exact_dedup": oracles.OP4,
         "op6_license_scan": oracles.op6(templates()),
+        "op11_vector_codes": oracles.op11(),
         "op12_quality_rules": oracles.op12(STOP_WORDS),
         "op13_phrases": oracles.OP13,
     }

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import oracles
 from tessera.llm import vector_codes as codes
 from tessera.llm.vector_codes import vector_codes
 
@@ -78,4 +80,7 @@ def test_none_kept_and_too_large(spark):
 def test_whole_table(spark):
     rows = [(r[0], r[1], r[2]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     want, key = restated(rows)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    assert sorted(con.execute(oracles.op11()).fetchall(), key=key) == want
     assert sorted(map(tuple, vector_codes(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()), key=key) == want
