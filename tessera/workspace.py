@@ -8,15 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # by application: a setting of a running session cannot be changed
+
+
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where that is unset, a new temporary folder on one machine; a cluster must set it."""
+    """``spark.checkpoint.dir`` of the session, with the scheme of Hadoop's default file system where it names none, so that all readers of a path agree.
+
+    Where it is unset, a temporary folder of one machine; a cluster must set it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        root = _own[app]
+    if "://" not in root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
     return root.rstrip("/")
 
 
