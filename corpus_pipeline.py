@@ -20,9 +20,15 @@ from tessera.workspace import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold. Texts are scored in place: nothing is shuffled."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, labels.where(~held_out()))
+    """Documents whose toxicity score is under the threshold. Texts are scored in place: nothing is shuffled.
+
+    Where the labels of these documents are not of both kinds there is nothing to learn, and all documents stay.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    kinds = labels.where("toxic is not null").join(docs.select("doc_id"), "doc_id", "left_semi").select("toxic").distinct().limit(2).count()
+    if kinds < 2:
+        return docs
+    model = fit(docs, labels)
     own, names = "toxicity", {c.lower() for c in docs.columns}
     while own in names:
         own += "_"
