@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import geo
 from tessera.workspace import written
 
 
@@ -71,3 +72,12 @@ def greedy_nms(boxes: DataFrame, group: str, most: float = 0.4) -> DataFrame:
         return rows[live]
 
     return boxes.groupBy(group).applyInPandas(keep, boxes.schema)
+
+
+def best_overlap(boxes: DataFrame, known: DataFrame, image: list[str], key: str, other: str, sides: tuple[str, ...], least: float) -> DataFrame:
+    """(key, other, overlap): for each box the known box of the same image with the most overlap over the smaller of both, above ``least``; equal ones to the smaller number.
+
+    Boxes meet only within their image, so pairs grow with the images, not with all boxes of a person. Boxes without a match are left out; null images match nothing.
+    """
+    pairs = boxes.join(known, image).select(key, other, geo.overlap(*[F.col(c) for c in sides]).alias("__o")).where(F.col("__o") > least)
+    return pairs.groupBy(key).agg(F.max_by(other, F.struct(F.round("__o", 6), -F.col(other))).alias(other), F.max(F.round("__o", 6)).alias("overlap"))

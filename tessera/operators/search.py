@@ -50,10 +50,12 @@ def related(rows: DataFrame, key: str, candidates: int, slots: int, geo_slots: i
     """(key, score, route) from (key, sim, shared, km), km null without a position.
 
     The ``candidates`` most similar rows compete by their related score for what the nearest rows that are none of them leave of
-    the ``slots``; those take up to ``geo_slots``, within ``most_km``, with a score without similarity. All are top-n limits.
+    the ``slots``; a candidate whose place adds more than its likeness and person together is a ``geo`` match too. The others take up to ``geo_slots``, within ``most_km``, with a score without similarity. All are top-n limits.
     """
     top = rows.orderBy(F.desc("sim"), key).limit(candidates)
-    by_vector = top.select(key, related_score(F.col("sim"), F.col("shared"), F.col("km")).alias("score"), F.lit("vector").alias("route"))
+    place = F.coalesce(0.15 / (1.0 + F.col("km") / 2.0), F.lit(0.0))
+    mostly_place = place > 0.70 * F.col("sim") + 0.15 * F.when(F.col("shared"), 1.0).otherwise(0.0)
+    by_vector = top.select(key, related_score(F.col("sim"), F.col("shared"), F.col("km")).alias("score"), F.when(mostly_place, "geo").otherwise("vector").alias("route"))
     near = rows.where(F.col("km") <= most_km).join(F.broadcast(top.select(key)), key, "left_anti").orderBy("km", key).limit(geo_slots)
     by_geo = near.select(key, (0.15 / (1.0 + F.col("km") / 2.0) + 0.15 * F.when(F.col("shared"), 1.0).otherwise(0.0)).alias("score"), F.lit("geo").alias("route"))
     taken = F.broadcast(by_geo.agg(F.count("*").alias("__taken")))

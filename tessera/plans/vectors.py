@@ -121,7 +121,7 @@ def _km(a: str, b: str) -> str:
 @query("related_scoring", f"""
 WITH {SCORED}, g AS ({gps_sql('embeddings', 'vec_id')}), z AS (SELECT * FROM g WHERE vec_id = {CENTRE}),
 a AS (SELECT g.vec_id, s.score AS sim, g.label = z.label AS shared, CASE WHEN g.lat <> 0 OR g.lon <> 0 THEN {_km('z', 'g')} END AS km FROM g JOIN s USING (vec_id), z),
-v AS (SELECT vec_id, 0.70 * sim + 0.15 * shared::INT + coalesce(0.15 / (1 + km / 2), 0) AS score, 'vector' AS route FROM (SELECT * FROM a ORDER BY sim DESC, vec_id LIMIT 40)),
+v AS (SELECT vec_id, 0.70 * sim + 0.15 * shared::INT + coalesce(0.15 / (1 + km / 2), 0) AS score, CASE WHEN coalesce(0.15 / (1 + km / 2), 0) > 0.70 * sim + 0.15 * shared::INT THEN 'geo' ELSE 'vector' END AS route FROM (SELECT * FROM a ORDER BY sim DESC, vec_id LIMIT 40)),
 n AS (SELECT vec_id, 0.15 / (1 + km / 2) + 0.15 * shared::INT AS score, 'geo' AS route FROM a WHERE km <= 5000 AND vec_id NOT IN (SELECT vec_id FROM v) ORDER BY km, vec_id LIMIT 5),
 q AS (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT (SELECT 20 - count(*) FROM n))
 SELECT vec_id, round(score, 6) AS score, route FROM (SELECT * FROM q UNION ALL SELECT * FROM n)""")
