@@ -35,7 +35,7 @@ def nearest_ancestor(folders: DataFrame, path: str) -> DataFrame:
 def with_levels(nodes: DataFrame, key: str, parent: str, most: int = 10) -> DataFrame:
     """(key, level, trail) of the nodes that reach a root (parent null) in at most ``most`` steps.
 
-    Deeper nodes, orphans and nodes of a cycle are dropped: ``most`` bounds the passes, as the library that this follows has it. Each level that there is
+    Deeper nodes, orphans and nodes of a cycle are dropped: ``most`` bounds the passes. Each level that there is
     reads the nodes once, joins them with the level above, which is written, and ends the loop where nothing is below. A key that repeats counts
     as often, as does all below it.
     """
