@@ -34,12 +34,6 @@ def library_order(date: str = "date", filename: str = "filename") -> list[Column
     return [F.when(F.col(date) == "", 1).otherwise(0).asc(), F.col(date).desc(), F.col(filename).asc()]
 
 
-def page(ranked: DataFrame, first: int, end: int, columns: int = 1, margin: int = 0) -> DataFrame:
-    """Rows of ranks over ``first`` up to ``end``, and ``margin`` grid rows of ``columns`` more on either side."""
-    more = margin * columns
-    return ranked.where((F.col("rank") > first - more) & (F.col("rank") <= end + more))
-
-
 def between_rows(ranked: DataFrame, key: str, one, other) -> DataFrame:
     """Rows from one to another, both included; nothing if neither is there."""
     ends = ranked.where(F.col(key).isin(one, other)).agg(F.min("rank").alias("__a"), F.max("rank").alias("__b"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import hierarchy, mutations, ranking
+from tessera.operators import hierarchy, layout, mutations, ranking
 from tessera.session import table as T
+from tessera.workspace import new_folder
 
 from .catalogue import query
 from .common import FOLDER_SQL, folder_of_url
@@ -277,10 +278,21 @@ def _priced(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.global_rank(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "rank")
 
 
+def _by_price(spark: SparkSession, sf: str) -> layout.Ordered:
+    orders = T(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return layout.write_in_order(orders, [F.desc("o_totalprice"), "o_orderkey"], new_folder(spark, "ordered"))
+
+
 @query("page_window", f"WITH {PRICED} SELECT * FROM r WHERE rank > 40 - 2 * 5 AND rank <= 80 + 2 * 5")
 def page_window(spark: SparkSession, sf: str) -> DataFrame:
     """Rows 41 to 80 in view, in a grid of five columns, and two grid rows more on either side."""
-    return ranking.page(_priced(spark, sf), first=40, end=80, columns=5, margin=2)
+    return layout.page(_by_price(spark, sf), first=40, end=80, columns=5, margin=2).select("o_orderkey", "rank")
+
+
+@query("load_more", f"WITH {PRICED} SELECT o_orderkey, rank, (SELECT greatest(count(*) - 1200, 0) FROM orders) AS remaining FROM r WHERE rank > 1000 AND rank <= 1200")
+def load_more(spark: SparkSession, sf: str) -> DataFrame:
+    """After the first thousand rows two hundred more, and how many are left."""
+    return layout.more_rows(_by_price(spark, sf), 1000, 200).select("o_orderkey", "rank", "remaining")
 
 
 @query("rank_range", f"WITH {PRICED}, e AS (SELECT min(rank) AS a, max(rank) AS b FROM r WHERE o_orderkey IN (7, 300)) SELECT o_orderkey, rank FROM r, e WHERE rank BETWEEN a AND b")

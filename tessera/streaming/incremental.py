@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tessera.streaming import snapshots
 from tessera.workspace import new_folder
 
 
@@ -20,31 +22,27 @@ def file_stream(spark: SparkSession, path: str, files_a_batch: int = 8) -> DataF
     return reader.option("pathGlobFilter", name).parquet(folder) if is_file else reader.parquet(path)
 
 
-def run_to_end(stream: DataFrame, apply, spark: SparkSession, mode: str = "append") -> None:
-    query = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, apply, spark: SparkSession, mode: str = "append", checkpoint: str | None = None) -> None:
+    """Hands what is there to ``apply``, batch by batch; with a ``checkpoint`` of its own a later run goes on where this one ended."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint or new_folder(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def latest_per_user(spark: SparkSession, path: str) -> DataFrame:
+def latest_per_user(spark: SparkSession, path: str, root: str | None = None, buckets: int = snapshots.BUCKETS, files_a_batch: int = 8) -> DataFrame:
     """(user_id, event_id, n): the latest event of each user and how many there were, upserted batch by batch.
 
-    Each batch is pre-aggregated and merged with the snapshot before; a snapshot is a folder named by its batch, so a batch
-    that is run again after a failure writes the same snapshot.
+    Each batch is pre-aggregated and merged into a bucketed snapshot: only the buckets of its users are written anew, and a batch that is run again
+    after a failure changes nothing. With a ``root`` of its own, a later call takes only the files that came since.
     """
-    root = new_folder(spark, "latest")
-    schema = "user_id long, last struct<ts:timestamp_ntz,event_id:long>, n long"
+    root = root or new_folder(spark, "latest")
+    schema = StructType.fromDDL("user_id long, last struct<ts:timestamp_ntz,event_id:long>, n long")
 
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n"))
-        old = spark.read.schema(schema).parquet(f"{root}/{number - 1}") if number else spark.createDataFrame([], schema)
-        both = old.unionByName(new).groupBy("user_id").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
-        both.write.mode("overwrite").parquet(f"{root}/{number}")
-        done.append(number)
-
-    done: list[int] = []
-    run_to_end(file_stream(spark, path), merge, spark)
-    rows = spark.read.schema(schema).parquet(f"{root}/{max(done)}") if done else spark.createDataFrame([], schema)
-    return rows.select("user_id", F.col("last.event_id").alias("event_id"), "n")
+        snapshots.merge_batch(batch.sparkSession, root, new, ["user_id"], [F.max("last").alias("last"), F.sum("n").alias("n")], number, buckets)
+
+    run_to_end(file_stream(spark, path, files_a_batch), merge, spark, checkpoint=f"{root}/stream")
+    return snapshots.snapshot(spark, root, schema).select("user_id", F.col("last.event_id").alias("event_id"), "n")
 
 
 def first_seen(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
