@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tessera.streaming import incremental, snapshots
 
 SCHEMA = "k long, v long"
+
+
 def total():
     return [F.sum("v").alias("v")]
 
 
-
 def files(folder) -> dict[str, int]:
     return {str(f): f.stat().st_mtime_ns for f in Path(folder).rglob("*.parquet")}
 
