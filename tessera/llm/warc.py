@@ -175,7 +175,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     """Write one record for each row; returns the manifest (name, records, bytes).
 
     Of rows with equal payloads of at least ``least_bytes`` the one with the smallest id is a response and the
-    others revisit it; smaller payloads are all responses. Payloads are UTF-8, null as empty. Payloads are
+    others revisit it; smaller payloads are all responses. Rows that share that smallest id are all responses, as are rows
+    with a null id. Payloads are UTF-8, null as empty. Payloads are
     grouped by SHA-256 and length alone, and no payload moves with its group.
     """
     files.make_folder(folder)
