@@ -30,6 +30,15 @@ KELVIN_TABLE = (
 )
 
 
+def _white_cones() -> list[float]:
+    x, y = D65
+    return [r[0] * x / y + r[1] + r[2] * (1 - x - y) / y for r in BRADFORD]
+
+
+#: From the ratios of cone responses to linear sRGB of the white adapted by them: one matrix for three steps.
+FROM_CONES = tuple(tuple(sum(row[k] * BRADFORD_INVERSE[k][j] for k in range(3)) * w for j, w in enumerate(_white_cones())) for row in XYZ_TO_SRGB)
+
+
 def horner(x: Column, *coefficients: float) -> Column:
     """A polynomial, highest power first."""
     out = F.lit(float(coefficients[0]))
@@ -73,10 +82,15 @@ def tint_duv(tint: Column) -> Column:
     return -tint / 3000.0
 
 
-def tinted(kelvin: Column, tint: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """A chromaticity moved off the Planckian locus, at a right angle to it, by the distance that stands for the tint; without tint it stays."""
+def locus_slope(kelvin: Column, x: Column) -> Column:
+    """Slope of the Planckian locus at a temperature and its x."""
     inside = (kelvin >= 1667) & (kelvin <= 2222)
-    slope = F.when(inside, horner(x, *SLOPE_LOW)).when((kelvin > 2222) & (kelvin <= 4000), horner(x, *SLOPE_MID)).otherwise(horner(x, *SLOPE_HIGH))
+    return F.when(inside, horner(x, *SLOPE_LOW)).when((kelvin > 2222) & (kelvin <= 4000), horner(x, *SLOPE_MID)).otherwise(horner(x, *SLOPE_HIGH))
+
+
+def tinted(kelvin: Column, tint: Column, x: Column, y: Column, slope: Column | None = None) -> tuple[Column, Column]:
+    """A chromaticity moved off the Planckian locus, at a right angle to it, by the distance that stands for the tint; without tint it stays."""
+    slope = locus_slope(kelvin, x) if slope is None else slope
     step = tint_duv(tint) / F.sqrt(1.0 + slope * slope)
     return F.when(tint == 0, x).otherwise(x + step * slope), F.when(tint == 0, y).otherwise(y - step)
 
@@ -86,22 +100,20 @@ def with_wb(df: DataFrame, target_k: Column, as_shot_k: Column, names: tuple[str
 
     The steps are columns of their own: as one expression they would not fit into one compiled method.
     """
-    known = (target_k > 0) & (as_shot_k > 0)
     none = F.lit(0.0)
-    step = df.withColumns({"__known": known, "__tk": target_k.cast("double"), "__sk": as_shot_k.cast("double"), "__tt": none if target_tint is None else target_tint, "__st": none if as_shot_tint is None else as_shot_tint})
-    step = step.withColumns({f"__{p}x": kelvin_x(F.col(f"__{p}k")) for p in "ts"})
-    step = step.withColumns({f"__{p}y": kelvin_y(F.col(f"__{p}k"), F.col(f"__{p}x")) for p in "ts"})
-    step = step.withColumns({f"__{p}o": F.struct(*(c.alias(n) for n, c in zip("xy", tinted(F.col(f"__{p}k"), F.col(f"__{p}t"), F.col(f"__{p}x"), F.col(f"__{p}y")), strict=True))) for p in "ts"})
-    step = step.withColumns({f"__{p}{c}": F.col(f"__{p}o.{c}") for p in "ts" for c in "xy"})
-    step = step.withColumns({f"__{p}{i}": c for p in "ts" for i, c in enumerate(_times(BRADFORD, _xyz(F.col(f"__{p}x"), F.col(f"__{p}y"))))})
-    x, y = D65
-    white = [r[0] * x / y + r[1] + r[2] * (1 - x - y) / y for r in BRADFORD]
-    ratio = lambda i: F.when(F.col(f"__s{i}") > 1e-4, F.col(f"__t{i}") / F.col(f"__s{i}")).otherwise(1.0)
-    step = step.withColumns({f"__a{i}": F.lit(w) * ratio(i) for i, w in enumerate(white)})
-    step = step.withColumns({f"__m{i}": c for i, c in enumerate(_times(BRADFORD_INVERSE, tuple(F.col(f"__a{i}") for i in range(3))))})
-    step = step.withColumns({f"__c{i}": c for i, c in enumerate(_times(XYZ_TO_SRGB, tuple(F.col(f"__m{i}") for i in range(3))))})
-    out = step.withColumns({n: F.when(F.col("__known"), F.col(f"__c{i}") / F.when(F.col("__c1") > 1e-4, F.col("__c1")).otherwise(1.0)).otherwise(1.0) for i, n in enumerate(names)})
-    return out.select(*[c for c in df.columns if c not in names], *names)
+    kept = [c for c in df.columns if c not in names]
+    step = df.select("*", ((target_k > 0) & (as_shot_k > 0)).alias("__known"), target_k.cast("double").alias("__tk"), as_shot_k.cast("double").alias("__sk"), (none if target_tint is None else target_tint).alias("__tt"), (none if as_shot_tint is None else as_shot_tint).alias("__st"))
+    own = lambda p, *parts: [F.col(f"__{p}{part}") for part in parts]
+    step = step.select("*", *[kelvin_x(*own(p, "k")).alias(f"__{p}x") for p in "ts"])
+    step = step.select("*", *[c.alias(f"__{p}{n}") for p in "ts" for n, c in (("y", kelvin_y(*own(p, "k", "x"))), ("n", locus_slope(*own(p, "k", "x"))))])
+    moved = {p: tinted(*own(p, "k", "t", "x", "y", "n")) for p in "ts"}
+    step = step.select(*kept, "__known", *[c.alias(f"__{p}{n}") for p in "ts" for n, c in zip("uv", moved[p], strict=True)])
+    cones = {p: _times(BRADFORD, _xyz(*own(p, "u", "v"))) for p in "ts"}
+    step = step.select(*kept, "__known", *[F.when(s > 1e-4, t / s).otherwise(1.0).alias(f"__a{i}") for i, (t, s) in enumerate(zip(cones["t"], cones["s"], strict=True))])
+    linear = _times(FROM_CONES, tuple(F.col(f"__a{i}") for i in range(3)))
+    step = step.select(*kept, "__known", *[c.alias(f"__c{i}") for i, c in enumerate(linear)])
+    green = F.when(F.col("__c1") > 1e-4, F.col("__c1")).otherwise(1.0)
+    return step.select(*kept, *[F.when(F.col("__known"), F.col(f"__c{i}") / green).otherwise(1.0).alias(n) for i, n in enumerate(names)])
 
 
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:

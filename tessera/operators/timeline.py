@@ -6,9 +6,7 @@ those after it, told from one row a bucket, so that no task holds a whole series
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -26,26 +24,50 @@ def neighbours(df: DataFrame, key: str, time: str, centre_id, n: int) -> DataFra
 BUCKET = 86_400.0  # seconds of a series that one task sorts
 
 
-def _carried(rows: DataFrame, keys: list[str], time: str, anchor: Column, bucket: float) -> DataFrame:
-    """``rows`` with their time bucket (__b), their anchor (__anchor, null if there is none) and the last anchor of earlier buckets (__before) and the
-    first of later ones (__after). An anchor is a struct that begins with its time."""
-    part = rows.withColumn("__b", F.floor(F.col(time) / bucket)).withColumn("__anchor", anchor)
-    per = part.groupBy(*keys, "__b").agg(F.min("__anchor").alias("__first"), F.max("__anchor").alias("__last"))
-    series = Window.partitionBy(*keys).orderBy("__b")  # one row a bucket
-    before = F.last("__last", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("__first", ignorenulls=True).over(series.rowsBetween(1, Window.unboundedFollowing))
-    per = per.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), before.alias("__before"), after.alias("__after"))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)), F.col("__b") == F.col("__kb"))
-    return part.join(per, same).drop("__kb", *[f"__k{i}" for i in range(len(keys))])
+def _so_far(column: str | Column, rows: WindowSpec, own: bool = False) -> Column:
+    """The last known value up to this row, or before it; a growing frame, so linear in the rows."""
+    frame = rows.rangeBetween(Window.unboundedPreceding, Window.currentRow) if own else rows.rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(column, ignorenulls=True).over(frame)
+
 
+def _around(rows: DataFrame, keys: list[str], time: str, known: Column, values: list[str], bucket: float, further: bool = False) -> DataFrame:
+    """``rows`` with p and n: the nearest known (t, *values) at or before, and at or after, in the same key; ``further`` adds to each as ``far`` the known one beyond it.
 
-def _around(rows: DataFrame, keys: list[str], time: str, known: Column, values: list[str], bucket: float) -> DataFrame:
-    """``rows`` with p and n: the nearest known (time, *values) at or before, and at or after, in the same key."""
-    carried = _carried(rows, keys, time, F.when(known, F.struct(F.col(time).alias("t"), *values)), bucket)
-    order = Window.partitionBy(*keys, "__b").orderBy(time)
-    back = F.last("__anchor", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("__anchor", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    return carried.withColumns({"p": F.coalesce(back, "__before"), "n": F.coalesce(ahead, "__after")}).drop("__b", "__anchor", "__before", "__after")
+    Rows are shuffled once, by key and bucket. What a bucket takes from others comes from a table of one row a bucket, joined on the same
+    columns. The key is one struct: never null, so that the join and the windows ask for the same partitioning. What comes after a row is
+    what came before it in falling order: a frame to the end of the bucket would be read anew for each row.
+    """
+    part = rows.withColumns({"__g": F.struct(*keys), "__b": F.floor(F.col(time) / bucket), "__at": F.when(known, F.struct(F.col(time).alias("t"), *values))})
+    up, down = (Window.partitionBy("__g", "__b").orderBy(o) for o in (F.col(time), F.col(time).desc()))
+    rise, fall = (Window.partitionBy("__g").orderBy(o) for o in (F.col("__b"), F.col("__b").desc()))  # one row a bucket
+
+    edges = part.select("__g", "__b", "__at", time)
+    seen = F.col("__at")
+    if further:
+        edges = edges.withColumn("__p2", _so_far("__at", up)).withColumn("__n2", _so_far("__at", down))
+        ends = {"__last": F.max(F.when(seen.isNotNull(), F.struct(seen.alias("at"), F.col("__p2").alias("far")))), "__first": F.min(F.when(seen.isNotNull(), F.struct(seen.alias("at"), F.col("__n2").alias("far"))))}
+    else:
+        ends = {"__last": F.max(F.struct(seen.alias("at"))), "__first": F.min(F.when(seen.isNotNull(), F.struct(seen.alias("at"))))}
+    per = edges.groupBy("__g", "__b").agg(*[c.alias(n) for n, c in ends.items()])
+    for end, way, name in (("__last", rise, "__before"), ("__first", fall, "__after")):
+        if further:  # the only known row of a bucket has its next one in another bucket
+            per = per.withColumn("__o", _so_far(f"{end}.at", way))
+            whole = F.when(F.col(f"{end}.at").isNotNull(), F.struct(F.col(f"{end}.at").alias("at"), F.coalesce(F.col(f"{end}.far"), F.col("__o")).alias("far")))
+            per = per.withColumn(end, whole).withColumn(name, _so_far(end, way)).drop("__o")
+        else:
+            per = per.withColumn(name, F.struct(_so_far(f"{end}.at", way).alias("at")))
+
+    found = part.join(per.select("__g", "__b", "__before", "__after"), ["__g", "__b"])
+    for way, carried, name in ((up, "__before", "p"), (down, "__after", "n")):
+        nearest = F.coalesce(_so_far("__seen", way, own=True), F.col(carried))
+        if further:
+            found = found.withColumn("__o", F.coalesce(_so_far("__at", way), F.col(f"{carried}.at")))
+            found = found.withColumn("__seen", F.when(seen.isNotNull(), F.struct(seen.alias("at"), F.col("__o").alias("far"))))
+        else:
+            found = found.withColumn("__seen", F.when(seen.isNotNull(), F.struct(seen.alias("at"))))
+        fields = ["t", *values]
+        found = found.withColumn("__o", nearest).withColumn(name, F.struct(*[F.col(f"__o.at.{f}").alias(f) for f in fields], *([F.col("__o.far").alias("far")] if further else [])))
+    return found.drop("__g", "__b", "__at", "__before", "__after", "__seen", "__o")
 
 
 def _between(field: str, time: str) -> Column:
@@ -55,15 +77,22 @@ def _between(field: str, time: str) -> Column:
 
 
 def asof_interpolate(targets: DataFrame, track: DataFrame, keys: list[str], key: str, time: str, lat: str, lon: str, edge: float = 3600, gap: float = 86400, bucket: float = BUCKET) -> DataFrame:
-    """Targets (keys, key, time) with a position from the track (keys, time, lat, lon).
+    """Targets (keys, key, time) with a position from the track (keys, time, lat, lon), by the rule of ``asof_within``."""
+    points = track.select(*keys, F.col(time).cast("double").alias(time), lat, lon, F.lit(None).cast(targets.schema[key].dataType).alias(key), F.lit(True).alias("__known"))
+    wanted = targets.select(*keys, F.col(time).cast("double").alias(time), F.lit(None).cast("double").alias(lat), F.lit(None).cast("double").alias(lon), key, F.lit(False).alias("__known"))
+    return asof_within(points.unionByName(wanted), keys, key, time, lat, lon, F.col("__known"), ~F.col("__known"), edge, gap, bucket)
+
+
+def asof_within(rows: DataFrame, keys: list[str], key: str, time: str, lat: str, lon: str, known: Column, wanted: Column, edge: float = 3600, gap: float = 86400, bucket: float = BUCKET) -> DataFrame:
+    """The ``wanted`` rows of one table with a position (m_lat, m_lon) from its ``known`` rows; those that have none are left out.
 
     Linear between the two neighbouring points if these are less than ``gap`` apart; a target outside the track takes
-    the end point if less than ``edge`` away; both bounds are strict. Track times <= 0 are dropped, targets at time 0 too.
-    Of track points at one time any may stand; give distinct times for a defined result.
+    the end point if less than ``edge`` away; both bounds are strict. Known rows of times <= 0 are dropped, targets at time 0 and rows
+    of a null time too. A row that is both finds itself. Of known rows at one time any may stand; give distinct times for a defined result.
     """
-    points = track.where(F.col(time) > 0).select(*keys, F.col(time).cast("double").alias(time), lat, lon, F.lit(None).cast(targets.schema[key].dataType).alias(key), F.lit(True).alias("__known"))
-    wanted = targets.where(F.col(time) != 0).select(*keys, F.col(time).cast("double").alias(time), F.lit(None).cast("double").alias(lat), F.lit(None).cast("double").alias(lon), key, F.lit(False).alias("__known"))
-    found = _around(points.unionByName(wanted), keys, time, F.col("__known"), [lat, lon], bucket).where(~F.col("__known"))
+    known, wanted = known & (F.col(time) > 0), wanted & (F.col(time) != 0)
+    own = rows.select(*keys, key, F.col(time).cast("double").alias(time), lat, lon, F.coalesce(known, F.lit(False)).alias("__k"), F.coalesce(wanted, F.lit(False)).alias("__w")).where("__k or __w")
+    found = _around(own, keys, time, F.col("__k"), [lat, lon], bucket).where("__w")
     inside = F.col("p.t").isNotNull() & F.col("n.t").isNotNull() & (F.col("n.t") - F.col("p.t") < gap)
     early = F.col("p.t").isNull() & (F.col("n.t") - F.col(time) < edge)
     late = F.col("n.t").isNull() & (F.col(time) - F.col("p.t") < edge)
@@ -77,22 +106,18 @@ def gap_fill(rows: DataFrame, keys: list[str], time: str, lat: str, lon: str, kn
     With known neighbours on both sides within ``both_sides``: linear (the middle if they coincide). Else from the one before within
     ``one_side``: on along the line through it and the one before that, or at it if there is none; else likewise from the one after.
     """
-    own = _carried(rows.where(known).select(*keys, F.col(time), lat, lon), keys, time, F.struct(F.col(time).alias("t"), lat, lon), bucket)
-    order = Window.partitionBy(*keys, "__b").orderBy(time)
-    own = own.withColumns({"p2": F.coalesce(F.lag("__anchor").over(order), "__before"), "n2": F.coalesce(F.lead("__anchor").over(order), "__after"), "__known": F.lit(True)}).drop("__b", "__anchor", "__before", "__after")
-    blank = rows.where(~known).withColumns({lat: F.lit(None).cast("double"), lon: F.lit(None).cast("double"), "__known": F.lit(False)})
-    every = own.unionByName(blank, allowMissingColumns=True)
-    found = _around(every, keys, time, F.col("__known"), [lat, lon, "p2", "n2"], bucket).where(~F.col("__known"))
+    own = rows.withColumn("__known", F.coalesce(known, F.lit(False)))
+    found = _around(own, keys, time, F.col("__known"), [lat, lon], bucket, further=True).where(~F.col("__known"))
     t = F.col(time)
     back, ahead = t - F.col("p.t"), F.col("n.t") - t
     both = (back <= both_sides) & (ahead <= both_sides)
 
-    def beyond(side: str, second: str, field: str) -> Column:
-        span = F.col(f"{side}.t") - F.col(f"{side}.{second}.t")
-        slope = (F.col(f"{side}.{field}") - F.col(f"{side}.{second}.{field}")) / span
-        return F.when(F.col(f"{side}.{second}.t").isNull() | (span == 0), F.col(f"{side}.{field}")).otherwise(F.col(f"{side}.{field}") + slope * (t - F.col(f"{side}.t")))
+    def beyond(side: str, field: str) -> Column:
+        span = F.col(f"{side}.t") - F.col(f"{side}.far.t")
+        slope = (F.col(f"{side}.{field}") - F.col(f"{side}.far.{field}")) / span
+        return F.when(F.col(f"{side}.far.t").isNull() | (span == 0), F.col(f"{side}.{field}")).otherwise(F.col(f"{side}.{field}") + slope * (t - F.col(f"{side}.t")))
 
-    value = lambda f: F.when(both, _between(f, time)).when(back <= one_side, beyond("p", "p2", f)).when(ahead <= one_side, beyond("n", "n2", f))
+    value = lambda f: F.when(both, _between(f, time)).when(back <= one_side, beyond("p", f)).when(ahead <= one_side, beyond("n", f))
     how = F.when(both, "between").when(back <= one_side, "after").when(ahead <= one_side, "before")
     keep = [c for c in rows.columns if c not in (lat, lon)]
     return found.select(*keep, value(lat).alias(lat), value(lon).alias(lon), how.alias("how")).where("how is not null")

@@ -154,8 +154,9 @@ m AS (SELECT event_id, CASE WHEN pt IS NOT NULL AND nt IS NOT NULL THEN CASE WHE
 
 def _asof(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    track = events.where((F.col("event_type") == "view") & geo.has_gps(F.col("lat"), F.col("lon"))).select("user_id", "t", "lat", "lon")
-    return timeline.asof_interpolate(events.where("event_type = 'click'").select("user_id", "event_id", "t"), track, ["user_id"], "event_id", "t", "lat", "lon")
+    kind = F.col("event_type")
+    known, wanted = (kind == "view") & geo.has_gps(F.col("lat"), F.col("lon")), kind == "click"
+    return timeline.asof_within(events.where(kind.isin("view", "click")), ["user_id"], "event_id", "t", "lat", "lon", known, wanted)
 
 
 @query("asof_interpolate", f"{ASOF} SELECT event_id, round(m_lat, 5) AS m_lat, round(m_lon, 5) AS m_lon FROM m WHERE m_lat IS NOT NULL")

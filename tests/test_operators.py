@@ -75,6 +75,52 @@ def test_series_in_buckets_equal_whole_ones(spark):
             assert run(bucket) == want
 
 
+def filled(rows, both, one):
+    """Each blank row held against all known rows of its key."""
+    out = []
+    for k, i, t, lat in rows:
+        if lat:
+            continue
+        known = sorted((u, v) for q, _, u, v in rows if q == k and v)
+        before, after = [x for x in known if x[0] <= t][::-1], [x for x in known if x[0] >= t]
+        if before and after and t - before[0][0] <= both and after[0][0] - t <= both:
+            (pt, pv), (nt, nv) = before[0], after[0]
+            out.append((i, "between", (pv + nv) / 2 if nt == pt else pv + (t - pt) / (nt - pt) * (nv - pv)))
+            continue
+        for near, how in ((before, "after"), (after, "before")):
+            if near and abs(t - near[0][0]) <= one:
+                (u, v), far = near[0], near[1:2]
+                out.append((i, how, v + (v - far[0][1]) / (u - far[0][0]) * (t - u) if far else v))
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bucket", [7.0, 40.0, 1e6])
+def test_gap_fill_against_all_known_rows(spark, bucket):
+    """Keys of which one is null, one has a single known row and one none; blank rows at the time of a known one; the second neighbour in other buckets."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for key, n, share in ((None, 60, 0.3), (1, 90, 0.15), (2, 40, 0.0), (3, 30, 0.0)):
+        times = rng.permutation(400)[:n] + 1
+        rows += [(key, len(rows) + j, float(t), float(np.round(rng.uniform(1, 9), 2)) if rng.random() < share or (key == 2 and j == 0) else 0.0) for j, t in enumerate(times)]
+    rows += [(k, 1000 + i, t, 0.0) for k, i, t, v in rows if v]
+    df = spark.createDataFrame([(*r, r[3]) for r in rows], "k int, id int, t double, lat double, lon double")
+    got = timeline.gap_fill(df, ["k"], "t", "lat", "lon", geo.has_gps(F.col("lat"), F.col("lon")), 12, 30, bucket=bucket).collect()
+    want = filled(rows, 12, 30)
+    assert {h for _, h, _ in want} == {"between", "after", "before"}
+    assert sorted((r.id, r.how) for r in got) == [w[:2] for w in want]
+    assert [r.lat for r in sorted(got, key=lambda r: r.id)] == pytest.approx([w[2] for w in want])
+    assert timeline.gap_fill(df.limit(0), ["k"], "t", "lat", "lon", F.col("lat") != 0).collect() == []
+
+
+def test_a_series_is_shuffled_once(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id % 3 as k", "cast(id as double) as t", "cast(id % 4 as double) as lat", "cast(id % 4 as double) as lon").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for df, most in ((timeline.gap_fill(rows, ["k"], "t", "lat", "lon", F.col("lat") != 0), 3), (timeline.asof_within(rows, ["k"], "id", "t", "lat", "lon", F.col("lat") != 0, F.col("lat") == 0), 3)):
+        plan = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+        assert plan[1].count("Exchange hashpartitioning") <= most and plan[0].count("FileScan") == 2
+
+
 def greedy(v, threshold, whole=1000, window=600):
     """Seed by seed, as the survey states it: the window's end is the seed's place plus the window, itself included."""
     n = len(v)
