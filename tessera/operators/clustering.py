@@ -87,6 +87,8 @@ def greedy_centroid(vectors: DataFrame, key: str, vec: str, threshold: float = 0
     apart. The order is cut into ranges of about ``SPAN`` rows. All ranges are clustered at once, each from the clusters that it
     takes the range before to leave open; those that were taken wrongly are clustered again from what it did leave, until none is.
     What a range leaves hardly depends on what it was given, so two or three rounds do; the result is that of one pass in order.
+    A round runs and writes only ranges that began wrongly. The first n ranges are final after n rounds, so there are at most as many
+    rounds as ranges, and as many only where each range's end turns on its start.
     Rows of a cluster of one are left out; null and empty vectors are in none. Needs ``threshold`` >= 0.
     """
     spark = vectors.sparkSession
@@ -114,20 +116,66 @@ def greedy_centroid(vectors: DataFrame, key: str, vec: str, threshold: float = 0
         return pd.concat([out, state.astype({key: out[key].dtype}, errors="ignore")])
 
     nothing = [F.array().cast(t.split(" ")[1]).alias(t.split(" ")[0]) for t in STATE.split(", ")]
+    names = ["seeds", "sizes", "centres"]
     todo = written(places.select("range", "at", "turn", *nothing), "given")
-    given, done = todo, None
-    while done is None or not todo.isEmpty():
+    last = written(todo.select("turn", F.xxhash64(*names).alias("given"), F.lit(0).alias("round")), "last")  # of each range, what its last run began with, and when that was
+    path = new_folder(spark, "clustered")
+    for turn in range(max(1, places.count())):  # the first n ranges are final after n rounds
         fresh = rows.join(F.broadcast(todo.select("range")), "range", "left_semi").groupBy("range").cogroup(todo.groupBy("range")).applyInPandas(run, f"`{key}` {kind}, seed long, turn int, {STATE}")
-        fresh = written(fresh, "clustered")
-        done = fresh if done is None else written(done.join(F.broadcast(todo.select("turn")), "turn", "left_anti").unionByName(fresh), "clustered")
-        left = done.where("seed < 0").select((F.col("turn") + 1).alias("turn"), "seeds", "sizes", "centres")
-        names = ["seeds", "sizes", "centres"]
-        wanted = places.join(left, "turn", "left").select("range", "at", "turn", *[F.coalesce(c, nothing[i]).alias(c) for i, c in enumerate(names)])
-        wanted = written(wanted, "given")
-        was = given.select("turn", F.xxhash64(*names).alias("was"))
-        todo = wanted.withColumn("now", F.xxhash64(*names)).join(was, "turn").where("now <> was").drop("now", "was")
-        todo, given = written(todo, "todo"), wanted
-    seeded = done.where("seed >= 0").select(key, "seed")
+        fresh.write.parquet(f"{path}/round={turn}")
+        left = spark.read.parquet(f"{path}/round={turn}").where("seed < 0").select((F.col("turn") + 1).alias("turn"), *names)
+        wrong = left.join(last.select("turn", "given"), "turn").where(F.xxhash64(*names) != F.col("given")).drop("given")
+        todo = written(places.join(wrong, "turn").select("range", "at", "turn", *names), "given")
+        if todo.isEmpty():
+            break
+        again = todo.select("turn", F.xxhash64(*names).alias("now"))
+        last = written(last.join(again, "turn", "left").select("turn", F.coalesce("now", "given").alias("given"), F.when(F.col("now").isNotNull(), turn + 1).otherwise(F.col("round")).alias("round")), "last")
+    seeded = spark.read.parquet(path).where("seed >= 0").join(last.select("turn", "round"), ["turn", "round"], "left_semi").select(key, "seed")
     several = written(seeded.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "several")
     named = global_rank(several, ["seed"]).select("seed", (-F.col("rank")).cast("int").alias("cluster"))
     return seeded.join(named, "seed").select(key, "cluster")
+
+
+def running_centres(placed: DataFrame, group: str, order: list[str], vec: str) -> DataFrame:
+    """(group, centre): the centroid as it runs while members join in order, normalised at each step. For groups of a bounded size, such as a window's."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(vec).cast("array<double>").alias("__v"))))
+    listed = placed.groupBy(group).agg(rows.alias("__rows"))
+    start = F.struct(F.get("__rows", F.lit(0))["__v"].alias("c"), F.lit(1.0).alias("n"))
+
+    def joined(state, row):
+        n = state["n"] + 1.0
+        mean = F.zip_with(state["c"], row["__v"], lambda c, v: c * (n - 1.0) / n + v / n)
+        return F.struct(vector.l2_normalize(mean).alias("c"), n.alias("n"))
+
+    later = F.slice("__rows", F.lit(2), F.greatest(F.size("__rows") - 1, F.lit(0)))
+    return listed.select(group, F.aggregate(later, start, joined, lambda s: s["c"]).alias("centre"))
+
+
+def people(faces: DataFrame, names: DataFrame, key: str, photo: str, person: str, vec: str, threshold: float = 0.60, page: int | None = None, whole: int = 1000, window: int = 600) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Faces (key, photo, person, vec) put together by person, those without one (null or <= 0) by greedy clusters.
+
+    Gives (groups, members, progress). Groups: (cluster, name, faces, photos, rep, suggested, rank): a person's id or a cluster's negative number; the name of
+    ``names`` (person, name) or ''; how many faces and distinct photos; its first face, by key or in order of projection; for a cluster the name of the
+    person whose centroid is most like its running one, if over ``threshold``, else null: a person without a name suggests none, and none instead.
+    Persons come first, those in most photos first, then clusters in order of creation. Members: (key, cluster). Progress: one row (processed, total) of
+    the faces without a person, of which the first ``page`` by key are clustered. Of persons equally like, the least id suggests its name.
+    Null photos are not counted; faces with null or empty vectors belong to their person but not to its centroid, and to no cluster. Empty tables give empty ones.
+    """
+    own = faces.select(F.col(key).alias("__key"), F.col(photo).alias("__photo"), F.coalesce(F.col(person).cast("long"), F.lit(0)).alias("__person"), F.col(vec).alias("__vec"))
+    named, rest = own.where("__person > 0"), own.where("__person <= 0")
+    found = greedy_centroid(rest.select("__key", "__vec"), "__key", "__vec", threshold, page, whole, window)
+    members = written(named.select("__key", F.col("__person").alias("cluster")).unionByName(found.select("__key", F.col("cluster").cast("long").alias("cluster"))), "members")
+    place = F.when(F.col("cluster") < 0, F.coalesce(vector.projection("__vec"), F.lit(0.0))).otherwise(0.0)
+    placed = own.join(members, "__key").withColumn("__place", place)
+    groups = placed.groupBy("cluster").agg(F.count("*").alias("faces"), F.countDistinct("__photo").alias("photos"), F.min(F.struct("__place", "__key"))["__key"].alias("rep"))
+
+    called = names.select(F.col(names.columns[0]).cast("long").alias("cluster"), F.coalesce(F.col(names.columns[1]), F.lit("")).alias("name"))
+    centres = running_centres(placed.where("cluster < 0"), "cluster", ["__place", "__key"], "__vec")
+    like = best_centroid(centres, "centre", centroids(named, "__person", "__vec"), "__person", threshold).select("cluster", F.col("__person").alias("like"))
+    told = like.join(called.select(F.col("cluster").alias("like"), F.col("name").alias("suggested")), "like").where("suggested <> ''").select("cluster", "suggested")
+    full = written(groups.join(called, "cluster", "left").withColumn("name", F.coalesce("name", F.lit(""))).join(told, "cluster", "left"), "groups")
+    known = F.col("cluster") > 0
+    ranked = global_rank(full, [known.desc(), F.when(known, F.col("photos")).desc_nulls_last(), F.when(known, F.col("cluster")), F.col("cluster").desc()])
+    total = rest.agg(F.count("*").alias("total"))
+    progress = total.select((F.col("total") if page is None else F.least("total", F.lit(page))).cast("long").alias("processed"), "total")
+    return ranked.select("cluster", "name", "faces", "photos", F.col("rep"), "suggested", "rank"), members.select(F.col("__key").alias(key), "cluster"), progress

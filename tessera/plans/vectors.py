@@ -140,6 +140,15 @@ def greedy_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.greedy_centroid(_vectors(spark, sf_dir), "vec_id", "embedding", threshold=0.30)
 
 
+@query("people_groups")
+def people_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from 5 on stand for persons, nations for their names, of which every third has none."""
+    faces = _vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 100).alias("photo"), F.when(F.col("label") >= 5, F.col("label")).alias("person"), "embedding")
+    names = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("name"))
+    groups, _, _ = clustering.people(faces, names, "vec_id", "photo", "person", "embedding", threshold=0.30)
+    return groups
+
+
 @query("cluster_distinct_photos", "SELECT label, count(DISTINCT vec_id % 100) AS photos, count(*) AS members FROM embeddings GROUP BY label")
 def cluster_distinct_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).groupBy("label").agg(F.countDistinct(F.col("vec_id") % 100).alias("photos"), F.count("*").alias("members"))

@@ -160,6 +160,39 @@ def test_greedy_clusters_of_odd_rows(spark):
     assert clustering.greedy_centroid(rows.limit(0), "k", "v", 0.6).count() == 0
 
 
+def test_rounds_of_clusters_run_only_what_began_wrongly(spark, monkeypatch):
+    """Windows longer than ranges, so that states run on: no more rounds than ranges, none of a final range."""
+    folders = []
+    monkeypatch.setattr(clustering, "SPAN", 50)
+    monkeypatch.setattr(clustering, "new_folder", lambda spark, tag, made=clustering.new_folder: folders.append((tag, made(spark, tag))) or folders[-1][1])
+    rng = np.random.default_rng(11)
+    turn = np.sort(rng.uniform(0, 3, 600))
+    v = np.stack([np.cos(turn), np.sin(turn)], 1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    order = [r.k for r in rows.withColumn("p", clustering.vector.projection("v")).orderBy("p", "k").collect()]
+    want = {order[i]: -1 - c for c, members in enumerate(greedy(v[order], 0.95, 10, 120)) for i in members}
+    assert {r.k: r.cluster for r in clustering.greedy_centroid(rows, "k", "v", 0.95, whole=10, window=120).collect()} == want
+    ran = spark.read.parquet(dict(folders)["clustered"]).select("round", "turn").distinct().collect()
+    rounds = {r["round"] for r in ran}
+    assert 2 <= len(rounds) <= len({r["turn"] for r in ran}) and all(r["turn"] >= r["round"] for r in ran)
+
+
+def test_people_of_odd_faces(spark):
+    schema = "id long, photo string, person int, v array<double>"
+    faces = spark.createDataFrame([
+        (1, "a", 7, [1.0, 0.0]), (2, "a", 7, None), (3, None, 7, [1.0, 0.1]), (4, "b", 8, []), (5, "b", None, [0.0, 1.0]), (6, "c", 0, [0.0, 1.0]),
+        (7, "c", -1, [1.0, 0.0]), (8, "d", None, [1.0, 0.0]), (9, "d", None, None), (10, "e", 9, [0.0, 2.0]),
+    ], schema).withColumn("name", F.lit("x")).withColumn("cluster", F.lit(1))
+    names = spark.createDataFrame([(7, "Ann"), (9, None)], "person int, name string")
+    groups, members, progress = clustering.people(faces, names, "id", "photo", "person", "v")
+    got = [tuple(r) for r in groups.orderBy("rank").select("cluster", "name", "faces", "photos", "rep", "suggested").collect()]
+    assert got == [(7, "Ann", 3, 1, 1, None), (8, "", 1, 1, 4, None), (9, "", 1, 1, 10, None), (-1, "", 2, 2, 5, None), (-2, "", 2, 2, 7, "Ann")]
+    assert sorted(tuple(r) for r in members.collect()) == [(1, 7), (2, 7), (3, 7), (4, 8), (5, -1), (6, -1), (7, -2), (8, -2), (10, 9)]
+    assert tuple(progress.first()) == (5, 5)
+    assert tuple(clustering.people(faces, names, "id", "photo", "person", "v", page=2)[2].first()) == (2, 5)
+    assert [df.count() for df in clustering.people(faces.limit(0), names.limit(0), "id", "photo", "person", "v")] == [0, 0, 1]
+
+
 def test_best_centroid_in_blocks(spark):
     rng = np.random.default_rng(3)
     unit = lambda x: x / np.linalg.norm(x)

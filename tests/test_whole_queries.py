@@ -66,3 +66,25 @@ def test_greedy_cluster(spark):
     want = {ids[order[i]]: -1 - c for c, members in enumerate(greedy(norm[order], 0.30)) for i in members}
     together = lambda found: sorted(sorted(k for k in found if found[k] == c) for c in set(found.values()))
     assert together(got) == together(want)
+
+
+def test_people_groups(spark):
+    rows = table("embeddings", "vec_id, label, embedding")
+    called = {k: n if k % 3 else "" for k, n in table("nation", "n_nationkey, n_name")}
+    vec = {r[0]: np.array(r[2], dtype=float) for r in rows}
+    person = {r[0]: r[1] if r[1] >= 5 else 0 for r in rows}
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-8)
+    named = {p: sorted(k for k in person if person[k] == p) for p in sorted(set(person.values()) - {0})}
+    centroid = {p: unit(sum(vec[k] for k in ks)) for p, ks in named.items()}
+    want = [(p, called.get(p, ""), len(ks), len({k % 100 for k in ks}), ks[0], None) for p, ks in named.items()]
+    want.sort(key=lambda r: (-r[3], r[0]))
+    free = sorted((k for k in person if not person[k]), key=lambda k: (float(vec[k][:8].sum()), k))
+    for c, members in enumerate(greedy(np.array([vec[k] for k in free]), 0.30)):
+        ks, centre = [free[i] for i in members], None
+        for n, k in enumerate(ks, 1):
+            centre = vec[k] if centre is None else unit(centre * (n - 1) / n + vec[k] / n)
+        best = max(named, key=lambda p: (float(centre @ centroid[p]), -p))
+        name = called.get(best, "") if float(centre @ centroid[best]) > 0.30 else ""
+        want.append((-1 - c, "", len(ks), len({k % 100 for k in ks}), ks[0], name or None))
+    got = [tuple(r)[:6] for r in catalogue.queries()["people_groups"](spark, SF).orderBy("rank").collect()]
+    assert got == want and any(w[0] < 0 for w in want)
