@@ -145,32 +145,50 @@ def auto_scale(df: DataFrame, out: str = "scale", steps: int = 20, most: float =
 
     @F.pandas_udf("double")
     def least(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([_least_scale(*row, steps=steps, most=most) for row in zip(*batch, strict=True)], dtype=float)
+        for sizes in batches:
+            *plain, knots, distortion, red, blue = sizes
+            coloured = red.notna() & blue.notna()
+            count = knots.map(len)
+            found = pd.Series(np.nan, index=knots.index)
+            for (_, own_colours), own in count.groupby([count, coloured]).groups.items():  # rows of equally many knots are one array
+                lines = [np.stack(c.loc[own].to_list()).astype(float) for c in (knots, distortion, *((red, blue) if own_colours else ()))]
+                found.loc[own] = _least_scales(*(c.loc[own].to_numpy(dtype=float) for c in plain), *lines, steps=steps, most=most)
+            yield found
 
     names = ("src_w", "src_h", "out_w", "out_h", "crop_cx", "crop_cy", "knots", "distortion", "red", "blue")
     return df.withColumn(out, least(*names))
 
 
-def _least_scale(src_w, src_h, out_w, out_h, cx, cy, knots, distortion, red, blue, *, steps: int, most: float) -> float:
-    half = np.array([(out_w - 1) * 0.5, (out_h - 1) * 0.5])
-    probes = (np.array(PROBES) - 0.5) * 2 * half
-    centre, middle = np.array([cx, cy]), np.array([(src_w - 1) * 0.5, (src_h - 1) * 0.5])
+def _on_lines(x: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Piecewise linear, each row of ``x`` over its own row of ascending knots, constant beyond the ends."""
+    if knots.shape[1] == 1:
+        return np.broadcast_to(values, x.shape)
+    at = np.clip((knots[:, None, :] < x[:, :, None]).sum(axis=2), 1, knots.shape[1] - 1)
+    low, high = (np.take_along_axis(knots, at - d, axis=1) for d in (1, 0))
+    before, after = (np.take_along_axis(values, at - d, axis=1) for d in (1, 0))
+    return before + np.clip((x - low) / (high - low), 0.0, 1.0) * (after - before)
 
-    def fits(scale: float) -> bool:
-        away = centre + probes / scale - middle
-        radius = np.sqrt((away**2).sum(axis=1)) / math.hypot(*middle)
-        main = np.interp(radius, knots, distortion)
-        factors = [main, *(main * np.interp(radius, knots, c) for c in (red, blue) if red is not None and blue is not None)]
-        return all((np.abs(away * f[:, None] + middle - centre) <= half + 1e-9).all() for f in factors)
 
-    if fits(1.0):
-        return 1.0
-    low, high = 1.0, most
+def _least_scales(src_w, src_h, out_w, out_h, cx, cy, knots, distortion, *colours, steps: int, most: float) -> np.ndarray:
+    half = np.stack([(out_w - 1) * 0.5, (out_h - 1) * 0.5], axis=1)
+    probes = (np.array(PROBES) - 0.5)[None] * 2 * half[:, None]  # row, probe, axis
+    centre, middle = np.stack([cx, cy], axis=1)[:, None], np.stack([(src_w - 1) * 0.5, (src_h - 1) * 0.5], axis=1)[:, None]
+    reach = np.hypot(middle[..., 0], middle[..., 1])
+
+    def fits(scale: np.ndarray) -> np.ndarray:
+        away = centre + probes / scale[:, None, None] - middle
+        radius = np.sqrt((away**2).sum(axis=2)) / reach
+        main = _on_lines(radius, knots, distortion)
+        factors = [main, *(main * _on_lines(radius, knots, c) for c in colours)]
+        return np.all([(np.abs(away * f[:, :, None] + middle - centre) <= half[:, None] + 1e-9).all(axis=(1, 2)) for f in factors], axis=0)
+
+    low, high = np.ones(len(half)), np.full(len(half), float(most))
+    as_is = fits(low)
     for _ in range(steps):
         mid = (low + high) / 2
-        low, high = (low, mid) if fits(mid) else (mid, high)
-    return high
+        good = fits(mid)
+        low, high = np.where(good, low, mid), np.where(good, mid, high)
+    return np.where(as_is, 1.0, high)
 
 
 def similarity(sx: Column, sy: Column, template: tuple = FACE_TEMPLATE) -> Column:

@@ -274,6 +274,38 @@ def test_auto_scale_is_the_least_that_fits(spark):
     assert got[2] == 1.0 and got[1] == pytest.approx((1 + 1.4**0.5) / 2, abs=1e-5) and got[3] == pytest.approx((1 + 1.2**0.5) / 2, abs=1e-5)
 
 
+def test_auto_scale_of_mixed_rows(spark):
+    """Rows of one to nine knots, with and without colours, against a bisection of each by itself."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for i in range(60):
+        n = int(rng.integers(1, 10))
+        knots = np.sort(rng.choice(np.arange(12), n, replace=False)) / 10.0
+        lines = [1 + rng.uniform(-0.05, 0.15, n), *(1 + rng.uniform(-0.02, 0.05, (2, n)))]
+        red, blue = (lines[1], lines[2]) if i % 3 else (None, lines[2] if i % 2 else None)
+        cx, cy = 299.5 + float(rng.uniform(-9, 9)), 199.5
+        rows.append((i, 600, 400, 560, 380, cx, cy, knots.tolist(), lines[0].tolist(), *(None if c is None else c.tolist() for c in (red, blue))))
+
+        def fits(scale, cx=cx, cy=cy, knots=knots, main=lines[0], red=red, blue=blue):
+            for u, v in optics.PROBES:
+                x, y = cx + (u - 0.5) * 559 / scale - 299.5, cy + (v - 0.5) * 379 / scale - 199.5
+                f = np.interp(np.hypot(x, y) / np.hypot(299.5, 199.5), knots, main)
+                r = np.hypot(x, y) / np.hypot(299.5, 199.5)
+                for c in (f, *(() if red is None or blue is None else (f * np.interp(r, knots, red), f * np.interp(r, knots, blue)))):
+                    if abs(x * c + 299.5 - cx) > 279.5 + 1e-9 or abs(y * c + 199.5 - cy) > 189.5 + 1e-9:
+                        return False
+            return True
+
+        low, high = 1.0, 1.5
+        for _ in range(20):
+            mid = (low + high) / 2
+            low, high = (low, mid) if fits(mid) else (mid, high)
+        want[i] = 1.0 if fits(1.0) else high
+    df = spark.createDataFrame(rows, "id int, src_w int, src_h int, out_w int, out_h int, crop_cx double, crop_cy double, knots array<double>, distortion array<double>, red array<double>, blue array<double>")
+    got = {r.id: r.scale for r in optics.auto_scale(df).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(set(want.values())) > 30
+
+
 def test_crop_quads_with_perspective_lead_back(spark):
     names = {"width": "width", "height": "height", "angle": "angle", "shear": "shear", "tilt_v": "tv", "tilt_h": "th", "focal": "focal"}
     rows = [(600, 400, 0.2, 0.05, 6.0, -4.0, 35, 0.2, 0.3, 0.4, 0.5), (600, 400, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 1.0, 1.0)]
