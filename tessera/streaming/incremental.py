@@ -45,10 +45,20 @@ def latest_per_user(spark: SparkSession, path: str, root: str | None = None, buc
     return snapshots.snapshot(spark, root, schema).select("user_id", F.col("last.event_id").alias("event_id"), "n")
 
 
-def first_seen(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Each combination of keys once, by the stream's own state."""
+def first_seen(spark: SparkSession, path: str, keys: list[str], time: str | None = None, delay: str = "1 day", files_a_batch: int = 8) -> DataFrame:
+    """Each combination of keys once, by the stream's own state.
+
+    Without ``time`` the state holds every combination there has been, and a repeat is told however late it comes. With it a combination leaves
+    the state at the end of the batch in which the stream's time has passed it by ``delay``: repeats within ``delay`` of the first are always told,
+    those of batches after that one count as new.
+    """
     target = new_folder(spark, "seen")
-    seen = file_stream(spark, path).select(*keys).dropDuplicates(keys)
+    rows = file_stream(spark, path, files_a_batch)
+    if time is None:
+        seen = rows.select(*keys).dropDuplicates(keys)
+    else:
+        own = rows.select(*keys, F.col(time).cast("timestamp").alias("__time"))
+        seen = own.withWatermark("__time", delay).dropDuplicatesWithinWatermark(keys).select(*keys)
     query = seen.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(seen.schema).parquet(target)

@@ -242,6 +242,15 @@ def test_streams_equal_batches_over_several_files(spark, tmp_path):
     assert incremental.first_seen(spark, path, ["user_id", "event_type"]).count() == events.select("user_id", "event_type").distinct().count()
 
 
+def test_first_seen_forgets_what_time_has_passed(spark, tmp_path):
+    """Repeats within the day, and in the batch that lets a key go, are told; one after that batch is new. Without a time it is told too."""
+    path, day = f"{tmp_path}/rows", 86_400
+    for rows in ([("a", 0)], [("a", 600), ("b", 3 * day)], [("a", 3 * day + 60), ("b", 3 * day + 90), (None, 3 * day)], [("a", 3 * day + 120)]):
+        spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    seen = lambda *args: sorted((r.k or "-") for r in incremental.first_seen(spark, path, ["k"], *args, files_a_batch=1).collect())
+    assert seen("ts", "1 day") == ["-", "a", "a", "b"] and seen() == ["-", "a", "b"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m/x").mkdir(parents=True)
     for name in ("m/a.JPG", "m/x/b.arw", "m/x/c.txt"):
