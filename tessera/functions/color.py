@@ -30,6 +30,12 @@ KELVIN_TABLE = (
 )
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded by the product with a power of ten, halves away from zero, as DuckDB does; ``F.round`` rounds the decimal text of the float."""
+    scale = 10.0**digits
+    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+
+
 def _white_cones() -> list[float]:
     x, y = D65
     return [r[0] * x / y + r[1] + r[2] * (1 - x - y) / y for r in BRADFORD]

@@ -116,14 +116,16 @@ def cube_lookup(spark: SparkSession, sf: str) -> DataFrame:
     for c in ("ri", "gi", "bi"):
         nodes = nodes.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias(c))
     r, g, b = (F.col(c) / (F.col("size") - 1) for c in ("ri", "gi", "bi"))
-    cells = cubes.cube_cells(nodes.select("profile", "size", "ri", "gi", "bi", (r * r).alias("r"), (g * (1 - b / 2)).alias("g"), F.when(F.col("vivid"), b).otherwise(F.sqrt(b)).alias("b")), ["profile"])
+    # the SQL's factors are kept apart and rounded as it does: results stand on halves of the last digit, where the last bit decides
+    colour = {"r": r, "g": g, "b": F.when(F.col("vivid"), b).otherwise(F.sqrt(b)), "gr": r, "gg": 1 - b / 2, "gb": F.lit(1.0)}
+    cells = cubes.cube_cells(nodes.select("profile", "size", "ri", "gi", "bi", *[v.alias(n) for n, v in colour.items()]), ["profile"], gains=("gr", "gg", "gb"))
     k = F.col("event_id")
     camera = F.concat(F.lit("cam"), (F.col("user_id") % 6).cast("string"))
     pixels = T(spark, sf, "events").select("event_id", (F.col("value") / 250 - 0.1).alias("r"), (k % 89 / 88.0).alias("g"), (k % 83 / 82.0).alias("b"), (k % 5 * 0.25).alias("share"), camera.alias("camera"), F.when(k % 4 == 0, F.concat(camera, F.lit("/vivid"))).alias("own"))
     known = plain.union(vivid).select("profile")
     told = pixels.join(known.select(F.col("profile").alias("own"), F.col("profile").alias("styled")), "own", "left").withColumn("profile", F.coalesce("styled", "camera")).drop("own", "styled", "camera")
-    out = cubes.with_cube(told, cells, ["profile"], blend="share")
-    return out.select("event_id", *[(F.round(f"out_{c}", 6) + 0.0).alias(f"out_{c}") for c in "rgb"])
+    out = cubes.with_cube(told, cells, ["profile"], blend="share", gained=True)
+    return out.select("event_id", *[(color.rounded(F.col(f"out_{c}"), 6) + 0.0).alias(f"out_{c}") for c in "rgb"])
 
 
 @query("nearest_place", f"""

@@ -7,12 +7,14 @@ import re
 import struct
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cubes, optics
 from tessera.operators import boxes, gazetteer, hierarchy, mutations
+from tessera.plans import media
 from tessera.plans.media import tiff_file
 from tessera.sources import tags
 
@@ -138,6 +140,14 @@ def test_nodes_of_a_cube_reproduce_themselves(spark):
     assert len(got) == len(pixels)
 
 
+def test_cube_lookup_equals_sql_in_the_last_digit(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.execute(media.CUBE_SQL).fetchall()
+    assert sorted(map(tuple, media.cube_lookup(spark, sf).collect())) == sorted(want)
+
+
 def test_nearest_place_at_poles_and_date_line(spark):
     rng = np.random.default_rng(4)
     points = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 200), rng.uniform(-180, 180, 200), strict=True))]
