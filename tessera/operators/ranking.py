@@ -71,7 +71,12 @@ def greedy_nms(boxes: DataFrame, group: str, most: float = 0.4) -> DataFrame:
 def best_overlap(boxes: DataFrame, known: DataFrame, image: list[str], key: str, other: str, sides: tuple[str, ...], least: float) -> DataFrame:
     """(key, other, overlap): for each box the known box of the same image with the most overlap over the smaller of both, above ``least``; equal ones to the smaller number.
 
-    Boxes meet only within their image, so pairs grow with the images, not with all boxes of a person. Boxes without a match are left out; null images match nothing.
+    Equal boxes of an image are met once, known ones by their smallest number, and the answer goes to all boxes of the class by an equi join: pairs grow with the
+    different boxes of an image, not with its copies. Boxes without a match are left out; null images match nothing.
     """
-    pairs = boxes.join(known, image).select(key, other, geo.overlap(*[F.col(c) for c in sides]).alias("__o")).where(F.col("__o") > least)
-    return pairs.groupBy(key).agg(F.max_by(other, F.struct(F.round("__o", 6), -F.col(other))).alias(other), F.max(F.round("__o", 6)).alias("overlap"))
+    mine, theirs = [*image, *sides[:4]], [*image, *sides[4:]]
+    classes = known.groupBy(*theirs).agg(F.min(other).alias(other))
+    pairs = boxes.select(*mine).distinct().join(classes, image).select(*mine, other, geo.overlap(*[F.col(c) for c in sides]).alias("__o")).where(F.col("__o") > least)
+    best = pairs.groupBy(*mine).agg(F.max_by(other, F.struct(F.round("__o", 6), -F.col(other))).alias(other), F.max(F.round("__o", 6)).alias("overlap"))
+    told = boxes.join(best, mine)  # a key may stand at several boxes
+    return told.groupBy(key).agg(F.max_by(other, F.struct("overlap", -F.col(other))).alias(other), F.max("overlap").alias("overlap"))

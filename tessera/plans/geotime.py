@@ -97,22 +97,20 @@ def box_iou(spark: SparkSession, sf: str) -> DataFrame:
     return boxes.select("event_id", F.round(geo.iou(*cols), 6).alias("iou"), F.round(geo.overlap(*cols), 6).alias("overlap"))
 
 
-SHOT = 40  # events of a user whose numbers share this many stand for one image's boxes
 MATCH = f"""
-WITH a AS (SELECT event_id, user_id, event_id // {SHOT} AS shot, {box_sql('event_id', 'a', 0)} FROM events WHERE event_type IN ('click', 'purchase')),
-b AS (SELECT event_id AS other_id, user_id, event_id // {SHOT} AS shot, {box_sql('event_id', 'c', 57)} FROM events WHERE event_type NOT IN ('click', 'purchase')),
-o AS (SELECT event_id, other_id, ({BOTH}) / least(aw * ah, cw * ch) AS o FROM a JOIN b USING (user_id, shot))
+WITH a AS (SELECT event_id, user_id, {box_sql('event_id', 'a', 0)} FROM events WHERE event_type IN ('click', 'purchase')), b AS (SELECT event_id AS other_id, user_id, {box_sql('event_id', 'c', 57)} FROM events WHERE event_type NOT IN ('click', 'purchase')),
+o AS (SELECT event_id, other_id, ({BOTH}) / least(aw * ah, cw * ch) AS o FROM a JOIN b USING (user_id))
 SELECT event_id, max_by(other_id, (round(o, 6), -other_id)) AS other_id, max(round(o, 6)) AS overlap FROM o WHERE o > 0.5 GROUP BY 1"""
 
 
 @query("box_best_match", MATCH)
 def box_best_match(spark: SparkSession, sf: str) -> DataFrame:
-    """New boxes against those known for the same image."""
-    events = T(spark, sf, "events").withColumn("shot", F.floor(F.col("event_id") / SHOT))
+    """New boxes against all those known of the same user."""
+    events = T(spark, sf, "events")
     own = F.col("event_type").isin("click", "purchase")
-    a = with_box(events.where(own).select("event_id", "user_id", "shot"), "event_id", "a", 0)
-    b = with_box(events.where(~own).select("event_id", "user_id", "shot"), "event_id", "c", 57).withColumnRenamed("event_id", "other_id")
-    return ranking.best_overlap(a, b, ["user_id", "shot"], "event_id", "other_id", BOXES, 0.5)
+    a = with_box(events.where(own).select("event_id", "user_id"), "event_id", "a", 0)
+    b = with_box(events.where(~own).select("event_id", "user_id"), "event_id", "c", 57).withColumnRenamed("event_id", "other_id")
+    return ranking.best_overlap(a, b, ["user_id"], "event_id", "other_id", BOXES, 0.5)
 
 
 @query("area_topk", f"WITH b AS (SELECT event_id, user_id, {box_sql('event_id', '', 0)} FROM events), r AS (SELECT user_id, event_id, round(w * h, 6) AS area, row_number() OVER (PARTITION BY user_id ORDER BY round(w * h, 6) DESC, event_id) AS rn FROM b) SELECT * FROM r WHERE rn <= 3")

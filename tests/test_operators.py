@@ -210,6 +210,25 @@ def test_nms_keeps_the_best_of_overlapping(spark):
     assert sorted(r.id for r in got.collect()) == [1, 3, 4]
 
 
+def test_best_overlap_among_all_boxes_of_an_image(spark):
+    rng = np.random.default_rng(8)
+    side = lambda: [float(v) for v in rng.integers(1, 4, 4) / 4]
+    a, b = [(i, ["p", "q", None][i % 3], *side()) for i in range(90)], [(i * 100, ["p", "q", None][i % 3], *side()) for i in range(90)]
+    a += [(0, "q", *side()), (7000, "p", None, 0.1, 0.1, 0.1), (7001, "p", 0.1, 0.1, 0.0, 0.0), (7002, "none", *side())]
+    kind = "{0} long, i string, {1}x double, {1}y double, {1}w double, {1}h double"
+    got = ranking.best_overlap(spark.createDataFrame(a, kind.format("k", "a")), spark.createDataFrame(b, kind.format("o", "c")), ["i"], "k", "o", ("ax", "ay", "aw", "ah", "cx", "cy", "cw", "ch"), 0.5)
+    want = {}
+    for k, i, x, y, w, h in a:
+        for o, j, *c in b:
+            if i is None or i != j or x is None or not w * h:
+                continue
+            both = max(0, min(x + w, c[0] + c[2]) - max(x, c[0])) * max(0, min(y + h, c[1] + c[3]) - max(y, c[1]))
+            part = both / min(w * h, c[2] * c[3])
+            if part > 0.5:
+                want[k] = max(want.get(k, (0, 0)), (round(part, 6), -o))
+    assert {r["k"]: (r["overlap"], -r["o"]) for r in got.collect()} == want and len(want) > 30 and got.count() == len(want)
+
+
 def test_sigma_clipping_ignores_outliers(spark):
     rows = spark.range(1000).select((F.col("id") % 50).cast("double").alias("x"), F.lit(1.0).alias("one"))
     rows = rows.withColumn("y", 3 * F.col("x") + 2 + F.when(F.col("x") == 7, 500.0).otherwise(0.0))

@@ -40,6 +40,11 @@ def test_nms_greedy(spark):
     assert sorted(got) == sorted(want) and 0 < len(got) < 1000
 
 
+def test_box_best_match_meets_all_boxes_of_a_user(spark):
+    found = catalogue.queries()["box_best_match"](spark, SF).select("event_id", "other_id").collect()
+    assert any(a // 40 != b // 40 for a, b in found)
+
+
 def test_sigma_clip_fit(spark):
     y, q = np.array(table("lineitem", "l_extendedprice::DOUBLE, l_quantity::DOUBLE"), dtype=float).T
     x = np.stack([np.ones_like(q), q, q * q / 50], 1)
