@@ -49,23 +49,16 @@ def limit_with_total(df: DataFrame, order: list[Column | str], n: int) -> DataFr
 def greedy_nms(boxes: DataFrame, group: str, most: float = 0.4) -> DataFrame:
     """Of each group's boxes (x, y, w, h, score, id), by falling score, those that overlap no kept one by an IoU over ``most``.
 
-    A group is one image's detections, which a detector bounds.
+    One shuffle gathers a group's rows in an array, which is folded in order: rows without a score come last, equal scores by id; a box with an unknown side
+    overlaps nothing. A group is one image's detections, which a detector bounds; many small groups cost no more than few large ones.
     """
-    import numpy as np
-    import pandas as pd
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        x, y, w, h = (rows[c].to_numpy(dtype=float) for c in "xywh")
-        live = np.ones(len(rows), dtype=bool)
-        for i in range(len(rows)):
-            if live[i]:
-                both = np.clip(np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x), 0, None) * np.clip(np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y), 0, None)
-                union = w[i] * h[i] + w * h - both
-                live &= ~((np.where(union > 0, both / np.where(union > 0, union, 1), 0) > most) & (np.arange(len(rows)) > i))
-        return rows[live]
-
-    return boxes.groupBy(group).applyInPandas(keep, boxes.schema)
+    side = lambda box: [F.coalesce(box["row"][c].cast("double"), F.lit(float("nan"))) for c in "xywh"]
+    over = lambda one, box: F.nanvl(geo.iou(*side(one), *side(box)), F.lit(0.0)) > most
+    none = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    rank = F.struct(none("score").alias("a"), F.when(~none("score"), -F.col("score")).alias("b"), F.col("id").isNull().alias("c"), F.col("id").alias("d"), F.struct(*boxes.columns).alias("row"))
+    sets = boxes.select(F.col(group).alias("__group"), rank.alias("__r")).groupBy("__group").agg(F.array_sort(F.collect_list("__r")).alias("__r"))
+    kept = F.aggregate("__r", F.slice("__r", 1, 0), lambda held, box: F.when(F.exists(held, lambda one: over(one, box)), held).otherwise(F.concat(held, F.array(box))))
+    return sets.select(F.explode(kept).alias("__k")).select("__k.row.*")
 
 
 def best_overlap(boxes: DataFrame, known: DataFrame, image: list[str], key: str, other: str, sides: tuple[str, ...], least: float) -> DataFrame:

@@ -210,6 +210,16 @@ def test_nms_keeps_the_best_of_overlapping(spark):
     assert sorted(r.id for r in got.collect()) == [1, 3, 4]
 
 
+def test_nms_of_awkward_rows_needs_no_python_for_a_group(spark):
+    nan = float("nan")
+    rows = [("a", 1, nan, 0.0, 0.0, 1.0, 1.0), ("a", 2, None, 0.0, 0.0, 1.0, 1.0), ("a", 3, 0.5, 0.0, 0.0, 1.0, 1.0), ("a", 4, 0.9, None, 0.0, 1.0, 1.0), ("a", 5, 0.9, nan, 0.0, 1.0, 1.0)]
+    rows += [(None, 6, 0.1, 0.0, 0.0, 1.0, 1.0), (None, 7, 0.1, 0.0, 0.0, 1.0, 1.0), ("b", 8, 0.3, 0.0, 0.0, 0.0, 1.0), ("b", 9, 0.3, 0.0, 0.0, 0.0, 1.0), ("c", 10, nan, 0.0, 0.0, 1.0, 1.0), ("c", 11, None, 0.0, 0.0, 1.0, 1.0)]
+    found = ranking.greedy_nms(spark.createDataFrame(rows, "g string, id int, score double, x double, y double, w double, h double"), "g")
+    assert sorted(r.id for r in found.collect()) == [3, 4, 5, 6, 8, 9, 10]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_best_overlap_among_all_boxes_of_an_image(spark):
     rng = np.random.default_rng(8)
     side = lambda: [float(v) for v in rng.integers(1, 4, 4) / 4]
