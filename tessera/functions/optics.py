@@ -9,14 +9,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from tessera.workspace import spread
 
 #: Places of eyes, nose and corners of the mouth in an aligned face of 112 by 112.
 FACE_TEMPLATE = ((38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041))
 FOCAL = 28.0  # millimetres at full frame, where a photo has none
 LEAST_DEPTH = 0.001
 LUMA = (0.2126, 0.7152, 0.0722)
+TABLE_ROWS = 1 << 16
 
 
 def _focal(mm: Column) -> tuple[Column, Column]:
@@ -107,33 +112,77 @@ def crop_centre(src: Column, at: Column, size: Column, scale: Column) -> tuple[C
     return out, at * scale + (out - 1) * 0.5
 
 
-def interpolated(x: Column, knots: str, values: str) -> Column:
-    """Piecewise linear over arrays of ascending knots and their values, constant beyond the ends."""
-    k, v = F.col(knots), F.col(values)
-    last = F.least(F.size(k), F.size(v))
-    at = F.size(F.filter(F.slice(k, 1, last), lambda edge: edge < x))  # knots below x
-    low, high = F.get(k, at - 1), F.get(k, at)
-    inside = F.get(v, at - 1) + (x - low) / (high - low) * (F.get(v, at) - F.get(v, at - 1))
-    return F.when(at <= 0, F.get(v, F.lit(0))).when(at >= last, F.get(v, last - 1)).otherwise(inside)
+def _interpolated(x: np.ndarray, knots: list | None, values: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether null), piecewise linear over ascending knots and their values, constant beyond the ends; null without knots or values."""
+    last = 0 if knots is None or values is None else min(len(knots), len(values))
+    if not last:
+        return np.zeros(len(x)), np.ones(len(x), dtype=bool)
+    k, v = (np.array(c[:last], dtype=float) for c in (knots, values))
+    at = np.where(np.isnan(x), last, (k[:, None] < x).sum(0))  # knots below x
+    high = np.clip(at, 1, max(1, last - 1)) if last > 1 else np.zeros(len(x), dtype=int)
+    low = np.maximum(high - 1, 0)
+    with np.errstate(all="ignore"):
+        inside = v[low] + (x - k[low]) / (k[high] - k[low]) * (v[high] - v[low])
+    found = np.where(at <= 0, v[0], np.where(at >= last, v[-1], inside))
+    if None not in knots[:last] and None not in values[:last]:
+        return found, np.zeros(len(x), dtype=bool)
+    gone, lost = (np.array([e is None for e in c[:last]]) for c in (values, knots))
+    return found, np.where(at <= 0, gone[0], np.where(at >= last, gone[-1], gone[low] | gone[high] | lost[low] | lost[high]))
+
+
+def _tables(lenses: DataFrame, key: str, columns: list[str], places: dict[str, np.ndarray], values: str, table: Callable) -> DataFrame:
+    """(key, places, values) for each lens: ``table`` gives from its ``columns`` an array and its nulls for each of ``values``, one entry for each of the places.
+
+    Lenses are dealt to all tasks, each table is one numpy call, and rows leave in batches of some ``TABLE_ROWS``.
+    """
+    size = len(next(iter(places.values())))
+    step = max(1, TABLE_ROWS // size)
+    rows = spread(lenses.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)]))
+    names = ["key", *places, *values.split()]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                tables = [table(*row) for row in zip(*[part.column(i + 1).to_pylist() for i in range(len(columns))], strict=True)]
+                found = [pa.array(np.concatenate([t[j][0] for t in tables]), mask=np.concatenate([t[j][1] for t in tables])) for j in range(len(names) - 1 - len(places))]
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), size)))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(np.tile(p.astype(np.int32), part.num_rows)) for p in places.values()], *found], names=names)
+
+    kind = StructType([StructField("key", lenses.schema[key].dataType), *[StructField(n, IntegerType()) for n in places], *[StructField(n, DoubleType()) for n in values.split()]])
+    return rows.mapInArrow(made, kind).withColumnRenamed("key", key)
 
 
 def distortion_table(lenses: DataFrame, key: str, knots: str, distortion: str, red: str, blue: str, size: int = 512) -> DataFrame:
     """(key, i, r, g, b): ``size`` factors of each colour along the radius; a null red or blue has none of its own."""
-    steps = lenses.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"))
-    steps = steps.withColumn("__r", F.col("i") / float(size - 1)).withColumn("__d", interpolated(F.col("__r"), knots, distortion))
-    own = lambda c: F.when(F.col(red).isNotNull() & F.col(blue).isNotNull(), F.col("__d") * interpolated(F.col("__r"), knots, c)).otherwise(F.col("__d"))
-    return steps.select(key, "i", own(red).alias("r"), F.col("__d").alias("g"), own(blue).alias("b"))
+    i = np.arange(size)
+    radius = i / float(size - 1)
+
+    def table(k, d, r, b):
+        base, none = _interpolated(radius, k, d)
+        own = []
+        for c in (r, b):
+            factor, gone = _interpolated(radius, k, c) if r is not None and b is not None else (1.0, False)
+            own.append((base * factor, none | gone))
+        return own[0], (base, none), own[1]
+
+    return _tables(lenses, key, [knots, distortion, red, blue], {"i": i}, "r g b", table)
 
 
 def vignetting_map(lenses: DataFrame, key: str, width: str, height: str, knots: str, vignetting: str, size: int = 64) -> DataFrame:
     """(key, y, x, gain): one over the correction at each cell's middle, the correction at least 0.01."""
-    side = F.sequence(F.lit(0), F.lit(size - 1))
-    cells = lenses.select("*", F.explode(side).alias("y")).select("*", F.explode(side).alias("x"))
-    cx, cy = (F.col(width) - 1) * 0.5, (F.col(height) - 1) * 0.5
-    px = (F.col("x") + 0.5) / size * (F.col(width) - 1) - cx
-    py = (F.col("y") + 0.5) / size * (F.col(height) - 1) - cy
-    placed = cells.withColumn("__r", F.sqrt(px * px + py * py) / F.sqrt(cx * cx + cy * cy))
-    return placed.select(key, "y", "x", (1.0 / F.greatest(interpolated(F.col("__r"), knots, vignetting), F.lit(0.01))).alias("gain"))
+    y, x = (c.ravel() for c in np.mgrid[0:size, 0:size])
+
+    def table(w, h, k, v):
+        if w is None or h is None:
+            return ((np.zeros(size * size), np.ones(size * size, dtype=bool)),)
+        cx, cy = (w - 1) * 0.5, (h - 1) * 0.5
+        px, py = (x + 0.5) / size * (w - 1) - cx, (y + 0.5) / size * (h - 1) - cy
+        with np.errstate(all="ignore"):
+            return (_interpolated(np.sqrt(px * px + py * py) / np.sqrt(cx * cx + cy * cy), k, v),)
+
+    cells = _tables(lenses, key, [width, height, knots, vignetting], {"y": y, "x": x}, "gain", table)
+    return cells.withColumn("gain", 1.0 / F.greatest("gain", F.lit(0.01)))
 
 
 def auto_scale(df: DataFrame, out: str = "scale", steps: int = 20, most: float = 1.5) -> DataFrame:

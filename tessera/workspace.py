@@ -53,3 +53,9 @@ def removed(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as the session shuffles to or has cores for: a small file is else one task, however much is made of a row."""
+    spark = df.sparkSession
+    return df.repartition(max(partitions(spark), spark.sparkContext.defaultParallelism))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cubes, optics
 from tessera.operators import boxes, gazetteer, hierarchy, mutations
-from tessera.plans import media
+from tessera.plans import catalogue, media
 from tessera.plans.media import tiff_file
 from tessera.sources import tags
 
@@ -197,3 +197,19 @@ def test_inverses_and_gains(spark):
     maps = spark.createDataFrame([((2, 2, 1, [1.0, 2.0, 3.0, 5.0]),), ((1, 2, 3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]),), (None,)], "g struct<rows:int,cols:int,planes:int,data:array<double>>")
     at = lambda x, y, c: [r[0] for r in maps.select(optics.gain_at(F.col("g"), F.lit(x), F.lit(y), F.lit(11), F.lit(5), c)).collect()]
     assert at(0, 0, 2) == [1.0, 3.0, None] and at(10, 4, 1) == [5.0, 5.0, None] and at(5, 2, 0) == [2.75, 2.5, None]
+
+
+@pytest.mark.parametrize("name", ["distortion_lut", "vignetting_lut", "exif_tags"])
+def test_few_rows_of_much_work_reach_all_tasks(spark, name):
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_lens_tables_of_awkward_lenses(spark):
+    rows = [("a", [0.0, 0.5, 1.0], [1.0, 2.0, 4.0], [1.0, 1.0, 2.0], [1.0, 1.0, 1.0]), ("b", [0.25], [3.0], None, [1.0]), ("c", None, [1.0], None, None), ("d", [0.0, 0.5, 1.0], [1.0, None, 4.0], None, None), (None, [], [], None, None)]
+    df = spark.createDataFrame(rows, "k string, n array<double>, d array<double>, r array<double>, b array<double>").withColumns({"w": F.lit(7), "h": F.lit(5)})
+    got = {(r["k"], r["i"]): (r["r"], r["g"], r["b"]) for r in optics.distortion_table(df, "k", "n", "d", "r", "b", size=5).collect()}
+    assert [got["a", i] for i in range(5)] == [(1.0, 1.0, 1.0), (1.5, 1.5, 1.5), (2.0, 2.0, 2.0), (4.5, 3.0, 3.0), (8.0, 4.0, 4.0)]
+    assert {got["b", i] for i in range(5)} == {(3.0,) * 3} and {got[k, i] for k in ("c", None) for i in range(5)} == {(None,) * 3}
+    assert [got["d", i][1] for i in range(5)] == [1.0, None, None, None, None] and len(got) == 25
+    gains = {(r["k"], r["y"], r["x"]): r["gain"] for r in optics.vignetting_map(df, "k", "w", "h", "n", "d", size=2).collect()}
+    assert gains["a", 0, 0] == gains["a", 1, 1] == pytest.approx(1 / 2) and gains["c", 0, 1] == pytest.approx(100.0) and len(gains) == 20
