@@ -13,6 +13,7 @@ from tessera.functions import color, cubes, optics
 from tessera.operators import boxes, gazetteer, mutations
 from tessera.session import table as T
 from tessera.sources import tags
+from tessera.workspace import spread
 
 from .catalogue import query
 from .common import gps_sql, with_gps
@@ -70,7 +71,8 @@ SELECT p_partkey, CASE WHEN ok THEN p_brand END AS make, CASE WHEN ok THEN p_nam
 FROM p""")
 def exif_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Shooting data read back from the bytes of one file for each part."""
-    files = T(spark, sf, "part").select("p_partkey", _files("p_partkey", "p_brand", "p_name", "p_type", "p_size", F.round(F.col("p_retailprice") * 100).cast("long")).alias("content"))
+    parts = spread(T(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size", "p_retailprice"))
+    files = parts.select("p_partkey", _files("p_partkey", "p_brand", "p_name", "p_type", "p_size", F.round(F.col("p_retailprice") * 100).cast("long")).alias("content"))
     told = tags.with_tags(files).select("p_partkey", "tags.*")
     near = lambda c: (F.round(c, 6) + 0.0).alias(c)
     return told.select("p_partkey", F.col("camera_make").alias("make"), F.col("camera").alias("model"), "lens", "orientation", "exposure_time", "iso", near("exposure_bias"), near("focal_length"), "width", "height", "white_balance", near("latitude"), near("longitude"), near("altitude"))
