@@ -34,6 +34,7 @@ WORD[[32, 9]] = False
 SHARD_WORDS = 2 << 20
 HELD_WORDS = 4 << 20  # of all languages that a task gathers at once
 ROWS = 1 << 14
+PART_WORDS = 1 << 18  # of which pairs are looked up at once
 KNOWN_MOST = 8 << 20  # hashes that are broadcast: 64 MB
 SALTS = 16
 NO_LANG = "und"
@@ -60,7 +61,7 @@ def _packed(ids: np.ndarray) -> bytes:
 
 def _unpacked(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,31 +104,45 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def room(ids: np.ndarray) -> np.ndarray:
     """From each place, the words up to the next break (0)."""
-    ends = np.append(np.flatnonzero(ids == 0), len(ids))
-    return ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids))
+    ends = np.append(np.flatnonzero(ids == 0), len(ids)).astype(np.int32)
+    sizes = np.diff(ends, prepend=np.int32(-1))
+    sizes[-1] -= 1  # the end is no place
+    return np.repeat(ends, sizes) - np.arange(len(ids), dtype=np.int32)
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the different ones, as ``np.unique`` gives it, in less memory."""
+    order = np.argsort(keys)
+    new = np.zeros(len(keys), dtype=bool)
+    if len(keys):
+        np.not_equal(keys[order[1:]], keys[order[:-1]], out=new[1:])
+    ranks = np.empty(len(keys), dtype=np.int32)
+    ranks[order] = np.cumsum(new, dtype=np.int32)
+    return ranks
 
 
 def suffix_array(ids: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(places with at least ``least`` words before the next break, in the order of their first ``most`` words; words that each shares with the one before, ``most`` at most).
 
-    Prefix doubling: the rank of the first 2h words comes from the ranks of the h words here and of the h words after them.
+    Prefix doubling: the rank of the first 2h words comes from the ranks of the h words here and of the h words after them. A shard is short enough for 32 bits.
     """
+    ids = ids.astype(np.int32, copy=False)
     left = room(ids)
-    at = np.flatnonzero(left >= least)
     rank, h = ids, 1
     while h < most:
         step = min(h, most - h)  # the last step may overlap the words before it
-        after = np.zeros_like(rank)
-        after[:-step] = rank[step:]
-        after[left < step] = 0
-        _, rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)
+        keys = rank * np.int64(int(rank.max(initial=0)) + 1)
+        keys[:-step] += np.where(left[:-step] < step, 0, rank[step:])
+        rank = _ranks(keys)
+        del keys
         h += step
+    at = np.flatnonzero(left >= least).astype(np.int32)
     order = at[np.argsort(rank[at], kind="stable")]
-    shared = np.zeros(len(order), dtype=np.int64)
+    del at, rank
+    shared = np.zeros(len(order), dtype=np.int8 if most < 128 else np.int32)
     same = np.ones(max(0, len(order) - 1), dtype=bool)
     for j in range(most):
-        inside = np.minimum(order + j, len(ids) - 1)
-        word = np.where(left[order] > j, ids[inside], 0)
+        word = np.where(left[order] > j, ids[np.minimum(order + np.int32(j), np.int32(len(ids) - 1))], 0)
         same &= (word[1:] == word[:-1]) & (word[1:] > 0)
         shared[1:] += same
     return order, shared
@@ -168,13 +183,17 @@ def _broken(ids: np.ndarray, good: np.ndarray) -> np.ndarray:
 
 
 def _known_by_hash(lang: str, ids: np.ndarray, words: pa.Array, known: np.ndarray) -> np.ndarray:
-    hashes = np.append(U64(0), _word_hashes(words))[ids]
-    own = _pair_hashes(_word_hashes(pa.array([lang])), hashes[:-1], hashes[1:]).astype(np.int64)
-    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), dtype=bool)
+    table, of = np.append(U64(0), _word_hashes(words)), _word_hashes(pa.array([lang]))
+    good = np.zeros(max(0, len(ids) - 1), dtype=bool)
+    for k in range(0, len(good) if len(known) else 0, PART_WORDS):
+        hashes = table[ids[k : k + PART_WORDS + 1]]
+        own = _pair_hashes(of, hashes[:-1], hashes[1:]).astype(np.int64)
+        good[k : k + PART_WORDS] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+    return good
 
 
 def _known_by_code(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return np.isin(ids[:-1] << 32 | ids[1:], known)
+    return np.isin(ids[:-1].astype(np.int64) << 32 | ids[1:], known)
 
 
 GRAMS = "lang string, phrase string, length int, count long"
@@ -190,7 +209,7 @@ def _rows(shard: int, lang: str, ids: np.ndarray, words: pa.Array, least: int, m
             each = lambda value, kind: pa.repeat(pa.scalar(value, kind), len(at))  # noqa: B023, E731
             columns = {"lang": each(lang, pa.string()), "phrase": phrase, "length": each(length, pa.int32()), "count": pa.array(counts[k : k + ROWS])}
             if placed:
-                columns |= {"shard": each(shard, pa.int64()), "code": pa.array(ids[at] << 32 | ids[at + 1])}
+                columns |= {"shard": each(shard, pa.int64()), "code": pa.array(ids[at].astype(np.int64) << 32 | ids[at + 1])}
             yield pa.RecordBatch.from_pydict(columns)
 
 
