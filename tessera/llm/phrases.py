@@ -4,8 +4,10 @@
    numbers stand for. Counts of words are merged over all shards.
 2. A shard's suffixes are sorted by prefix doubling; neighbours that share their first words (the intervals of the array of common
    prefixes) are the occurrences of one n-gram. Counts of word pairs are merged by key.
-3. Only frequent pairs can be part of a frequent longer phrase: shards break at all others and give the counts of their longer
-   n-grams, which are merged in the same way.
+3. Only frequent pairs can be part of a frequent longer phrase: shards break at all others, and what is left of them, the runs of
+   three and more words, is gathered by language into fewer shards.
+4. Counts of the longer n-grams of these are first summed in hashed buckets. Only n-grams whose bucket holds enough are spelt out and
+   merged as the pairs are: a bucket holds all occurrences of its n-grams, so no frequent one is left out, and of the rare ones few are made.
 
 Keys are the words themselves. Shards know the frequent pairs by a broadcast array of 64-bit hashes of at most ``KNOWN_MOST`` (two pairs of one
 hash only mean a break less). Where there are more, each shard is told by a join which of its own pairs are frequent.
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.workspace import written
+from tessera.workspace import partitions, written
 
 from .textkit import U64, blocks, folded, mix, span_hashes, spans
 
@@ -36,6 +38,9 @@ HELD_WORDS = 4 << 20  # of all languages that a task gathers at once
 ROWS = 1 << 14
 PART_WORDS = 1 << 18  # of which pairs are looked up at once
 KNOWN_MOST = 8 << 20  # hashes that are broadcast: 64 MB
+GROUP_WORDS = 8 << 20  # of a language's shards whose runs are gathered together
+BUCKETS = (20, 28)  # bits of the number of buckets, at least and at most: 32 MB are broadcast; more n-grams only share more buckets
+PART_BITS = 18  # of the buckets that are summed together
 SALTS = 16
 NO_LANG = "und"
 SHARDS = "shard long, lang string, n long, ids binary, words array<string>, counts array<long>"
@@ -200,9 +205,9 @@ GRAMS = "lang string, phrase string, length int, count long"
 PLACED = f"{GRAMS}, shard long, code long"
 
 
-def _rows(shard: int, lang: str, ids: np.ndarray, words: pa.Array, least: int, most: int, placed: bool = False) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams of a shard; ``placed`` adds the shard and the numbers of the first two words."""
-    for length, places, counts in ngram_counts(ids, least, most):
+def _rows(shard: int, lang: str, ids: np.ndarray, words: pa.Array, grams: Iterator[tuple[int, np.ndarray, np.ndarray]], placed: bool = False) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams of a shard; ``placed`` adds the shard and the numbers of the first two words."""
+    for length, places, counts in grams:
         for k in range(0, len(places), ROWS):
             at = places[k : k + ROWS]
             phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at + j] - 1)) for j in range(length)], " ")
@@ -223,28 +228,143 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndar
 
 def _pairs(batches: Iterator[pa.RecordBatch], placed: bool = False) -> Iterator[pa.RecordBatch]:
     for shard, lang, ids, words, _ in _each(batches):
-        yield from _rows(shard, lang, ids, words, 2, 2, placed)
+        yield from _rows(shard, lang, ids, words, ngram_counts(ids, 2, 2), placed)
 
 
-def _longer(shards: DataFrame, two: DataFrame, longest: int) -> DataFrame:
-    """Counts of the n-grams of three and more words whose pairs are all frequent, by shard."""
+def _long_runs(ids: np.ndarray, words: pa.Array, least: int = 3) -> tuple[np.ndarray, pa.Array]:
+    """The runs of at least ``least`` words, and the words in them."""
+    sizes = np.diff(np.append(np.flatnonzero(ids == 0), len(ids)), prepend=-1)  # with the break after each
+    kept = np.append(ids, 0)[np.repeat(sizes > least, sizes)]
+    used = np.zeros(len(words) + 1, dtype=bool)
+    used[kept] = True
+    used[0] = False
+    return np.cumsum(used, dtype=np.int32)[kept], words.filter(pa.array(used[1:]))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of one language as one, up to ``SHARD_WORDS``."""
+    held: dict[str, list[tuple[np.ndarray, pa.Array]]] = {}
+    sizes: dict[str, int] = {}
+    task, made = TaskContext.get().partitionId(), 0
+
+    def flush(lang: str) -> pa.RecordBatch:
+        nonlocal made
+        parts = held.pop(lang)
+        del sizes[lang]
+        coded = pa.concat_arrays([words for _, words in parts]).dictionary_encode()
+        numbers = coded.indices.to_numpy(zero_copy_only=False) + np.int32(1)
+        ends = np.cumsum([len(words) for _, words in parts])
+        ids = np.concatenate([np.append(np.int32(0), numbers[end - len(words) : end])[own] for (own, words), end in zip(parts, ends, strict=True)])
+        made += 1
+        return _run_batch(task << 32 | made, lang, ids, coded.dictionary)
+
+    for _, lang, ids, words, _ in _each(batches):
+        if lang in held and sizes[lang] + len(ids) > SHARD_WORDS:
+            yield flush(lang)
+        held.setdefault(lang, []).append((ids, words))
+        sizes[lang] = sizes.get(lang, 0) + len(ids)
+        while sum(sizes.values()) >= HELD_WORDS:
+            yield flush(max(sizes, key=sizes.get))
+    for lang in sorted(held):
+        yield flush(lang)
+
+
+RUNS = "shard long, lang string, n long, ids binary, words array<string>"
+
+
+def _run_batch(shard: int, lang: str, ids: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array([shard], pa.int64()), pa.array([lang]), pa.array([len(ids)], pa.int64()), pa.array([_packed(ids)], pa.binary()), pa.array([words], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "n", "ids", "words"])
+
+
+def _runs(shards: DataFrame, two: DataFrame) -> DataFrame:
+    """The runs of three and more words of the shards whose pairs are all frequent."""
+    groups = shards.groupBy("lang").agg(F.ceil(F.sum("n") / GROUP_WORDS).alias("groups"))
     shards = shards.select("shard", "lang", "ids", "words")
     if two.count() <= KNOWN_MOST:
         hashes = two.select("lang", "phrase").mapInArrow(_phrase_hashes, "h long").toArrow().column("h")  # 8 bytes for each of KNOWN_MOST at most
         known = shards.sparkSession.sparkContext.broadcast(np.sort(hashes.to_numpy()))
 
-        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, lang, ids, words, _ in _each(batches):
-                yield from _rows(shard, lang, _broken(ids, _known_by_hash(lang, ids, words, known.value)), words, 3, longest)
+                yield _run_batch(shard, lang, *_long_runs(_broken(ids, _known_by_hash(lang, ids, words, known.value)), words))
+    else:
+        own = shards.mapInArrow(lambda b: _pairs(b, True), PLACED).join(two, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("code").alias("known"))
+        shards = shards.join(own, "shard")
 
-        return shards.mapInArrow(grams, GRAMS)
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, lang, ids, words, codes in _each(batches):
+                yield _run_batch(shard, lang, *_long_runs(_broken(ids, _known_by_code(ids, codes.to_numpy(zero_copy_only=False))), words))
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, lang, ids, words, codes in _each(batches):
-            yield from _rows(shard, lang, _broken(ids, _known_by_code(ids, codes.to_numpy(zero_copy_only=False))), words, 3, longest)
+    runs = shards.mapInArrow(told, RUNS).where("n > 0").join(F.broadcast(groups), "lang")
+    return runs.repartition(partitions(runs.sparkSession), "lang", F.pmod(F.xxhash64("shard"), "groups")).drop("groups").mapInArrow(_gathered, RUNS)
 
-    own = shards.mapInArrow(lambda b: _pairs(b, True), PLACED).join(two, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("code").alias("known"))
-    return shards.join(own, "shard").mapInArrow(told, GRAMS)
+
+def _buckets(lang: str, ids: np.ndarray, words: pa.Array, longest: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, places, counts, buckets) of the n-grams of three and more words of a shard."""
+    table, of = np.append(U64(0), _word_hashes(words)), _word_hashes(pa.array([lang]))
+    for length, places, counts in ngram_counts(ids, 3, longest):
+        hashes = np.repeat(of, len(places))
+        for j in range(length):
+            hashes = mix(hashes * U64(0x9FB21C651E98DF25) + table[ids[places + j]])
+        yield length, places, counts, (hashes >> U64(64 - bits)).astype(np.int64)
+
+
+def _full(runs: DataFrame, least: int, longest: int, bits: int) -> np.ndarray:
+    """A bit for each bucket: whether its n-grams occur ``least`` times together."""
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lang, ids, words, _ in _each(batches):
+            found = [(buckets, counts) for _, _, counts, buckets in _buckets(lang, ids, words, longest, bits)]
+            buckets, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(buckets)
+            buckets = buckets[order]
+            first = np.flatnonzero(np.diff(buckets, prepend=-1))
+            counts = np.minimum(np.add.reduceat(counts[order], first), least) if len(first) else counts
+            buckets = buckets[first]
+            parts = buckets >> PART_BITS
+            cuts = np.flatnonzero(np.diff(parts, prepend=-1))
+            for k, end in zip(cuts, np.append(cuts[1:], len(parts)), strict=True):
+                inside = buckets[k:end] & ((1 << PART_BITS) - 1)
+                columns = [pa.array([parts[k]], pa.int64()), pa.array([_packed(np.diff(inside, prepend=0))], pa.binary()), pa.array([_packed(counts[k:end])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "steps", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = None, np.zeros(1 << PART_BITS, dtype=np.int64)
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], names=["part", "bits"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, steps, counts = (batch.column(c)[i].as_py() for c in ("part", "steps", "counts"))
+                if own != part:
+                    if part is not None:
+                        yield flush()
+                    part, sums[:] = own, 0
+                sums[np.cumsum(_unpacked(steps))] += _unpacked(counts)
+        if part is not None:
+            yield flush()
+
+    sums = runs.mapInArrow(tallied, "part long, steps binary, counts binary").repartition(partitions(runs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(summed, "part long, bits binary")
+    full = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    size = (1 << PART_BITS) // 8
+    for part, own in sums.collect():  # a bit for each bucket at most
+        full[part * size : (part + 1) * size] = np.frombuffer(own, dtype=np.uint8)
+    return full
+
+
+def _longer(shards: DataFrame, two: DataFrame, longest: int, least: int) -> DataFrame:
+    """Counts of n-grams of three and more words by gathered shard: of all that occur ``least`` times in a language, and of rare ones that share a bucket's count."""
+    runs = written(_runs(shards, two), "runs")
+    words = runs.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(BUCKETS[0], (words // 2).bit_length()), BUCKETS[1])
+    full = runs.sparkSession.sparkContext.broadcast(_full(runs, least, longest, bits))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, lang, ids, words, _ in _each(batches):
+            for length, places, counts, buckets in _buckets(lang, ids, words, longest, bits):
+                held = (full.value[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8) & 1).astype(bool)
+                yield from _rows(shard, lang, ids, words, [(length, places[held], counts[held])])
+
+    return runs.mapInArrow(grams, GRAMS)
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -258,7 +378,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     if longest > 1:
         found.append(written(merged(shards.select("shard", "lang", "ids", "words").mapInArrow(_pairs, GRAMS)), "frequent"))
     if longest > 2:
-        found.append(written(merged(_longer(shards, found[1], longest)), "frequent"))
+        found.append(written(merged(_longer(shards, found[1], longest, least)), "frequent"))
     every = found[0]
     for other in found[1:]:
         every = every.unionByName(other)
